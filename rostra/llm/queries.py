@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules
+from . import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules
 from ._shared import documents
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op2_packing(spark, sf_dir):
+    return packing.packing(documents(spark, sf_dir))
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -14,13 +22,36 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_quality_classifier(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels).select("body.doc_id", "held_out", "score", "predicted")
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_language_id(spark, sf_dir):
+    return language_id.language_id(documents(spark, sf_dir))
+
+
+def op10_license_scan(spark, sf_dir):
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 _WS = r"[\x20\x09-\x0D]"
 _NOT = r"[^\x20\x09-\x0D]"
 
+OP1 = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.top AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
 OP3 = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_NOT}+'))::BIGINT AS size,
@@ -71,8 +102,8 @@ FROM v"""
 
 
 def queries():
-    return {f.__name__: f for f in (op3_mixing, op5_exact_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_mixing, op5_exact_dedup, op6_quality_classifier, op8_quality_rules, op9_language_id, op10_license_scan)}
 
 
 def oracle_sql():
-    return {"op3_mixing": OP3, "op5_exact_dedup": OP5, "op8_quality_rules": OP8}
+    return {"op1_line_dedup": OP1, "op3_mixing": OP3, "op5_exact_dedup": OP5, "op8_quality_rules": OP8}
