@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules
+from . import exact_dedup, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules
 from ._shared import documents
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -27,6 +31,10 @@ def op6_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels).select("body.doc_id", "held_out", "score", "predicted")
 
 
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -79,6 +87,18 @@ WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}+', '
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)"""
 
+OP7 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NOT}+') AS words FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+r(x, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.c = e.x)
+SELECT r.x AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x"""
+
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 OP8 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -102,8 +122,8 @@ FROM v"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_mixing, op5_exact_dedup, op6_quality_classifier, op8_quality_rules, op9_language_id, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_mixing, op4_lm_scoring, op5_exact_dedup, op6_quality_classifier, op7_ngram_join, op8_quality_rules, op9_language_id, op10_license_scan)}
 
 
 def oracle_sql():
-    return {"op1_line_dedup": OP1, "op3_mixing": OP3, "op5_exact_dedup": OP5, "op8_quality_rules": OP8}
+    return {"op1_line_dedup": OP1, "op3_mixing": OP3, "op5_exact_dedup": OP5, "op7_ngram_join": OP7, "op8_quality_rules": OP8}
