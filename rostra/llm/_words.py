@@ -46,7 +46,8 @@ class Words:
     """Words of some texts. codes: a number for each word in order; vocabulary: the words by number (bytes);
     bounds: text i has words bounds[i] to bounds[i + 1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, lower: bool = True, kinds: np.ndarray | None = None):
+        """kinds: a number for each byte value; where given, words also end where it changes, and at each byte of kind 0."""
         data = LOWER[data] if lower else data
         inside = ~separators[data]
         edge = offsets[(offsets > 0) & (offsets < len(data))]
@@ -56,6 +57,11 @@ class Words:
         last = inside.copy()
         last[:-1] &= ~inside[1:]
         last[edge - 1] = inside[edge - 1]
+        if kinds is not None:
+            kind = kinds[data]
+            cut = (kind[1:] != kind[:-1]) | (kind[1:] == 0)
+            first[1:] |= cut & inside[1:]
+            last[:-1] |= cut & inside[:-1]
         begin = np.flatnonzero(first)
         ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - begin)]).astype(np.int32 if len(data) < 2**31 else np.int64)
         kind = pa.binary() if ends.dtype == np.int32 else pa.large_binary()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._words import Words, as_bytes, slices
+from ._words import Words, as_bytes, byte_table, slices
 
 CAPACITY, END_ID = 4096, 2
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention looks at pairs within a piece).
@@ -18,17 +19,15 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that one round of packing holds at most, before it starts new sequences.
 WINDOW = 2 << 20
 #: Words whose ids a worker remembers.
-MEMORY = 300_000
+MEMORY = 400_000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 _PLAIN = regex.compile(r"[!-~À-ɏ]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_LETTERS = regex.compile(rb"[a-z]+")
-
 
 class WordTokenizer:
     """Ids of words by a tokenizer that never joins characters across white space. A word is encoded once while remembered;
-    words of plain letters and marks go to the model directly, all others through the whole tokenizer."""
+    words of plain letters and marks go to the model piece by piece, all others through the whole tokenizer."""
 
     def __init__(self, path: str):
         import unicodedata
@@ -39,43 +38,81 @@ class WordTokenizer:
         self.model = self.whole.model
         self.as_seen = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.normal = lambda w: unicodedata.is_normalized("NFC", w)
-        self.words: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[bytes, int] = {}  # word to place and number of its ids in self.ids
         self.pieces: dict[str, list[int]] = {}
+        self.ids = array("I")
 
     def piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            seen = piece if piece.isascii() else self.as_seen(piece)[0][0]
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(seen)]
+            ids = self.pieces[piece] = self.direct(piece)
         return ids
 
+    def direct(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else self.as_seen(piece)[0][0])]
+
     def word(self, word: bytes) -> list[int]:
-        if _LETTERS.fullmatch(word):
-            return self.piece(word.decode())
+        if word.isalpha() and word.islower():  # ASCII letters
+            return [t.id for t in self.model.tokenize(word.decode())]
         text = word.decode()
         if "<|" in text or not _PLAIN.fullmatch(text) or not self.normal(text):
             return self.whole.encode(text, add_special_tokens=False).ids
-        return [i for p in _PIECES.findall(text.lower()) for i in self.piece(p)]
-
-    def encode(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids, and where each word's begin (one more at the end)."""
-        if len(self.pieces) > MEMORY:
-            self.pieces.clear()
-        each = [self.word(w) for w in vocabulary]
-        bounds = np.zeros(len(each) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, each), np.int64, len(each)), out=bounds[1:])
-        return np.fromiter((i for ids in each for i in ids), np.uint32, int(bounds[-1])), bounds
+        found = _PIECES.findall(text.lower())
+        return self.direct(found[0]) if len(found) == 1 else [i for p in found for i in self.piece(p)]
+
+    def encode(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All remembered ids, and each word's first place and number."""
+        if len(self.places) + len(self.pieces) > MEMORY:
+            self.forget()
+        places, known, ids = [], self.places, self.ids
+        for w in vocabulary:
+            at = known.get(w)
+            if at is None:
+                found = self.word(w)
+                at = known[w] = len(ids) << 24 | len(found)
+                ids.extend(found)
+            places.append(at)
+        where = np.array(places, np.int64)
+        return np.frombuffer(ids, np.uint32) if len(ids) else np.empty(0, np.uint32), where >> 24, where & 0xFFFFFF
+
+
+#: Where words split into letters, digits (one by one) and marks, for texts of which plain_texts() is sure.
+_KINDS = np.array([0 if 48 <= b <= 57 else 1 if 97 <= b <= 122 or b >= 128 else 2 for b in range(256)], np.uint8)
+_ODD = byte_table(lambda b: (b < 32 and not 9 <= b <= 13) or b in (0x27, 0x7F) or b >= 0xC9)
+
+
+def plain_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have only ASCII without apostrophes, control characters and `<|`, and Latin letters up to U+023F but for
+    the dotted capital I: in these, words split at changes of kind, letter by letter as the tokenizer does."""
+    after = np.append(data[1:], np.uint8(0))
+    odd = _ODD[data] | ((data == 0xC2) & (after < 0xC0)) | ((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((data == 0xC4) & (after == 0xB0)) | ((data == 0x3C) & (after == 0x7C))
+    upto = np.concatenate([[0], np.cumsum(odd)])
+    return upto[offsets[1:]] == upto[offsets[:-1]]
 
 
 def encode_texts(tokenizer: WordTokenizer, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The ids of each text, END_ID last."""
-    words = Words(data, offsets, lower=False)
-    ids, bounds = tokenizer.encode(words.vocabulary)
-    begin, length = bounds[:-1][words.codes], np.diff(bounds)[words.codes]
-    upto = np.concatenate([[0], np.cumsum(length)])
-    flat = ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], length)]
-    cut = upto[words.bounds]
-    return [np.append(flat[cut[i] : cut[i + 1]], np.uint32(END_ID)) for i in range(len(cut) - 1)]
+    plain = plain_texts(data, offsets)
+    size = np.diff(offsets)
+    out: list[np.ndarray | None] = [None] * len(size)
+    for kind, lower, kinds in ((True, True, _KINDS), (False, False, None)):
+        which = np.flatnonzero(plain == kind)
+        if not len(which):
+            continue
+        part = data if len(which) == len(size) else data[np.repeat(plain == kind, size)]
+        words = Words(part, np.concatenate([[0], np.cumsum(size[which])]), lower=lower, kinds=kinds)
+        ids, begin, length = tokenizer.encode(words.vocabulary)
+        begin, length = begin[words.codes], length[words.codes]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        flat = ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], length)]
+        del ids  # so that the array can grow again
+        cut = upto[words.bounds]
+        for i, d in enumerate(which.tolist()):
+            out[d] = np.append(flat[cut[i] : cut[i + 1]], np.uint32(END_ID))
+    return out
 
 
 def cost(length: float) -> float:
