@@ -1,8 +1,57 @@
 """A training-data pipeline over `documents`: five stages, each written and read again by the next."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rostra.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
+from rostra.llm._shared import documents, text_or_empty, written
+
+#: Documents scored below this are rejected: label 0 is likelier than label 1.
+MIN_SCORE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. All columns; rows stay as they are."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.quality_scores(docs, labels).filter(F.col("score") >= MIN_SCORE).select("body.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many documents share; n_chars follows the text. No document goes."""
+    kept = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id. Equal rows count once; rows with a
+    null doc_id stay."""
+    groups = ngram_join.ngram_join(docs)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("_mark", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents, placed in sequences."""
+    return packing.packing(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack)]
+#: Stages 1 and 5 cannot be expressed in SQL; tests hold run() against a plain Python version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return docs
