@@ -166,7 +166,7 @@ def completeness(*columns: Column | str) -> Column:
 
 def union_sources(have: Column | str, new: Column | str) -> Column:
     """`A + B`: the sources listed in `have` and `new`, sorted; an empty `new` leaves `have` as it is."""
-    listed = F.filter(F.transform(F.split(text(have), r"\+"), F.trim), lambda s: s != "")
+    listed = F.filter(F.transform(F.split(text(have), r"\+"), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(text(new) == "", text(have)).otherwise(F.array_join(F.array_sort(F.array_union(listed, F.array(F.trim(text(new))))), " + "))
 
 
