@@ -8,15 +8,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._blocks import gather_batches, read_arrays, shard_batches, write_arrays
+from ._shared import fresh_path, written
 from ._words import Words, as_bytes, mix64, slices, window_hashes
 from .components import components
+from .elias_fano import EliasFano
 
 N_GRAM = 5
 #: Jaccard similarity of at least NUM / DEN links.
 NUM, DEN = 3, 4
-#: Frequencies are counted in a table of 2 ** SKETCH_BITS counters, whatever the corpus' size; they only set the order.
-SKETCH_BITS, CHUNK_BITS = 22, 16
+#: Frequencies are counted by the first KEY_BITS bits of an n-gram's hash; they set the order of n-grams, and an n-gram seen in
+#: one document only is in no other prefix. Equal bits make an n-gram look more frequent, never less.
+KEY_BITS = 48
+#: Table bytes for each shard of the frequencies, and n-grams that a task gathers at once.
+SHARD_BYTES, GATHER = 16 << 20, 2 << 20
 #: Partitions of the hash range in the suffix filter.
 PARTS = 256
 
@@ -42,73 +47,93 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = N_GRAM):
             yield mix64(window_hashes(words[a:b], b - a) + np.uint64(b - a)) if b > a else words[:0]
 
 
-def signature_batches(size: int, sketch_bits: int, chunk_bits: int):
-    """Texts to kind 0 rows (doc_id, n, s1, s2: the set's size and 128-bit hash) and, at the end of the task, kind 1 rows
-    (n: number of a chunk of the counters, blob: its counts)."""
+def frequency_shards(docs: DataFrame) -> int:
+    """Bits of the number of shards: one for each SHARD_BYTES of the table as its reader estimates it, 8 to 16384."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(14, max(3, (size // SHARD_BYTES).bit_length()))
 
-    def run(batches):
-        import zstandard
 
-        counts, mask = np.zeros(1 << sketch_bits, np.uint32), np.uint64((1 << sketch_bits) - 1)
-        names = ["kind", "doc_id", "n", "s1", "s2", "blob"]
-        for batch in batches:
-            data, offsets = as_bytes(batch.column(1))
-            for first, part, cuts in slices(data, offsets):
-                sets = list(shingle_sets(part, cuts, size))
-                counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0).slice(first, len(sets)), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.nulls(len(sets), pa.binary())], names=names)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        blobs = [pack(c.tobytes()) for c in counts.reshape(-1, 1 << chunk_bits)] if counts.any() else []
-        none = pa.nulls(len(blobs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(blobs), np.int32)), none, pa.array(np.arange(len(blobs))), none, none, pa.array(blobs, pa.binary())], names=names)
+def gram_keys(size: int, bits: int):
+    def keys(part, cuts):
+        return np.unique(np.concatenate(list(shingle_sets(part, cuts, size))) >> np.uint64(64 - KEY_BITS), return_counts=True)
 
-    return run
+    def shard(keys):
+        return (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
 
+    return keys, shard
 
-def sum_chunks(batches):
-    """Counts of each chunk over all tasks, as powers of two (one byte each)."""
-    import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(unpack(blob), np.uint32)
-            if n in total:
-                total[n] += c
-            else:
-                total[n] = c.astype(np.uint64)
-    bins = [np.ceil(np.log2(c + 1.0) * 2).astype(np.uint8).tobytes() for c in total.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(bins, pa.binary())], names=["n", "bins"])
+def build_frequencies(folder: str):
+    """A shard's n-grams that more than one document has, and their frequency classes (two per power of two)."""
 
+    def build(shard, keys, counts):
+        keys, counts = keys[counts > 1], counts[counts > 1]
+        ef = EliasFano.of(keys)
+        write_arrays(f"{folder}/grams-{shard}", {"n": ef.n, "low_bits": ef.low_bits}, [*ef.parts(), np.ceil(2 * np.log2(counts)).astype(np.uint8)])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([ef.n], pa.int64())], names=["shard", "n"])
 
-def rarity(signatures: DataFrame, sketch_bits: int, chunk_bits: int) -> np.ndarray:
-    """One byte per counter: the frequency class of the n-grams that it counts. 4 MB, whatever the corpus' size."""
-    chunks = signatures.filter("kind = 1").select("n", "blob").repartition(1 << (sketch_bits - chunk_bits), "n")
-    out = np.zeros(1 << sketch_bits, np.uint8)
-    for r in chunks.mapInArrow(sum_chunks, "n long, bins binary").collect():
-        out[r["n"] << chunk_bits : (r["n"] + 1) << chunk_bits] = np.frombuffer(r["bins"], np.uint8)
-    return out
+    return build
 
 
-def prefix_batches(size: int, bins):
-    """Texts to doc_id, n, s1, s2 and the prefix: the rarest n-grams, as many as a set that links must share one of."""
+def count_grams(texts: DataFrame, size: int, bits: int) -> str:
+    """Document frequencies of all n-grams, as files in the shared folder, one for each shard."""
+    folder = fresh_path(texts.sparkSession, "grams")
+    blocks = texts.mapInArrow(gather_batches(*gram_keys(size, bits), GATHER), "shard int, blob binary")
+    built = blocks.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(shard_batches(build_frequencies(folder)), "shard int, n long")
+    built.agg(F.sum("n")).collect()
+    return folder
+
+
+class Frequencies:
+    """Frequency classes by n-gram hash: 0 for n-grams of one document."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits, self.parts = folder, bits, {}
+
+    def classes(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), np.uint8)
+        order = np.argsort(grams)
+        keys = grams[order] >> np.uint64(64 - KEY_BITS)
+        cuts = np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - self.bits))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            if s not in self.parts:
+                meta, (lows, highs, ones, classes) = read_arrays(f"{self.folder}/grams-{s}")
+                self.parts[s] = EliasFano(meta["n"], meta["low_bits"], lows, highs, ones), classes
+            ef, classes = self.parts[s]
+            place, found = ef.successor(keys[cuts[s] : cuts[s + 1]])
+            out[order[cuts[s] : cuts[s + 1]][found]] = classes[place[found]]
+        return out
+
+
+def prefix_batches(size: int, folder: str, bits: int):
+    """Texts to doc_id, n, s1, s2 (the set's size and 128-bit hash) and the part of the prefix that other documents have too:
+    n-grams and their places in the order from rare to frequent. The prefix is as long as a set that links must share one
+    n-gram of."""
 
     def run(batches):
-        table = np.frombuffer(bins.value, np.uint8)
-        mask = np.uint64(len(table) - 1)
+        frequencies = Frequencies(folder, bits)
         for batch in batches:
             data, offsets = as_bytes(batch.column(1))
             for first, part, cuts in slices(data, offsets):
                 sets = list(shingle_sets(part, cuts, size))
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                heads = [s[np.argsort(table[s & mask], kind="stable")[: prefix_length(len(s))]] if len(s) else s for s in sets]
-                bounds = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum([len(h) for h in heads], out=bounds[1:])
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(heads).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists], names=["doc_id", "n", "s1", "s2", "prefix"])
+                bounds = np.zeros(len(sets) + 1, np.int64)
+                np.cumsum([len(s) for s in sets], out=bounds[1:])
+                flat = np.concatenate(sets)
+                classes = frequencies.classes(flat)
+                shared = np.flatnonzero(classes)
+                doc = np.searchsorted(bounds, shared, "right") - 1
+                order = np.lexsort((flat[shared], classes[shared], doc))
+                shared, doc = shared[order], doc[order]
+                begin = np.searchsorted(doc, np.arange(len(sets) + 1))
+                n = np.diff(bounds)
+                alone = n - np.diff(begin)  # n-grams of this document only come first
+                place = np.arange(len(shared)) - begin[doc] + alone[doc]
+                keep = place < prefix_length(n[doc])
+                kept = np.zeros(len(sets) + 1, np.int32)
+                np.cumsum(np.bincount(doc[keep], minlength=len(sets)), out=kept[1:])
+                lists = [pa.ListArray.from_arrays(pa.array(kept), pa.array(x)) for x in (flat[shared[keep]].view(np.int64), place[keep].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), *lists], names=["doc_id", "n", "s1", "s2", "grams", "places"])
 
     return run
 
@@ -159,13 +184,14 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def possible(nu: str, iu: str, nv: str, iv: str):
-    """Length and positional filter of a shared prefix n-gram at place iu of nu and iv of nv."""
-    a, b = F.col(nu), F.col(nv)
+    """Length, positional and suffix filter of a shared prefix n-gram at place iu of nu and iv of nv. At the first one that two
+    sets share, what stands before it in either is not in the other: that bounds the overlap, and the sets' difference."""
+    a, b, i, j = F.col(nu), F.col(nv), F.col(iu), F.col(iv)
     need = F.ceil(NUM * (a + b) / (NUM + DEN))
-    return (DEN * F.least(a, b) >= NUM * F.greatest(a, b)) & (1 + F.least(a - F.col(iu) - 1, b - F.col(iv) - 1) >= need)
+    return (DEN * F.least(a, b) >= NUM * F.greatest(a, b)) & (F.least(a - i, b - j) >= need) & (i + j <= a + b - 2 * need)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = N_GRAM, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = N_GRAM) -> DataFrame:
     """Links documents whose sets of distinct word n-grams have a Jaccard similarity of at least 3/4.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links). Null texts and
@@ -174,23 +200,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are not read. An empty table gives an empty result.
 
     Documents with equal sets are one class, so copies are never paired. Classes meet in the buckets of their prefix n-grams.
-    First each class is paired with the bucket head that it shares most n-grams with; what links there becomes a component.
+    A bucket's head is the class with the fewest rarer n-grams, of copies with edits the least edited one. First each class is
+    paired with the head that it shares most n-grams with; what links there becomes a component.
     Then all pairs of a bucket whose classes are in different components are verified, so no link that could join two
     components is missed, and a bucket whose classes are one component already costs nothing more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    signatures = written(rows.mapInArrow(signature_batches(size, sketch_bits, min(CHUNK_BITS, sketch_bits)), "kind int, doc_id long, n long, s1 long, s2 long, blob binary"), "signatures")
-    members = signatures.filter("kind = 0").select("doc_id", "n", "s1", "s2")
-    bins = spark.sparkContext.broadcast(rarity(signatures, sketch_bits, min(CHUNK_BITS, sketch_bits)).tobytes())
-
-    heads = rows.filter("doc_id is not null and text is not null").mapInArrow(prefix_batches(size, bins), "doc_id long, n long, s1 long, s2 long, prefix array<bigint>").filter("n > 0")
-    classes = heads.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.any_value("prefix").alias("prefix"))
-    tokens = classes.select("id", "n", F.posexplode("prefix").alias("at", "gram"))
+    bits = frequency_shards(docs)
+    folder = count_grams(rows.select("text"), size, bits)
+    heads = written(rows.mapInArrow(prefix_batches(size, folder, bits), "doc_id long, n long, s1 long, s2 long, grams array<bigint>, places array<int>"), "heads")
+    members = heads.select("doc_id", "n", "s1", "s2")
+
+    classes = heads.filter("doc_id is not null and size(grams) > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.any_value("grams").alias("grams"), F.any_value("places").alias("places"))
+    tokens = classes.select("id", "n", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("id", "n", F.col("x.places").alias("at"), F.col("x.grams").alias("gram"))
     per_gram = Window.partitionBy("gram")
     shared = written(tokens.withColumn("k", F.count(F.lit(1)).over(per_gram)).filter("k > 1").drop("k"), "shared")
 
-    lead = per_gram.orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = per_gram.orderBy("at", "n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     with_lead = shared.withColumn("lead", F.first(F.struct("id", "n", "at")).over(lead)).filter(F.col("id") != F.col("lead.id"))
     stars = with_lead.select(F.col("id").alias("u"), "n", "at", F.col("lead.id").alias("v"), F.col("lead.n").alias("m"), F.col("lead.at").alias("lat")).filter(possible("n", "at", "m", "lat"))
     best = stars.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
