@@ -14,7 +14,6 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "rostra-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
