@@ -49,10 +49,11 @@ by_sound = F.pandas_udf(_by_sound, StringType())
 
 
 def classify(df: DataFrame, column: str, out: str = "resolved") -> DataFrame:
-    """df with `out`: struct(specialite, method). Only distinct labels that the built-in steps leave open reach Python."""
-    first = df.withColumn("_key", specialty_key(column)).withColumn("_first", classify_native(column))
-    open_ = first.filter(F.col("_first.specialite").isNull() & (F.col("_key") != "")).select(F.col("_key").alias("_open")).distinct()
-    heard = open_.withColumn("_heard", by_sound("_open")).filter("_heard is not null")
-    joined = first.join(heard, F.when(F.col("_first.specialite").isNull(), F.col("_key")) == F.col("_open"), "left")
+    """df with `out`: struct(specialite, method). Distinct labels are resolved once, and only those that the built-in steps leave
+    open are heard by Python."""
+    keyed = df.withColumn("_key", specialty_key(column))
+    labels = keyed.select("_key").filter("_key <> ''").distinct().withColumn("_first", classify_native("_key"))
+    heard = labels.withColumn("_heard", by_sound(F.when(F.col("_first.specialite").isNull(), F.col("_key")).otherwise("")))
     sound = F.struct(F.col("_heard").alias("specialite"), F.lit("phonetic").alias("method"))
-    return joined.withColumn(out, F.when(F.col("_heard").isNotNull(), sound).otherwise(F.col("_first"))).drop("_key", "_first", "_open", "_heard")
+    table = heard.select("_key", F.when(F.col("_heard").isNotNull(), sound).otherwise(F.col("_first")).alias(out))
+    return keyed.join(table, "_key", "left").drop("_key")

@@ -38,6 +38,10 @@ def shared_values(records: DataFrame) -> DataFrame:
     return sites.join(picked, "site", "left")
 
 
+def _other_than(field: str):
+    return lambda k, _: k != field
+
+
 def infer(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records with blanks filled, noted and marked; log of what is ambiguous)."""
     columns = records.columns
@@ -52,7 +56,7 @@ def infer(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         marked = F.map_from_arrays(F.array(F.lit(f)), F.array(F.struct(F.lit("inferred").alias("kind"), F.concat(F.lit("Infere depuis secretariat "), F.col("display")).alias("comment"))))
         added = F.when(notes == "", note).otherwise(F.concat(notes, F.lit(" ; "), note))
         notes = F.when(F.coalesce(fills, F.lit(False)) & ~F.contains(notes, note), added).otherwise(notes)
-        markers = F.when(F.coalesce(fills, F.lit(False)), F.map_concat(F.map_filter(markers, lambda k, _, f=f: k != f), marked)).otherwise(markers)
+        markers = F.when(F.coalesce(fills, F.lit(False)), F.map_concat(F.map_filter(markers, _other_than(f)), marked)).otherwise(markers)
         out = out.withColumn(f"_new_{f}", F.when(F.coalesce(fills, F.lit(False)), F.get(values, F.lit(0))).otherwise(F.col(f)))
         listed = F.concat(F.lit("("), F.array_join(F.transform(values, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "), F.lit(")"))
         message = F.concat(F.lit(f"[Inference] {f} ambigu pour "), text("titre"), F.lit(" "), text("nom"), F.lit(" ("), F.col("display"), F.lit("): valeurs "), listed, F.lit(" — laisse vide"))

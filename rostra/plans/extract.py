@@ -11,6 +11,7 @@ from rostra.functions.specialty import classify
 from rostra.functions.text import any_of, clean_email, detect_sector, emails, is_sector_line, lookup, normalize_phone, normalize_ville, phones, region_of, section_city, sector_value, text, title_case, title_of
 
 from .layout import SHEET, _log, single_columns, table_headers, union
+from .scratch import written
 
 MARKERS = "map<string,struct<kind:string,comment:string>>"
 
@@ -102,6 +103,7 @@ def headings(cells: DataFrame) -> DataFrame:
     spec = F.when(number, F.trim(F.regexp_extract("text", HEADING, 2))).when(F.col("_alone.specialite").isNotNull(), F.col("_try"))
     inline = r"(?iU)\s+Secteur\s+(.*)"
     cut = tried.withColumn("_spec", spec).withColumn("_sector", F.when(F.col("_spec").rlike(inline), sector_value(F.regexp_extract("_spec", inline, 1))))
+    cut = written(cut, "headings")  # what follows names these columns many times
     cut = cut.withColumn("_spec", F.when(F.col("_sector").isNotNull(), F.trim(F.regexp_replace("_spec", inline, ""))).otherwise(F.col("_spec")))
     parts = F.coalesce(*[F.when(F.contains(F.col("_spec"), F.lit(s)), F.struct(F.trim(F.substring_index("_spec", s, 1)).alias("name"), F.trim(F.expr(f"substring(_spec, locate('{s}', _spec) + {len(s)})")).alias("detail"))) for s in (", préciser :", ", préciser:", ":")], F.struct(F.col("_spec").alias("name"), F.lit("").alias("detail")))
     named = cut.withColumn("_parts", parts).withColumn("_name", F.when(F.col("_spec").isNotNull(), F.col("_parts.name"))).withColumn("_detail", F.when(F.col("_spec").isNotNull(), F.col("_parts.detail")))
@@ -125,7 +127,7 @@ def from_single_columns(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = _log(sheets.filter("n_cells < 4"), F.concat(F.lit("["), F.col("sheet"), F.lit("] Trop peu de lignes ("), F.col("n_cells").cast("string"), F.lit(")")))
     usable = sheets.filter("n_cells >= 4").withColumn("ville", normalize_ville("ville_text")).withColumn("region", region_of("ville"))
     data = cells.join(usable.select(*SHEET, "data_start"), SHEET).filter("pos >= data_start").drop("data_start")
-    lines = headings(data)
+    lines = written(headings(data), "lines")
     pieces = F.when(F.col("heading").isNotNull(), F.array(F.struct(F.lit("heading").alias("label"), F.lit("").alias("value")))).otherwise(split_labels("text"))
     parts = lines.select(*SHEET, "pos", "heading", F.posexplode(pieces).alias("sub", "p")).select(*SHEET, "pos", "sub", "heading", F.col("p.label").alias("label"), F.trim("p.value").alias("value"))
     loose = F.col("label").isin("prefix", "raw")
@@ -150,6 +152,7 @@ def from_single_columns(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = F.when(F.size(single) == 0, F.array(F.lit(""))).otherwise(single)
     remark = F.when(vague, F.col("who")).when(either, F.concat(F.lit("ou "), F.trim(F.expr("substring(who, locate(' ou ', who) + 4)")))).otherwise("")
     notes = F.array_join(F.filter(F.array(remark, text("said")), lambda x: x != ""), " ; ")
+    segments = written(segments, "segments")
     people = segments.withColumn("notes", notes).select("*", F.posexplode(single).alias("nth", "one")).withColumn("name", normalize_name("one"))
     people = people.join(usable, SHEET).withColumn("ordinal", ordinal(sub=F.col("sub") * 20 + F.col("nth")))
     marked = F.when(F.col("section.origin").isNotNull(), F.map_from_arrays(F.array(F.lit("specialite")), F.array("section.origin"))).otherwise(F.create_map().cast(MARKERS))

@@ -88,7 +88,7 @@ def test_functions(spark, expr, cases):
 
 def test_phonetic(spark):
     df = spark.createDataFrame([("nefrologie",), ("XYZABC",), ("cardio",), ("",), (None,)], "label string")
-    got = {r["label"]: (r["resolved"]["specialite"], r["resolved"]["method"]) for r in specialty.classify(df, "label").collect()}
+    got = {r["label"]: (r["resolved"]["specialite"], r["resolved"]["method"]) if r["resolved"] else (None, None) for r in specialty.classify(df, "label").collect()}
     assert got == {"nefrologie": ("NEPHROLOGIE", "phonetic"), "XYZABC": (None, None), "cardio": ("CARDIOLOGIE", "prefix"), "": (None, None), None: (None, None)}
 
 
