@@ -8,11 +8,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._words import as_bytes, slices
 
-#: Keys that a task gathers before it sends them on.
-GATHER = 4 << 20
+#: Keys that a task gathers before it sends them on, and that a shard takes in before it merges them.
+GATHER, MERGE = 2 << 20, 2 << 20
 
 
 # -- files in the shared folder --------------------------------------------------------------------------------------------
@@ -114,22 +116,30 @@ def gather_batches(keys_of, shard_of, most: int = GATHER):
     return run
 
 
+def shard_bits(table: DataFrame, shard_bytes: int) -> int:
+    """Bits of the number of shards: one for each shard_bytes of the table as its reader estimates it, 8 to 16384."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(14, max(3, (size // shard_bytes).bit_length()))
+
+
+def built(blocks: DataFrame, n: int, build, report: str) -> DataFrame:
+    """What build gives for each of n shards of (shard, blob) rows. Each shard is a partition of its own."""
+    return blocks.repartitionById(n, F.col("shard")).mapInArrow(shard_batches(build), report)
+
+
 def shard_batches(build):
-    """Rows (shard, blob), sorted by shard, to what build(shard, keys, counts) gives for each shard."""
+    """Rows (shard, blob) to what build(shard, keys, counts) gives for each shard among them."""
 
     def run(batches):
-        now, keys, counts = None, [], []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if shard != now and keys:
-                    yield build(now, *merged(keys, counts))
-                    keys, counts = [], []
-                now = shard
-                k, c = decode_counts(blob.as_py())
-                keys.append(k)
-                counts.append(c)
-        if keys:
-            yield build(now, *merged(keys, counts))
+                parts = held.setdefault(shard, [])
+                parts.append(decode_counts(blob.as_py()))
+                if sum(len(k) for k, _ in parts[1:]) > max(MERGE, len(parts[0][0])):  # equal keys become one before more arrive
+                    parts[:] = [merged([k for k, _ in parts], [c for _, c in parts])]
+        for shard, parts in held.items():
+            yield build(shard, *merged([k for k, _ in parts], [c for _, c in parts]))
 
     return run
 

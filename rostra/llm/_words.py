@@ -18,7 +18,7 @@ WHITE = byte_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
 NOT_ALNUM = byte_table(lambda b: b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import fresh_path, text_or_empty, written
@@ -93,12 +93,13 @@ class LineRuns:
 
 def batches(lines: DataFrame, n: int) -> list[DataFrame]:
     """Splits by doc_id at its quantiles, largest first; null doc_ids come last. All rows are in one batch."""
-    cuts = sorted(set(lines.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.01)), reverse=True)
+    found = lines.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
+    cuts = sorted(set(found or []), reverse=True)
     parts, upper = [], None
     for cut in cuts:
-        inside = F.col("doc_id") >= int(cut)
+        inside = F.col("doc_id") >= cut
         parts.append(lines.filter(inside if upper is None else inside & (F.col("doc_id") < upper)))
-        upper = int(cut)
+        upper = cut
     rest = F.col("doc_id").isNull() if upper is None else F.col("doc_id").isNull() | (F.col("doc_id") < upper)
     return [*parts, lines.filter(rest) if upper is not None else lines]
 

@@ -8,14 +8,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import by_shard, gather_batches, read_arrays, shard_batches, write_arrays
+from ._blocks import built, by_shard, gather_batches, read_arrays, shard_bits, write_arrays
 from ._shared import fresh_path
 from ._words import Words, as_bytes, mix64, slices
 from .elias_fano import EliasFano
 from .quality_classifier import held_out
 
 ADD = 0.1
-WORD_SHARDS, SHARD_TOKENS, MAX_PAIR_SHARDS = 64, 4 << 20, 1024
+#: Table bytes for each shard of the vocabulary, tokens for each shard of pairs.
+WORD_SHARD_BYTES, SHARD_TOKENS, MAX_PAIR_SHARDS = 32 << 20, 2 << 20, 1 << 16
 #: Probabilities are kept as 16-bit codes of their logarithm, STEP apart.
 STEP = 1 / 4096
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -40,8 +41,8 @@ def word_keys(part, cuts):
     return vocabulary, np.bincount(codes, minlength=len(vocabulary))
 
 
-def word_shard(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - WORD_SHARDS.bit_length() + 1)).astype(np.int64)
+def word_shard(bits: int):
+    return lambda hashes: (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def build_words(folder: str):
@@ -57,9 +58,9 @@ def build_words(folder: str):
 class Vocabulary:
     """Level 1 of the trie: word hash to number (its rank) and count."""
 
-    def __init__(self, folder: str, sizes: dict[int, int]):
-        self.starts = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(WORD_SHARDS)])]).astype(np.int64)
-        self.parts = {}
+    def __init__(self, folder: str, sizes: dict[int, int], bits: int):
+        self.starts = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(1 << bits)])]).astype(np.int64)
+        self.parts, self.shard = {}, word_shard(bits)
         for s, n in sizes.items():
             meta, (lows, highs, ones, counts) = read_arrays(f"{folder}/word-{s}")
             self.parts[s] = EliasFano(n, meta["low_bits"], lows, highs, ones), counts
@@ -67,7 +68,7 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts (0: unknown)."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for s, at in by_shard(word_shard(hashes)):
+        for s, at in by_shard(self.shard(hashes)):
             if s in self.parts:
                 ef, counts = self.parts[s]
                 place, found = ef.successor(hashes[at])
@@ -101,9 +102,11 @@ def pair_codes(codes: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def build_pairs(folder: str, words_folder: str, sizes: dict[int, int], n_words: int):
+def build_pairs(folder: str, model: dict):
+    n_words = model["distinct"]
+
     def build(shard, keys, counts):
-        vocabulary = Vocabulary(words_folder, sizes)
+        vocabulary = Vocabulary(model["words"], model["sizes"], model["bits"])
         context, word = keys // np.uint64(n_words), keys % np.uint64(n_words)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         pointers = np.append(first, len(keys))
@@ -150,7 +153,7 @@ class PairShard:
 
 class Trie:
     def __init__(self, model: dict):
-        self.model, self.vocabulary, self.shards = model, Vocabulary(model["words"], model["sizes"]), {}
+        self.model, self.vocabulary, self.shards = model, Vocabulary(model["words"], model["sizes"], model["bits"]), {}
         self.known = set(model["pair_shards"])
 
     def shard(self, s: int) -> PairShard | None:
@@ -195,7 +198,7 @@ def pair_keys(model: dict):
 
     def keys(part, cuts):
         if not opened:
-            opened.append(Vocabulary(model["words"], model["sizes"]))
+            opened.append(Vocabulary(model["words"], model["sizes"], model["bits"]))
         hashes, codes, bounds = tokens(part, cuts)
         number, _ = opened[0].find(hashes)
         both = number[pair_codes(codes, bounds, len(hashes) - 1)].astype(np.uint64) * np.uint64(model["distinct"]) + number[codes].astype(np.uint64)
@@ -219,18 +222,17 @@ def train(texts: DataFrame) -> dict:
     folder = fresh_path(spark, "trie")
     report = "shard int, n long, total long"
 
-    def built(blocks: DataFrame, n: int, build) -> list:
-        return blocks.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(shard_batches(build), report).collect()
-
-    words = built(texts.mapInArrow(gather_batches(word_keys, word_shard), "shard int, blob binary"), WORD_SHARDS, build_words(folder))
-    model = {"words": folder, "pairs": folder, "sizes": {r["shard"]: r["n"] for r in words}, "tokens": sum(r["total"] for r in words), "distinct": sum(r["n"] for r in words)}
+    bits = shard_bits(texts, WORD_SHARD_BYTES)
+    blocks = texts.mapInArrow(gather_batches(word_keys, word_shard(bits)), "shard int, blob binary")
+    words = built(blocks, 1 << bits, build_words(folder), report).collect()
+    model = {"words": folder, "pairs": folder, "bits": bits, "sizes": {r["shard"]: r["n"] for r in words}, "tokens": sum(r["total"] for r in words), "distinct": sum(r["n"] for r in words)}
     if model["distinct"] >= 1 << 32:
         raise ValueError("vocabulary too large for 64-bit pair keys")
     n = int(min(MAX_PAIR_SHARDS, max(8, -(-model["tokens"] // SHARD_TOKENS))))
     model |= {"n_shards": n, "limit": max(1 << 14, model["tokens"] // (8 * n)), "pair_shards": []}
     if model["tokens"]:
         blocks = texts.mapInArrow(gather_batches(*pair_keys(model)), "shard int, blob binary")
-        model["pair_shards"] = sorted(r["shard"] for r in built(blocks, n, build_pairs(folder, folder, model["sizes"], model["distinct"])))
+        model["pair_shards"] = sorted(r["shard"] for r in built(blocks, n, build_pairs(folder, model), report).collect())
     return model
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import gather_batches, read_arrays, shard_batches, write_arrays
+from ._blocks import built, gather_batches, read_arrays, shard_bits, write_arrays
 from ._shared import fresh_path, written
 from ._words import Words, as_bytes, mix64, slices, window_hashes
 from .components import components
@@ -21,7 +21,7 @@ NUM, DEN = 3, 4
 #: one document only is in no other prefix. Equal bits make an n-gram look more frequent, never less.
 KEY_BITS = 48
 #: Table bytes for each shard of the frequencies, and n-grams that a task gathers at once.
-SHARD_BYTES, GATHER = 16 << 20, 2 << 20
+SHARD_BYTES, GATHER = 8 << 20, 1 << 20
 #: Partitions of the hash range in the suffix filter.
 PARTS = 256
 
@@ -47,12 +47,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = N_GRAM):
             yield mix64(window_hashes(words[a:b], b - a) + np.uint64(b - a)) if b > a else words[:0]
 
 
-def frequency_shards(docs: DataFrame) -> int:
-    """Bits of the number of shards: one for each SHARD_BYTES of the table as its reader estimates it, 8 to 16384."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(14, max(3, (size // SHARD_BYTES).bit_length()))
-
-
 def gram_keys(size: int, bits: int):
     def keys(part, cuts):
         return np.unique(np.concatenate(list(shingle_sets(part, cuts, size))) >> np.uint64(64 - KEY_BITS), return_counts=True)
@@ -79,8 +73,7 @@ def count_grams(texts: DataFrame, size: int, bits: int) -> str:
     """Document frequencies of all n-grams, as files in the shared folder, one for each shard."""
     folder = fresh_path(texts.sparkSession, "grams")
     blocks = texts.mapInArrow(gather_batches(*gram_keys(size, bits), GATHER), "shard int, blob binary")
-    built = blocks.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(shard_batches(build_frequencies(folder)), "shard int, n long")
-    built.agg(F.sum("n")).collect()
+    built(blocks, 1 << bits, build_frequencies(folder), "shard int, n long").agg(F.sum("n")).collect()
     return folder
 
 
@@ -206,19 +199,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components is missed, and a bucket whose classes are one component already costs nothing more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = frequency_shards(docs)
+    bits = shard_bits(docs, SHARD_BYTES)
     folder = count_grams(rows.select("text"), size, bits)
     heads = written(rows.mapInArrow(prefix_batches(size, folder, bits), "doc_id long, n long, s1 long, s2 long, grams array<bigint>, places array<int>"), "heads")
     members = heads.select("doc_id", "n", "s1", "s2")
 
     classes = heads.filter("doc_id is not null and size(grams) > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.any_value("grams").alias("grams"), F.any_value("places").alias("places"))
+    classes = written(classes, "classes")
     tokens = classes.select("id", "n", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("id", "n", F.col("x.places").alias("at"), F.col("x.grams").alias("gram"))
-    per_gram = Window.partitionBy("gram")
-    shared = written(tokens.withColumn("k", F.count(F.lit(1)).over(per_gram)).filter("k > 1").drop("k"), "shared")
-
-    lead = per_gram.orderBy("at", "n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    with_lead = shared.withColumn("lead", F.first(F.struct("id", "n", "at")).over(lead)).filter(F.col("id") != F.col("lead.id"))
-    stars = with_lead.select(F.col("id").alias("u"), "n", "at", F.col("lead.id").alias("v"), F.col("lead.n").alias("m"), F.col("lead.at").alias("lat")).filter(possible("n", "at", "m", "lat"))
+    # a bucket's size and head are summed task by task before they meet, and joins can split a large bucket
+    buckets = written(tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("at", "n", "id")).alias("lead")).filter("k > 1").drop("k"), "buckets")
+    with_lead = written(tokens.join(buckets, "gram"), "shared")
+    shared = with_lead.drop("lead")
+    stars = with_lead.select(F.col("id").alias("u"), "n", "at", F.col("lead.id").alias("v"), F.col("lead.n").alias("m"), F.col("lead.at").alias("lat")).filter("u <> v").filter(possible("n", "at", "m", "lat"))
     best = stars.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
     best = written(best, "stars")
 
@@ -228,8 +221,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(edges)
 
     tagged = shared.join(labels, shared["id"] == labels["u"], "left").select("id", "n", "at", "gram", F.coalesce("component", "id").alias("c"))
-    split = tagged.withColumn("low", F.min("c").over(per_gram)).withColumn("high", F.max("c").over(per_gram)).filter("low < high").drop("low", "high")
-    split = written(split, "open")
+    tagged = written(tagged, "tagged")
+    mixed = written(tagged.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("gram"), "mixed")
+    split = written(tagged.join(mixed, "gram", "left_semi").select("id", "n", "at", "gram", "c"), "open")
     other = split.toDF("v", "m", "lat", "gram", "d")
     across = split.withColumnRenamed("id", "u").join(other, "gram").filter("u < v and c <> d").filter(possible("n", "at", "m", "lat")).select("u", "v").distinct()
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
