@@ -116,9 +116,16 @@ def gather_batches(keys_of, shard_of, most: int = GATHER):
     return run
 
 
-def shard_bits(table: DataFrame, shard_bytes: int) -> int:
-    """Bits of the number of shards: one for each shard_bytes of the table as its reader estimates it, 8 to 16384."""
+#: Spark's estimate for what it cannot estimate is larger than this.
+UNKNOWN_BYTES = 1 << 55
+
+
+def shard_bits(table: DataFrame, text_col: str, shard_bytes: int) -> int:
+    """Bits of the number of shards: one for each shard_bytes of the table as its reader estimates it, or else of its text; 8
+    to 16384."""
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > UNKNOWN_BYTES:
+        size = table.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     return min(14, max(3, (size // shard_bytes).bit_length()))
 
 

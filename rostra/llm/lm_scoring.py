@@ -222,7 +222,7 @@ def train(texts: DataFrame) -> dict:
     folder = fresh_path(spark, "trie")
     report = "shard int, n long, total long"
 
-    bits = shard_bits(texts, WORD_SHARD_BYTES)
+    bits = shard_bits(texts, "text", WORD_SHARD_BYTES)
     blocks = texts.mapInArrow(gather_batches(word_keys, word_shard(bits)), "shard int, blob binary")
     words = built(blocks, 1 << bits, build_words(folder), report).collect()
     model = {"words": folder, "pairs": folder, "bits": bits, "sizes": {r["shard"]: r["n"] for r in words}, "tokens": sum(r["total"] for r in words), "distinct": sum(r["n"] for r in words)}

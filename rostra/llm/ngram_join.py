@@ -199,7 +199,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components is missed, and a bucket whose classes are one component already costs nothing more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = shard_bits(docs, SHARD_BYTES)
+    bits = shard_bits(docs, text_col, SHARD_BYTES)
     folder = count_grams(rows.select("text"), size, bits)
     heads = written(rows.mapInArrow(prefix_batches(size, folder, bits), "doc_id long, n long, s1 long, s2 long, grams array<bigint>, places array<int>"), "heads")
     members = heads.select("doc_id", "n", "s1", "s2")
