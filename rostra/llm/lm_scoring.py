@@ -16,7 +16,7 @@ from .quality_classifier import held_out
 
 ADD = 0.1
 #: Table bytes for each shard of the vocabulary, tokens for each shard of pairs.
-WORD_SHARD_BYTES, SHARD_TOKENS, MAX_PAIR_SHARDS = 32 << 20, 2 << 20, 1 << 16
+WORD_SHARD_BYTES, SHARD_TOKENS, MAX_PAIR_SHARDS = 32 << 20, 8 << 20, 1 << 16
 #: Probabilities are kept as 16-bit codes of their logarithm, STEP apart.
 STEP = 1 / 4096
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
