@@ -81,8 +81,7 @@ def q_edit_pairs(spark, sf):
 
 def q_match_best(spark, sf):
     r = records(spark, sf)
-    new, pool = r.filter("ordinal % 3 = 1"), r.filter("ordinal % 3 = 2")
-    return match.best_match(new, pool, True, True).select("ordinal", "match", F.col("distance").cast("int").alias("distance"))
+    return match.best_match(r, r, True, True).select("ordinal", "match", F.col("distance").cast("int").alias("distance"))
 
 
 def q_components(spark, sf):
