@@ -62,7 +62,8 @@ def gram_batches(k: int):
 
 
 def spans(rows: DataFrame, known: dict[str, str] = TEMPLATES, k: int = K, min_votes: int = MIN_VOTES, near: int = NEAR) -> DataFrame:
-    """doc_id, mark and a list of candidate spans (template, first and last word in the text, shift to the template).
+    """doc_id, mark and a list of candidate spans (template, first and last word in the text, most voted shift to the template,
+    and each diagonal's own first, last and shift).
 
     All k-gram hashes of all texts meet the templates' in a broadcast join (the templates' size bounds it); votes are summed by
     document, template and diagonal before anything is shuffled, and diagonals at most `near` apart become one.
@@ -75,8 +76,8 @@ def spans(rows: DataFrame, known: dict[str, str] = TEMPLATES, k: int = K, min_vo
     order = Window.partitionBy("doc_id", "mark", "template").orderBy("shift")
     new = F.coalesce((F.col("shift") - F.lag("shift").over(order) > near).cast("int"), F.lit(1))
     numbered = votes.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    merged = numbered.groupBy("doc_id", "mark", "template", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift"))
-    found = merged.filter(F.col("votes") >= min_votes).select("doc_id", "mark", F.struct("template", "first", "last", "shift").alias("span"))
+    merged = numbered.groupBy("doc_id", "mark", "template", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift"), F.array_sort(F.collect_list(F.struct("first", "last", "shift"))).alias("pieces"))
+    found = merged.filter(F.col("votes") >= min_votes).select("doc_id", "mark", F.struct("template", "first", "last", "shift", "pieces").alias("span"))
     return found.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
 
 
@@ -85,11 +86,25 @@ def label_batches(known: dict[str, str], phrases: dict[str, str], near: int, min
         pieces = {name: [w.vocabulary[c] for c in w.codes] for name, w in ((n, of_texts([t])) for n, t in known.items())}
         wanted = [(p.encode().split(), label) for p, label in phrases.items()]
 
-        def identity(words, template, first, last, shift) -> tuple[float, int]:
-            """Share and number of the span's words that the template has at the same place, or up to `near` off."""
-            t = pieces[template]
-            same = sum(any(0 <= i - shift + o < len(t) and t[i - shift + o] == words[i] for o in range(-near, near + 1)) for i in range(first, last + 1))
-            return same / (last + 1 - first), same
+        def identity(words, t, span) -> tuple[float, int]:
+            """Share and number of the span's words that the template has at the same place, or up to `near` off, by the most
+            voted shift or by the shift of a diagonal that the word lies in or next to. A run may be any number of words wide."""
+            first, last = span["first"], span["last"]
+            same = np.zeros(last + 1 - first, bool)
+
+            def mark(a, b, shift):
+                for o in range(-near, near + 1):
+                    low, high = max(a, shift - o), min(b + 1, shift - o + len(t))
+                    if low < high:
+                        same[low - first : high - first] |= words[low:high] == t[low - shift + o : high - shift + o]
+
+            mark(first, last, span["shift"])
+            end = first - 1
+            diagonals = span["pieces"]
+            for p, after in zip(diagonals, [*diagonals[1:], {"first": last + 1}], strict=True):
+                mark(min(p["first"], end + 1), max(p["last"], after["first"] - 1), p["shift"])
+                end = max(end, p["last"])
+            return float(same.mean()), int(same.sum())
 
         for batch in batches:
             data, offsets = as_bytes(batch.column(1))
@@ -99,6 +114,7 @@ def label_batches(known: dict[str, str], phrases: dict[str, str], near: int, min
                 w = split(part, cuts)
                 vocabulary = w.vocabulary
                 number = {x: i for i, x in enumerate(vocabulary)}
+                known_codes: dict[str, np.ndarray] = {}
                 starts, marks = [], []
                 for words, label in wanted:
                     ids = [number.get(x, -1) for x in words]
@@ -122,9 +138,11 @@ def label_batches(known: dict[str, str], phrases: dict[str, str], near: int, min
                     out["last_word"].append(max((x for x, _ in b), default=None))
                     out["base_labels"].append(",".join(sorted(labels)))
                     if found[begin + d]:
-                        words = [vocabulary[c] for c in w.codes[w.bounds[d] : w.bounds[d + 1]]]
+                        words = w.codes[w.bounds[d] : w.bounds[d + 1]]
                         for s in found[begin + d]:
-                            share, same = identity(words, s["template"], s["first"], s["last"], s["shift"])
+                            if s["template"] not in known_codes:
+                                known_codes[s["template"]] = np.array([number.get(x, -1) for x in pieces[s["template"]]])
+                            share, same = identity(words, known_codes[s["template"]], s)
                             if share >= min_identity and same >= min(min_words, len(pieces[s["template"]])):
                                 labels = labels | {s["template"]}
                                 best = max(best, share)

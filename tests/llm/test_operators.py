@@ -421,3 +421,15 @@ def test_license_scan(spark, odd, small, none):
             found = {r["doc_id"]: r["labels"] for r in got}
             assert found[500] == "apache,apache-2.0" and "mit-text" in found[501] and "bsd-3-clause" in found[504] and found[505] == ""
     assert license_scan.license_scan(none).count() == 0
+
+
+def test_license_scan_with_words_on_each_line(spark):
+    """A word before every 12 words of a notice; then as many foreign words as leave under 0.8 of a notice."""
+    known = license_scan.TEMPLATES
+    lined = lambda name, size, put: " ".join(w + (put if i % size == 0 else "") for i, w in enumerate(TOKEN.findall(low(known[name])), 1))
+    names = [n for n in known if len(TOKEN.findall(low(known[n]))) > 24]
+    cases = [(i, lined(n, 12, " rem")) for i, n in enumerate(names)] + [(100 + i, lined(n, 4, " zz zz zz")) for i, n in enumerate(names)]
+    got = {r["doc_id"]: r for r in rows(license_scan.license_scan(spark.createDataFrame(cases, "doc_id long, text string"), phrases={}))}
+    for i, n in enumerate(names):
+        assert n in got[i]["labels"].split(",") and got[i]["score"] > 0.9
+        assert got[100 + i]["labels"] == "" and got[100 + i]["score"] == 0
