@@ -64,7 +64,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     # the level if this source and all later ones are below their caps
     free = levels.withColumn("rest", F.col("total") - F.col("cap_before")).withColumn("rest_weight", F.col("all_weight") - F.col("weight_before"))
     open_ = F.col("cap") * F.col("rest_weight") >= F.col("weight") * F.col("rest")
-    first_open = F.min(F.when(open_, F.struct(F.col("cap") / F.col("weight"), "rest", "rest_weight"))).over(everything)
+    # of sources with equal cap over weight the window's first: the others have it among the capped
+    first_open = F.min(F.when(open_, F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull().alias("none"), "source", "rest", "rest_weight"))).over(everything)
     level = free.select("source", "source_size", "weight", "cap", first_open.alias("level"))
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level.rest") / F.col("level.rest_weight"))
     return level.select("source", "source_size", F.coalesce(target, F.lit(0.0)).cast("double").alias("target"))

@@ -171,6 +171,15 @@ def test_mixing_caps(spark):
     assert (got["a"]["taken"], got["c"]["taken"], got[None]["taken"]) == (30, 15, 0) and got["b"]["taken"] == 970
 
 
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100, "d": 100, "e": 100, None: 100}, {"a": 50, "b": 20, "c": 10}])
+def test_mixing_ties(spark, sizes):
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    got = {r["source"]: r for r in rows(mixing.mix(df))}
+    want = waterfill(sizes)
+    assert math.isclose(sum(r["target"] for r in got.values()), sum(sizes.values()))
+    assert all(math.isclose(r["target"], want[s]) and abs(r["taken"] - want[s]) <= 1 and r["epochs"] >= 0 for s, r in got.items())
+
+
 # -- 4
 
 
