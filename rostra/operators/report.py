@@ -29,8 +29,8 @@ def crosstab_long(records: DataFrame) -> DataFrame:
 
 def crosstab(records: DataFrame) -> DataFrame:
     """The printed form: one row per city in order and a TOTAL row, one column per specialty present in rank order; a city's
-    zero is null. The columns are the specialties, a small fixed vocabulary, which is listed on the driver."""
-    present = [r[0] for r in counts_by_city(records).filter("specialite <> ''").select("specialite").distinct().select("specialite", specialty_rank("specialite").alias("k")).orderBy("k", "specialite").select("specialite").limit(1000).collect()]
+    zero is null. All specialties are columns, also labels that no rule resolved; they are listed on the driver."""
+    present = [r[0] for r in counts_by_city(records).filter("specialite <> ''").select("specialite").distinct().select("specialite", specialty_rank("specialite").alias("k")).orderBy("k", "specialite").select("specialite").collect()]
     wide = crosstab_long(records).groupBy("ville").pivot("specialite", ["Total", *present]).agg(F.sum("named"))
     last = F.col("ville") == "TOTAL"
     cell = lambda c: F.when(last, F.coalesce(F.col(f"`{c}`"), F.lit(0))).otherwise(F.nullif(F.col(f"`{c}`"), F.lit(0)))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rostra.functions import names, specialty, text
 from rostra.functions.metaphone import metaphone
+from rostra.operators import report
 
 
 def values(spark, inputs, expr):
@@ -102,3 +103,11 @@ def test_rules(spark):
     assert [r[0] for r in df.select(text.is_transfer("notes", "source")).collect()] == [True, True, True, False]
     df = spark.createDataFrame([("B + A", "C"), ("A", "A"), ("", "Z"), ("B", "")], "a string, b string")
     assert [r[0] for r in df.select(text.union_sources("a", "b")).collect()] == ["A + B + C", "A", "Z", "B"]
+
+
+def test_crosstab_has_all_specialties(spark):
+    n = 1003
+    df = spark.createDataFrame([("Nice", f"LABEL {i:04d}", "X") for i in range(n)], "ville string, specialite string, nom string")
+    got = {r["ville"]: r.asDict() for r in report.crosstab(df).collect()}
+    assert set(got) == {"Nice", "TOTAL"}
+    assert all(len(r) == n + 2 and r["Total"] == n == sum(v for k, v in r.items() if k.startswith("LABEL")) for r in got.values())
