@@ -127,15 +127,34 @@ SECTION_CITIES = {
     "CHU Brest": "Brest",
 }
 
-#: Common French first names. A longer lexicon is a parameter of the functions that use it.
-FIRST_NAMES = """adele adrien agathe agnes alain albert alexandra alexandre alexis alice aline amandine amelie anais andre anne annie
-antoine arnaud arthur audrey aurelie aurelien axel baptiste beatrice benedicte benjamin benoit bernard bertrand brigitte bruno camille
-carole caroline catherine cecile celine chantal charles charlotte chloe christelle christian christine christophe claire claude claudine
-clement clementine colette coralie corinne cyril damien daniel danielle david delphine denis denise didier dominique edouard elisabeth
-elise elodie emeline emilie emma emmanuel emmanuelle eric estelle etienne eva fabien fabienne fabrice farah florence florent florian
-franck francois francoise frederic frederique gabriel gaelle genevieve georges gerard gilbert gilles gregory guillaume guy helene henri
-herve hugo isabelle jacqueline jacques jean jerome jeanne joel jonathan josephine jules julie julien juliette karine kevin laetitia
-laura laure laurence laurent lea lionel louis louise luc lucas lucie ludovic magali marc marcel marie marine marion martine mathieu
-maxime michel michele mireille monique muriel nadine nathalie nicolas nicole noemie odile olivier pascal patrick paul pauline philippe
-pierre remi renaud robert roger romain sabine sandrine sebastien serge simon solene sophie stephane stephanie sylvie thierry thomas
-valerie veronique victor vincent virginie xavier yann yves yvonne""".split()
+#: Common French first names, all of the reference's lexicon. Another lexicon is a parameter of the functions that use it.
+FIRST_NAMES = """adrien agathe alain alban albane alexandra alexandre alexis alice aline alix amandine ambre amelie anais andre andrea
+angele angelique anna anne annick annie anthony antoine antoinette antonin apolline aramis ariane arnaud arthur auguste augustin aurelie
+aurelien aurore axel axelle baptiste barbara bastien beatrice benjamin benoit bernadette bernard bertrand blanche boris brice brigitte bruno
+camille capucine carine carla carole caroline catherine cecile cedric celeste celia celine chantal charles charlie charline charlotte chloe
+christelle christian christiane christine christophe claire claude claudine clelia clement clementine clotilde colette colin come constance
+constant corentin corinne cyril cyrille damien daniel daniele danielle david delphine denis denise diane didier dimitri dominique dorothee
+edgard edith edmond edouard elena eleonore eliane elie eliott elisa elisabeth elise ellen elodie eloi eloise elsa emile emilie emilien emma
+emmanuel emmanuelle enora eric erika ernest esteban estelle esther etienne eugene eugenie eva evan eve evelyne fabien fabienne fabrice fanny
+felicie felix ferdinand fernand fernande fiona flavie flavien fleur flore florence florent florentin florian florine francis francois
+francoise frederic frederique gabriel gabrielle gael gaelle gaetan garance gaspard gaston gautier genevieve geoffrey geoffroy georges gerald
+geraldine gerard germaine ghislaine gilbert gilberte gilles ginette giovanni gisele gregoire gregory guillaume guillemette guy guylaine
+gwenaelle hadrien hanna harold helene henri henriette herve hippolyte honore hortense hugo hugues ianis igor ines ingrid irene iris isaac
+isabelle isaure ismail jacinthe jack jacob jacqueline jacques jade james jason jean jeanne jeannette jeannine jennifer jeremie jeremy jerome
+jessica joachim jocelyn jocelyne joel joelle johan johanne john joseph josephine josette josiane josua judith julia julie julien juliette
+justine karine karl katell katia kevin killian laeticia laetitia laurane laure laurence laurent laurie lea leandre leila leo leon leonard
+leonie leopold leslie lia liam lili lilian liliane lilou linda lisa lise lisette livia loic lola lorenzo lorraine louis louisa louise louna
+lubin luc luca lucas lucie lucien lucienne ludivine ludovic luna lydia lydie mael maelle magali magdalena maia maitena manon marc marceau
+marcel marceline marcelle margaux margot marguerite maria mariam marianne marie mariette marilyn marin marina marine marion marius marjorie
+martial martine marvin mary maryline maryse mathias mathieu mathilde mathis mathurin mathys matteo mattheo maud maude maurice maxence maxime
+maximilien melanie melina meline melissa melodie michael michel michele micheline michelle miguel mila milan milo mireille mohamed monique
+morgan morgane muriel myriam nadege nadia nadine nancy naomi nathalie nathan nathaniel nelly nestor nicolas nicole nils noa noah noe noelie
+noelle noemie nolan norbert norma norman octave odette odile olga olivia olivier ombeline ophelie oscar oswald owen pablo paola pascal
+pascale patrice patricia patrick paul paule paulette pauline perrine peter philemon philippe philippine pierre pierrette pierrick prune
+quentin rachel raoul raphael raphaelle raymond raymonde rebecca regine remi remy renaud rene renee rita robert roberte robin roch rodolphe
+rodrigue roger roland romain romane romeo rosalie rose roseline sabine sabrina salome samira samuel sandra sandrine sarah sasha sebastien
+segolene serge severine side sidonie silvain silvie simon simone solange solene soline sonia sophie stephane stephanie steven suzanne suzie
+sybille sylvain sylvette sylvie tanguy tania tatiana thais thao thea theo theodore theophane theophile therese thibault thibaut thierry
+thomas tiago timothe timothee titouan tom tony tristan ugo ulysse valentin valentine valeria valerie valery vanessa vera veronique victoire
+victor victoria viktor vincent violette virginie vivien vladimir walid wendy william xavier yanis yann yannick yasmine yolande yves yvette
+yvon yvonne zelie zoe""".split()

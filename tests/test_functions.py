@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rostra.functions import names, specialty, text
+from rostra.functions import dims, names, specialty, text
 from rostra.functions.metaphone import metaphone
 from rostra.operators import report
 
@@ -105,6 +105,14 @@ def test_rules(spark):
     assert [r[0] for r in df.select(text.union_sources("a", "b")).collect()] == ["A + B + C", "A", "Z", "B"]
 
 
+def test_first_names_of_the_whole_lexicon(spark):
+    """Surnames follow first names from all over the reference's list."""
+    first = ["Raphael", "Marguerite", "Corentin", "Bastien", "Zoe", "Timothée"]
+    df = spark.createDataFrame([(f"{x} Blanc",) for x in first], "person string")
+    got = [r[0].asDict() for r in df.select(names.normalize_name("person")).collect()]
+    assert [(g["nom"], g["prenom"]) for g in got] == [("BLANC", x) for x in first] and len(set(dims.FIRST_NAMES)) == 548
+
+
 def test_crosstab_has_all_specialties(spark):
     n = 1003
     df = spark.createDataFrame([("Nice", f"LABEL {i:04d}", "X") for i in range(n)], "ville string, specialite string, nom string")
