@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .quality_classifier import held_out
 
 LEVEL, MIN_MATCH, MIN_MARGIN, UNKNOWN = 3, 3, 0.01, "und"
-#: A dictionary is learned from at most MAX_DOCS documents of a language, those whose hashed doc_id is smallest, with at most
-#: MAX_CHARS characters of each.
-MAX_DOCS, MAX_CHARS = 200, 2048
+#: A dictionary is learned from at most MAX_DOCS whole documents of a language, those whose hashed doc_id is smallest, the last
+#: of them the one that reaches MAX_CHARS characters in all.
+MAX_DOCS, MAX_CHARS = 200, 200 * 2048
 #: Bytes of size difference that halve a language's share of the score.
 HALF = 8.0
 
@@ -30,8 +30,10 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """For each language seen in rows that are not held out, lower-cased text of some of them."""
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("lang is not null and text rlike '\\\\p{L}'").filter(~held_out(F.col("k")))
-    rows = rows.select("lang", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("k").alias("o"))
+    rows = rows.select("lang", "text", F.xxhash64("k").alias("o"))
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).filter(F.col("n") <= max_docs)
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < max_chars)
     found: dict[str, list] = {}
     for r in best.select("lang", "n", "text").collect():
         found.setdefault(r["lang"], []).append((r["n"], r["text"]))

@@ -317,6 +317,15 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in rows(language_id.language_id(docs.limit(5).withColumn("lang", docs["lang"].cast("string")).filter("lang is null")))} == set()
 
 
+def test_language_dictionaries_hold_whole_documents(spark):
+    head = "shared header of all documents " * 100
+    docs = spark.createDataFrame([(i, head + ("ende der seite" if i % 2 else "bas de la page"), "de" if i % 2 else "fr") for i in range(60)], "doc_id long, text string, lang string")
+    known = language_id.dictionaries(docs)
+    assert b"ende der seite" in known["de"] and b"bas de la page" in known["fr"]
+    few = language_id.dictionaries(docs, max_chars=len(head) + 100)
+    assert all(k.count(b"seite") + k.count(b"page") == 2 for k in few.values())
+
+
 # -- 7
 
 
