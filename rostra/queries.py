@@ -344,7 +344,7 @@ SELECT * FROM c UNION ALL SELECT 'TOTAL', sum("Total")::BIGINT, {", ".join(f'coa
     "q_infer_log": f"""{_SITES}, b AS (SELECT m.*, s.* EXCLUDE (city, hospital) FROM m JOIN s ON s.city = m.city AND s.hospital = m.hospital)
 {" UNION ALL ".join(f"SELECT first_ordinal AS ordinal, '[Inference] {f} ambigu pour  ' || nom || ' (' || display || '): valeurs (' || array_to_string(list_transform(s_{f}, lambda v: chr(39) || v || chr(39)), ', ') || ') — laisse vide' AS message FROM b WHERE {f} = '' AND len(s_{f}) > 1" for f in inferring.INFERRED)}""",
     "q_match_best": f"""{_R}, k AS (SELECT ordinal AS o, {_key('nom')} AS n, specialite AS sp, {_key('ville')} AS c, {_hospital('hopital')} AS h FROM r),
-x AS (SELECT a.o AS ordinal, b.o AS match, levenshtein(a.n, b.n)::INTEGER AS distance FROM k a JOIN k b ON a.o % 3 = 1 AND b.o % 3 = 2 AND abs(length(a.n) - length(b.n)) <= 2 AND levenshtein(a.n, b.n) <= 2 AND levenshtein(a.c, b.c) <= 3
+x AS (SELECT a.o AS ordinal, b.o AS match, levenshtein(a.n, b.n)::INTEGER AS distance FROM k a JOIN k b ON a.o <> b.o AND a.n <> '' AND b.n <> '' AND abs(length(a.n) - length(b.n)) <= 2 AND levenshtein(a.n, b.n) <= 2 AND levenshtein(a.c, b.c) <= 3
   AND (a.sp = b.sp OR a.sp = '' OR b.sp = '') AND (a.h = b.h OR a.h = '' OR b.h = ''))
 SELECT ordinal, match, distance FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY distance, match) AS n FROM x) WHERE n = 1""",
     "q_components": _PAIRS.replace("WITH d", "WITH RECURSIVE d", 1) + """, e AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), reach(x, y) AS (SELECT k, k FROM k UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y)
