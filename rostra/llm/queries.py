@@ -72,7 +72,7 @@ caps AS (SELECT source, source_size, CASE r WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 E
 run AS (
   SELECT *, sum(source_size) OVER ()::BIGINT - coalesce(sum(cap) OVER before, 0)::BIGINT AS rest, sum(w) OVER ()::BIGINT - coalesce(sum(w) OVER before, 0)::BIGINT AS rw
   FROM caps WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lvl AS (SELECT rest, rw FROM run WHERE cap * rw >= w * rest ORDER BY cap / w, rest, rw LIMIT 1),
+lvl AS (SELECT rest, rw FROM run WHERE cap * rw >= w * rest ORDER BY cap / w, source NULLS LAST LIMIT 1),
 goal AS (
   SELECT source, source_size, least(cap::DOUBLE, (w * lvl.rest)::DOUBLE / lvl.rw) AS target FROM run, lvl),
 plan AS (SELECT *, floor(target / source_size)::BIGINT AS e FROM goal),
