@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, text_or_empty, written
+from ._shared import fresh_path, remove, text_or_empty, written
 
 MIN_LENGTH, MIN_DOCS, BATCHES, FANOUT, HOT_SHARE = 40, 5, 4, 2, 10_000
+#: Lines for each bucket of a run, and buckets that Spark allows.
+BUCKET_ROWS, MAX_BUCKETS = 2_000_000, 100_000
 STRIP = b" \t\n\x0b\x0c\r"
 LINE_SCHEMA = "row_no long, doc_id long, h1 long, h2 long, places array<int>"
 
@@ -42,53 +48,87 @@ def hash_lines(min_length: int):
     return run
 
 
+@contextmanager
+def stored_order(spark: SparkSession):
+    """Bucketed tables are read in the order in which they are stored, for the plans made inside."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class LineRuns:
-    """A log-structured store of line hashes: sorted runs on levels, each run a Parquet table sorted by hash.
+    """A log-structured store of line hashes: sorted runs on levels, each run a table bucketed and sorted by hash.
 
-    A run has one row per hash: n (documents that hold the line) and top (the largest doc_id among them). add() merges a
-    batch against the runs, writes what the batch brings as one run of level 0, and folds a level of `fanout` runs into one
-    run of the next level. Runs are immutable, so a lost executor costs a task only.
+    A run has one row per hash, with its owner: top, the largest doc_id that held the line when it came. add() merge-anti-joins
+    a batch with the runs, one after the other and in their stored order, writes what is left as one run of level 0, and
+    merges a level of `fanout` runs into one run of the next. So a hash is in one run, and the batch that brought it first
+    decides its owner. Runs are immutable, so a lost executor costs a task only. close() drops all runs.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout, self.levels = spark, buckets, fanout, []
+        self.paths: dict[str, str] = {}
 
-    def runs(self) -> DataFrame | None:
-        """All runs' rows; a hash has one row in each run that holds it."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema("h1 long, h2 long, n long, top long").parquet(*paths) if paths else None
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = fresh_path(self.spark, f"run-level{level}")
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def _table(self, rows: DataFrame) -> str:
+        name = f"rostra_run_{uuid.uuid4().hex}"
+        self.paths[name] = fresh_path(self.spark, "run")
+        with stored_order(self.spark):
+            rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).format("parquet").saveAsTable(name)
+        return name
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        self._drop(*list(self.paths))
+        self.levels = []
+
+    @staticmethod
+    def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs without a common hash as one, by a merge of what is sorted already."""
+        return a.hint("merge").join(b.withColumnRenamed("top", "other"), ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("top", "other").alias("top"))
 
     def compact(self, level: int) -> None:
         """All runs of a level become one of the next."""
         old, self.levels[level] = self.levels[level], []
-        rows = self.spark.read.schema("h1 long, h2 long, n long, top long").parquet(*old)
-        self._write(rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top")), level + 1)
+        with stored_order(self.spark):
+            merged = self._table(reduce(self._both, [self.spark.table(n) for n in old]))
+        self._drop(*old)
+        if len(self.levels) == level + 1:
+            self.levels.append([])
+        self.levels[level + 1].append(merged)
 
     def add(self, lines: DataFrame) -> None:
-        """lines: doc_id, h1, h2. Batches come in falling order of doc_id, so a hash that an earlier batch brought already has
-        its largest doc_id: the anti join picks out the hashes that are new and alone carry one."""
-        own = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
-        older = self.runs()
-        if older is not None:
-            own = written(own, "batch")
-            fresh = own.join(older.select("h1", "h2"), ["h1", "h2"], "left_anti")
-            seen = own.join(older.select("h1", "h2"), ["h1", "h2"], "left_semi").withColumn("top", F.lit(None).cast("long"))
-            own = fresh.unionByName(seen)
-        self._write(own, 0)
+        """lines: doc_id, h1, h2. Batches come in falling order of doc_id, so the first one that brings a hash has its largest
+        doc_id."""
+        own = lines.groupBy("h1", "h2").agg(F.max("doc_id").alias("top")).repartition(self.buckets, "h1", "h2")
+        name = self._table(own)
+        runs = self.runs()
+        if runs:
+            with stored_order(self.spark):
+                fresh = reduce(lambda left, run: left.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), runs, self.spark.table(name))
+                batch, name = name, self._table(fresh)
+            self._drop(batch)
+        if not self.levels:
+            self.levels.append([])
+        self.levels[0].append(name)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self.compact(level)
             level += 1
 
-    def merged(self) -> DataFrame:
-        return self.runs().groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    def owners(self) -> DataFrame:
+        """h1, h2, top of all hashes."""
+        return reduce(DataFrame.unionByName, self.runs())
 
 
 def batches(lines: DataFrame, n: int) -> list[DataFrame]:
@@ -107,11 +147,13 @@ def batches(lines: DataFrame, n: int) -> list[DataFrame]:
 def repeated_places(lines: DataFrame, n_batches: int = BATCHES, min_docs: int = MIN_DOCS, fanout: int = FANOUT) -> DataFrame:
     """row_no, id (doc_id, 0 for null) and gone: the places (line numbers) that go. Hashes held by at least one in HOT_SHARE of all (document, line) pairs, of
     which there are HOT_SHARE at most, are looked up by broadcast, so no task gets all documents that share a line."""
-    store = LineRuns(lines.sparkSession, fanout)
+    total = lines.count()
+    store = LineRuns(lines.sparkSession, min(MAX_BUCKETS, max(8, -(-total // BUCKET_ROWS))), fanout)
     for batch in batches(lines, n_batches):
         store.add(batch)
-    frequent = written(store.merged().filter(F.col("n") >= min_docs), "frequent")
-    total = lines.count()
+    held = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+    frequent = written(held.join(store.owners(), ["h1", "h2"]), "frequent")
+    store.close()
     hot = F.broadcast(frequent.filter(F.col("n") * HOT_SHARE >= total).withColumn("hot", F.lit(True)))
     tagged = lines.join(hot, ["h1", "h2"], "left")
     stays = F.coalesce(F.col("doc_id") == F.col("top"), F.col("top").isNull())
