@@ -9,7 +9,11 @@ from ._shared import NOT_WS, WS, written
 
 #: Characters that lower a document's quality weight.
 SYMBOLS = r"[#*$%&|<>!]"
-WEIGHTS, MAX_EPOCHS, SEED, SLICES = (5, 2, 1), 3, "mix-1", 4096
+WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
+#: Slices of the keys for each doubling of a key, and of such a slice again.
+SLICES = 1024
+#: Weights given by the caller count as this at least; so do null ones.
+LEAST = 1e-6
 
 
 def n_words(text: Column) -> Column:
@@ -37,7 +41,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality:
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(text).alias("size"),
-        (-F.log(uniform(F.lit(seed), F.col(id_col))) / (quality_weight(text) if quality is None else quality)).alias("key"),
+        (-F.log(uniform(F.lit(seed), F.col(id_col))) / (quality_weight(text) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(LEAST)))).alias("key"),
         F.xxhash64(text).alias("tie"),
         *more,
     )
@@ -71,34 +75,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     return level.select("source", "source_size", F.coalesce(target, F.lit(0.0)).cast("double").alias("target"))
 
 
-def plan(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slices: int = SLICES) -> DataFrame:
+def slice_of(key: str = "key") -> tuple[Column, Column]:
+    """(slice, part of it) of a key, both in the order of the keys. Slices are even in the key's logarithm, where keys of weight w
+    have the same density as keys of weight 1, only moved: whatever the weights, a slice holds at most about one in 4000
+    of a source's documents, and a part at most about one in 4 million."""
+    place = F.log2(F.col(key)) * SLICES
+    return F.floor(place).cast("int"), F.floor((place - F.floor(place)) * SLICES).cast("int")
+
+
+def ending(sums: DataFrame, due: DataFrame, at: str) -> DataFrame:
+    """s, `at`, before, rest: where each source's budget ends. sums: source, `at`, words; due: s, rest, and the words before
+    all of sums."""
+    running = Window.partitionBy("source").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = sums.join(due, F.col("s").eqNullSafe(F.col("source"))).withColumn("upto", F.col("before") + F.sum("words").over(running))
+    ends = joined.filter((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
+    return ends.select("s", at, (F.col("upto") - F.col("words")).alias("before"), "rest")
+
+
+def plan(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per source: source_size, target, epochs, and where the fractional epoch ends (the last document's key, doc_id
     and tie, and the words that it gives).
 
-    Keys are cut into slices that keep their order. Sums by source and slice leave each task, a running sum over them finds
-    the slice in which a source's budget ends, and only that slice's rows (about one in 4096 of a source) are sorted.
+    Sums by source and slice leave each task, a running sum over them finds the slice in which a source's budget ends; the same
+    by parts of that slice finds the part, and only that part's rows are sorted.
     """
-    slice_of = F.floor(slices * (1 - F.exp(-F.col("key")))).cast("int")
-    by_slice = written(stats.groupBy("source", slice_of.alias("slice")).agg(F.sum("size").alias("words")), "slices")
+    coarse, fine = slice_of()
+    stats = stats.withColumn("coarse", coarse).withColumn("fine", fine)
+    by_slice = written(stats.groupBy("source", "coarse").agg(F.sum("size").alias("words")), "slices")
     sizes = by_slice.groupBy("source").agg(F.sum("words").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budgets = source_targets(sizes, weights, max_epochs).withColumn("epochs", epochs)
     budgets = budgets.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + F.lit(0.5)).cast("long"))
     budgets = written(budgets, "budgets")
-    running = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = by_slice.withColumn("upto", F.sum("words").over(running)).withColumnRenamed("source", "s")
-    same = F.col("s").eqNullSafe(F.col("source"))
-    ends = sums.join(budgets, same).filter((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
-    ends = ends.select("s", "slice", (F.col("upto") - F.col("words")).alias("before"), "rest")
-    inside = stats.select(F.col("source"), slice_of.alias("at"), "size", "key", "doc_id", "tie")
-    inside = inside.join(ends, F.col("s").eqNullSafe(F.col("source")) & (F.col("slice") == F.col("at")))
+    of_source = F.col("s").eqNullSafe(F.col("source"))
+    first = ending(by_slice, budgets.select(F.col("source").alias("s"), F.lit(0).cast("long").alias("before"), "rest"), "coarse")
+    inside = stats.join(first.withColumnRenamed("coarse", "c"), of_source & (F.col("c") == F.col("coarse"))).drop("c", "coarse")
+    inside = written(inside, "slice")
+    parts = inside.groupBy("source", "fine").agg(F.sum("size").alias("words"))
+    second = written(ending(parts, first.drop("coarse"), "fine"), "ends")
+    last = inside.drop("s", "before", "rest").join(second.withColumnRenamed("fine", "f"), of_source & (F.col("f") == F.col("fine")))
     order = Window.partitionBy("s").orderBy("key", F.col("doc_id").isNull(), "doc_id", "tie")
     peers = Window.partitionBy("s", "key", "doc_id", "tie")
-    cut = inside.filter("size > 0").select("s", "key", "doc_id", "tie", "rest", "size", F.count(F.lit(1)).over(peers).alias("peers"), (F.col("before") + F.sum("size").over(order)).alias("upto"))
-    first = F.col("upto") - F.col("size") * F.col("peers")
-    cut = cut.filter((first < F.col("rest")) & (F.col("rest") <= F.col("upto"))).groupBy("s", "key", "doc_id", "tie").agg(F.max(F.floor((F.col("rest") - first) / F.col("peers"))).cast("long").alias("part"))
+    cut = last.filter("size > 0").select("s", "key", "doc_id", "tie", "rest", "size", F.count(F.lit(1)).over(peers).alias("peers"), (F.col("before") + F.sum("size").over(order)).alias("upto"))
+    first_word = F.col("upto") - F.col("size") * F.col("peers")
+    cut = cut.filter((first_word < F.col("rest")) & (F.col("rest") <= F.col("upto"))).groupBy("s", "key", "doc_id", "tie").agg(F.max(F.floor((F.col("rest") - first_word) / F.col("peers"))).cast("long").alias("part"))
     cut = cut.select("s", F.struct("key", F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("last"), "part")
-    return budgets.join(cut, F.col("s").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "epochs", "last", "part")
+    return budgets.join(cut, of_source, "left").select("source", "source_size", "target", "epochs", "last", "part")
 
 
 def taken(stats: DataFrame, sources: DataFrame) -> DataFrame:
