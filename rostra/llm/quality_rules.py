@@ -9,14 +9,28 @@ from pyspark.sql import functions as F
 
 from ._shared import NOT_WS, WS
 
-# Common function words of English, German, French and Spanish.
+# Common function words of languages written in Latin letters: English, German, French, Spanish, Italian, Portuguese,
+# Dutch, Swedish, Polish, Czech, Hungarian, Finnish, Turkish, Romanian.
 STOP_WORDS = """the of and to a in that is was for it with as his on be at by this had not are but from or have an they which
 der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach
 de la le et les des en un une du que est pour qui dans par plus pas sur ne se ce il au avec
-el los las y un una por con para su al lo como más o pero sus le ya este""".split()
+el los las y un una por con para su al lo como más o pero sus le ya este
+di che non per della sono del più gli
+os em não uma da do com
+het een van dat niet zijn voor met
+och att det som på är av
+i na się nie jest że w z
+je že by v jsou
+az és hogy egy nem
+ja on ei se että
+ve bir bu için ile
+și în cu mai""".split()
 SYMBOLS = r"[#*$%&|<>]"
 
-#: (measure, lowest allowed, highest allowed); None: no bound. Ratios are 0 where their denominator is 0.
+LATIN = "A-Za-zÀ-ɏ"
+
+#: (measure, lowest allowed, highest allowed); None: no bound. Ratios are 0 where their denominator is 0; a null measure does
+#: not apply and breaks no rule. The share of stop words does not apply where most letters are not Latin ones.
 THRESHOLDS = (
     ("mean_word_length", 2.0, 14.0),
     ("symbols_per_word", None, 0.25),
@@ -53,6 +67,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size(F.filter("lines", lambda x: x.rlike(rf"^{WS}*[-*•]"))).alias("n_bullets"),
         F.size(F.filter("lines", lambda x: x.rlike(rf"(\.\.\.|…){WS}*$"))).alias("n_ellipses"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop_words"),
+        F.length(F.regexp_replace("text", f"[^{LATIN}]+", "")).alias("n_latin"),
+        F.length(F.regexp_replace("text", r"\P{L}+", "")).alias("n_letters"),
         hashes.alias("windows"),
     )
     places = F.sequence(F.lit(0), F.size("windows") - 1)
@@ -71,7 +87,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(F.col("pairs").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
         ratio(F.col("word_chars"), F.col("n_words")).alias("mean_word_length"),
         ratio(F.col("n_symbols"), F.col("n_words")).alias("symbols_per_word"),
-        ratio(F.col("n_stop_words"), F.col("n_words")).alias("stop_word_share"),
+        F.when(2 * F.col("n_latin") >= F.col("n_letters"), ratio(F.col("n_stop_words"), F.col("n_words"))).alias("stop_word_share"),
         ratio(lines - F.size(F.array_distinct("line_hashes")), lines).alias("duplicate_line_share"),
         ratio(F.col("n_bullets"), F.col("n_lines")).alias("bullet_line_share"),
         ratio(F.col("n_ellipses"), F.col("n_lines")).alias("ellipsis_line_share"),

@@ -110,13 +110,14 @@ m AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS n_stop, len(lines) AS n_lines, len(full_lines) AS n_full,
+    len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS n_stop,
+    length(regexp_replace(text, '[^A-Za-zÀ-ɏ]+', '', 'g')) AS n_latin, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters, len(lines) AS n_lines, len(full_lines) AS n_full,
     len(list_filter(lines, lambda x: regexp_matches(x, '^{_WS}*[-*•]'))) AS n_bullets,
     len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…){_WS}*$'))) AS n_ellipses
   FROM w LEFT JOIN cov USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.25 AND n_stop / n_words >= 0.02
+  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.25 AND (2 * n_latin < n_letters OR n_stop / n_words >= 0.02)
     AND n_dup_lines / greatest(n_full, 1) <= 0.5 AND n_bullets / n_lines <= 0.9 AND n_ellipses / n_lines <= 0.5 AS kept
 FROM v"""
 
