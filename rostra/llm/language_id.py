@@ -18,11 +18,11 @@ MAX_DOCS, MAX_CHARS = 200, 200 * 2048
 HALF = 8.0
 
 _LETTER = regex.compile(r"\p{L}")
-_OTHER = regex.compile(r"[^\p{L}]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def words_only(text: str) -> bytes:
-    """Lower case, everything but letters one space."""
+    """Lower case, everything but letters and their marks one space."""
     return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
 
 
