@@ -1,20 +1,21 @@
-"""Counting by sorted blocks: tasks send compressed counts to shards, and shards become memory-mapped files."""
+"""Questions to shards: tasks send compressed blocks of keys to shards, each shard answers every block, and the answers come back
+to the slice of texts that asked. No task reads another's whole state, whatever its size."""
 
 from __future__ import annotations
 
 import json
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import as_bytes, slices
-
-#: Keys that a task gathers before it sends them on, and that a shard takes in before it merges them.
-GATHER, MERGE = 2 << 20, 2 << 20
+#: A block on its way to a shard. origin, begin and size: file, place and length of the asking slice's own data.
+ASKED = "origin string, begin long, size long, shard int, blob binary"
+ANSWERED = "origin string, begin long, size long, shard int, blob binary, n long, total long"
 
 
 # -- files in the shared folder --------------------------------------------------------------------------------------------
@@ -54,105 +55,138 @@ def read_arrays(uri: str) -> tuple[dict, list[np.ndarray]]:
     return meta, arrays
 
 
-# -- gathering counts ------------------------------------------------------------------------------------------------------
+class Keeper:
+    """The file in which a task keeps what it needs of its slices until the answers are there. Each attempt has a file of its own,
+    whose name travels with the questions, so an attempt that runs again never meets the data of another."""
+
+    def __init__(self, folder: str):
+        self.uri, self.out, self.at = f"{folder}/kept-{uuid.uuid4().hex}", None, 0
+
+    def keep(self, data: bytes) -> tuple[str, int, int]:
+        if self.out is None:
+            fs, path = _file_system(self.uri)
+            fs.create_dir(os.path.dirname(path), recursive=True)
+            self.out = fs.open_output_stream(path)
+        begin = self.at
+        self.out.write(data)
+        self.at += len(data)
+        return self.uri, begin, len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
 
+class Kept:
+    """Reads what keepers kept; the last file stays open."""
 
-def _planes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    def __init__(self):
+        self.uri, self.file = None, None
 
+    def read(self, uri: str, begin: int, size: int) -> bytes:
+        if uri != self.uri:
+            if self.file is not None:
+                self.file.close()
+            fs, path = _file_system(uri)
+            self.uri, self.file = uri, fs.open_input_file(path)
+        return self.file.read_at(size, begin)
 
-def encode_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane, and their counts, compressed."""
+
+# -- blocks ----------------------------------------------------------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, compressed."""
     import zstandard
 
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + _planes(steps) + _planes(counts.astype(np.uint32)))
+    head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
+    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + planes)
 
 
-def decode_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:8], "little")
-    unplane = lambda a, width, kind: np.ascontiguousarray(np.frombuffer(a, np.uint8).reshape(width, n).T).view(kind).ravel()
-    return np.cumsum(unplane(raw[8 : 8 + 8 * n], 8, np.uint64)), unplane(raw[8 + 8 * n :], 4, np.uint32)
+    n = int.from_bytes(raw[:4], "little")
+    at, out = 4 + n, []
+    for kind, length in json.loads(raw[4:at]):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * length, at).reshape(width, length).T).view(kind).ravel() if length else np.empty(0, kind))
+        at += width * length
+    return out
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, which pack well."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
-def gather_batches(keys_of, shard_of, most: int = GATHER):
-    """Texts to (shard, blob) rows of counted keys; keys_of gives a group of texts' (keys, counts)."""
-
-    def run(batches):
-        names = ["shard", "blob"]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
-
-        def flush():
-            k, c = merged([x for x, _ in held], [x for _, x in held])
-            shard = shard_of(k)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([encode_counts(k[part], c[part])], pa.binary())], names=names)
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its entries), shards in order."""
+    order = np.argsort(shard, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+        yield int(shard[part[0]]), part
 
-        for batch in batches:
-            for _, part, cuts in slices(*as_bytes(batch.column(0))):
-                held.append(keys_of(part, cuts))
-                count += len(held[-1][0])
-                if count >= most:
-                    yield from flush()
-                    held, count = [], 0
-        if held:
-            yield from flush()
 
-    return run
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the place among them of each."""
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return sorted_keys[new], place
 
 
-#: Spark's estimate for what it cannot estimate is larger than this.
-UNKNOWN_BYTES = 1 << 55
+def asked(kept: tuple[str, int, int], blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    n = len(blobs)
+    columns = [pa.array([kept[0]] * n, pa.string()), pa.array([kept[1]] * n, pa.int64()), pa.array([kept[2]] * n, pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["origin", "begin", "size", "shard", "blob"])
 
 
-def shard_bits(table: DataFrame, text_col: str, shard_bytes: int) -> int:
-    """Bits of the number of shards: one for each shard_bytes of the table as its reader estimates it, or else of its text; 8
-    to 16384."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > UNKNOWN_BYTES:
-        size = table.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    return min(14, max(3, (size // shard_bytes).bit_length()))
+# -- shards ----------------------------------------------------------------------------------------------------------------
 
 
-def built(blocks: DataFrame, n: int, build, report: str) -> DataFrame:
-    """What build gives for each of n shards of (shard, blob) rows. Each shard is a partition of its own."""
-    return blocks.repartitionById(n, F.col("shard")).mapInArrow(shard_batches(build), report)
+def text_bytes(texts: DataFrame, text_col: str = "text") -> int:
+    return texts.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
 
 
-def shard_batches(build):
-    """Rows (shard, blob) to what build(shard, keys, counts) gives for each shard among them."""
+def answered(questions: DataFrame, n: int, answer) -> DataFrame:
+    """questions: rows of ASKED, for n shards. answer(shard, blobs) gives, for one shard, the list of answers and two numbers that
+    the shard reports. A shard is a partition of its own; its number of blocks follows from n."""
 
     def run(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list] = {}
         for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = held.setdefault(shard, [])
-                parts.append(decode_counts(blob.as_py()))
-                if sum(len(k) for k, _ in parts[1:]) > max(MERGE, len(parts[0][0])):  # equal keys become one before more arrive
-                    parts[:] = [merged([k for k, _ in parts], [c for _, c in parts])]
-        for shard, parts in held.items():
-            yield build(shard, *merged([k for k, _ in parts], [c for _, c in parts]))
+            for row in batch.to_pylist():
+                held.setdefault(row["shard"], []).append(row)
+        for shard, rows in held.items():
+            answers, count, total = answer(shard, [r.pop("blob") for r in rows])
+            first = np.arange(len(rows)) == 0
+            columns = [pa.array([r[c] for r in rows], t) for c, t in (("origin", pa.string()), ("begin", pa.int64()), ("size", pa.int64()), ("shard", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(answers, pa.binary()), pa.array(np.where(first, count, 0)), pa.array(np.where(first, total, 0))], names=[c.split()[0] for c in ANSWERED.split(", ")])
 
-    return run
+    return questions.repartitionById(n, F.col("shard")).mapInArrow(run, ANSWERED)
 
 
-def by_shard(shard: np.ndarray):
-    """(shard, places of its entries)."""
-    order = np.argsort(shard, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-        yield int(shard[part[0]]), part
+def per_slice(answers: DataFrame, tell, schema: str) -> DataFrame:
+    """tell(data that the slice kept, {shard: answer}) gives record batches; slices come together by their origin and place."""
+
+    def run(batches):
+        kept, now, found = Kept(), None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["origin"], row["begin"], row["size"]
+                if key != now and now is not None:
+                    yield from tell(kept.read(*now), found)
+                    found = {}
+                now = key
+                found[row["shard"]] = row["blob"]
+        if now is not None:
+            yield from tell(kept.read(*now), found)
+
+    rows = answers.select("origin", "begin", "size", "shard", "blob")
+    return rows.repartition("origin", "begin").sortWithinPartitions("origin", "begin", "shard").mapInArrow(run, schema)

@@ -12,9 +12,9 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """Values of `width` bits each, end to end in 64-bit words (one spare word at the end)."""
     if not width:
         return np.zeros(1, np.uint64)
-    out, at = [], np.arange(width, dtype=np.uint64)
+    out = []
     for i in range(0, len(values), _BLOCK):
-        bits = ((values[i : i + _BLOCK, None].astype(np.uint64) >> at) & _U(1)).astype(np.uint8)
+        bits = np.unpackbits(values[i : i + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little")
         out.append(np.packbits(bits.ravel(), bitorder="little"))
     raw = np.concatenate(out) if out else np.empty(0, np.uint8)
     return np.frombuffer(raw.tobytes() + b"\0" * (-len(raw) % 8 + 8), np.uint64)

@@ -1,4 +1,4 @@
-"""LM scoring with an Elias-Fano n-gram trie: bigrams over a vocabulary, in memory-mapped shards."""
+"""LM scoring with an Elias-Fano n-gram trie: five levels in memory-mapped shards, asked by the tasks that hold the texts."""
 
 from __future__ import annotations
 
@@ -8,257 +8,366 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import built, by_shard, gather_batches, read_arrays, shard_bits, write_arrays
-from ._shared import fresh_path
+from ._blocks import ASKED, Keeper, answered, asked, by_shard, distinct, pack, per_slice, read_arrays, steps, text_bytes, unpack, write_arrays
+from ._shared import fresh_path, remove, written
 from ._words import Words, as_bytes, mix64, slices
 from .elias_fano import EliasFano
 from .quality_classifier import held_out
 
-ADD = 0.1
-#: Table bytes for each shard of the vocabulary, tokens for each shard of pairs.
-WORD_SHARD_BYTES, SHARD_TOKENS, MAX_PAIR_SHARDS = 32 << 20, 8 << 20, 1 << 16
-#: Probabilities are kept as 16-bit codes of their logarithm, STEP apart.
-STEP = 1 / 4096
+ORDER, ADD = 5, 0.1
+#: A context seen c times gives SPREAD * c ** GROWTH to the shorter context (Dirichlet smoothing, its mass grows as a context's
+#: number of distinct followers does).
+SPREAD, GROWTH = 1.5, 0.6
+#: Logarithms are kept as 16-bit codes, STEP apart; NONE: not in the trie.
+STEP, NONE = 1 / 4096, 65535
+#: Bytes of text for each shard, and that a task handles at once.
+SHARD_BYTES, SLICE_BYTES = 12 << 20, 4 << 20
+#: Bits of a word's hash inside the trie; counts of words and pairs go by 64-bit hashes.
+WORD_BITS = 48
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+PAIR, ODD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
-# -- level 1: the vocabulary -----------------------------------------------------------------------------------------------
+def spread(count: np.ndarray) -> np.ndarray:
+    return SPREAD * count**GROWTH
 
 
-def tokens(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the vocabulary with END last, number in it of each token, bounds): each text's words and then its end."""
-    w = Words(part, cuts)
-    vocabulary = np.append(w.hashes(), END)
-    n = len(cuts) - 1
-    bounds = w.bounds + np.arange(n + 1)
-    codes = np.full(len(w.codes) + n, len(vocabulary) - 1, np.int64)
-    codes[np.arange(len(w.codes)) + w.texts()] = w.codes
-    return vocabulary, codes, bounds
+def encode_log(value: np.ndarray) -> np.ndarray:
+    """Codes of numbers from 1e-15 to 10."""
+    return np.clip(np.round((1 - np.log10(value)) / STEP), 0, NONE - 1).astype(np.uint16)
 
 
-def word_keys(part, cuts):
-    vocabulary, codes, _ = tokens(part, cuts)
-    return vocabulary, np.bincount(codes, minlength=len(vocabulary))
+def decode_log(code: np.ndarray) -> np.ndarray:
+    """The numbers, 0 for NONE."""
+    return np.where(code == NONE, 0.0, 10.0 ** (1 - STEP * code.astype(np.float64)))
 
 
-def word_shard(bits: int):
-    return lambda hashes: (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def encode_count(count: np.ndarray) -> np.ndarray:
+    return np.round(np.log10(count) / STEP).astype(np.uint16)
 
 
-def build_words(folder: str):
-    def build(shard, keys, counts):
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        ef = EliasFano.of(keys)
-        write_arrays(f"{folder}/word-{shard}", {"n": ef.n, "low_bits": ef.low_bits}, [*ef.parts(), counts.astype(np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([ef.n], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "n", "total"])
+def decode_count(code: np.ndarray) -> np.ndarray:
+    """Counts up to 10 ** 15, 0 for NONE."""
+    return np.where(code == NONE, 0.0, 10.0 ** (STEP * code.astype(np.float64)))
 
-    return build
 
+# -- what a slice of texts asks --------------------------------------------------------------------------------------------
 
-class Vocabulary:
-    """Level 1 of the trie: word hash to number (its rank) and count."""
 
-    def __init__(self, folder: str, sizes: dict[int, int], bits: int):
-        self.starts = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(1 << bits)])]).astype(np.int64)
-        self.parts, self.shard = {}, word_shard(bits)
-        for s, n in sizes.items():
-            meta, (lows, highs, ones, counts) = read_arrays(f"{folder}/word-{s}")
-            self.parts[s] = EliasFano(n, meta["low_bits"], lows, highs, ones), counts
+def tokens(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the words and END, number of each token, bounds): each text's words and then its end."""
+    w = Words(part, cuts)
+    hashes = np.append(w.hashes(), END)
+    n = len(cuts) - 1
+    bounds = w.bounds + np.arange(n + 1)
+    codes = np.full(len(w.codes) + n, len(hashes) - 1, np.int64)
+    codes[np.arange(len(w.codes)) + w.texts()] = w.codes
+    vocabulary, place = distinct(hashes)
+    return vocabulary, place[codes], bounds
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: unknown) and counts (0: unknown)."""
-        number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for s, at in by_shard(self.shard(hashes)):
-            if s in self.parts:
-                ef, counts = self.parts[s]
-                place, found = ef.successor(hashes[at])
-                number[at[found]] = place[found] + self.starts[s]
-                count[at[found]] = counts[place[found]]
-        return number, count
 
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(numbers), np.int64)
-        for s, at in by_shard(np.searchsorted(self.starts, numbers, "right") - 1):
-            out[at] = self.parts[s][1][numbers[at] - self.starts[s]]
-        return out
+def pair_keys(vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of words and of pairs of neighbours, distinct and sorted; the place there of each word of the vocabulary; of each
+    token with the one before it). The end token stands before a text's first."""
+    before = np.roll(codes, 1)
+    before[bounds[:-1]] = np.searchsorted(vocabulary, END)
+    n = np.uint64(len(vocabulary))
+    both, which = distinct(before.astype(np.uint64) * n + codes.astype(np.uint64))
+    pairs = mix64(vocabulary[both // n] * ODD + vocabulary[both % n]) | PAIR
+    keys, place = distinct(np.concatenate([vocabulary & ~PAIR, pairs]))
+    return keys, place[: len(vocabulary)], place[len(vocabulary) :][which]
+
+
+def windows(vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct windows of ORDER word numbers from 1 on, in order, 0 where a text has ended; the window that begins at each place;
+    places' bounds). Places are each text's end token, as what stands before it, and its tokens; the window of the last
+    two places is -1, as all windows have three words at least."""
+    n = len(bounds) - 1
+    at = bounds + np.arange(n + 1)
+    line = np.full(len(codes) + n, np.searchsorted(vocabulary, END), np.int64)
+    line[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(bounds)) + 1] = codes
+    ends = np.repeat(at[1:], np.diff(at))
+    begin = np.flatnonzero(np.arange(len(line)) + 2 < ends)
+    columns = np.zeros((ORDER, len(begin)), np.int64)
+    for k in range(ORDER):
+        inside = begin + k < ends[begin]
+        columns[k][inside] = line[begin[inside] + k] + 1
+    order, new = sorted_rows(columns, len(vocabulary) + 1)
+    which = np.full(len(line), -1, np.int64)
+    which[begin[order]] = np.cumsum(new) - 1
+    return columns[:, order[new]], which, at
+
+
+def sorted_rows(columns: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows by their columns, which of the ordered ones differ from the row before). limit: above all values."""
+    bits = int(limit).bit_length()
+    most = max(1, 63 // bits)
+    packed = []
+    for i in range(0, len(columns), most):
+        key = np.zeros(columns.shape[1], np.uint64)
+        for c in columns[i : i + most]:
+            key = (key << np.uint64(bits)) | c.astype(np.uint64)
+        packed.append(key)
+    order = np.lexsort(packed[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for key in packed:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    return order, new
+
+
+def shards_of(vocabulary: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """A window's shard follows from its first three words, so that no frequent word or pair makes a shard large."""
+    h = np.concatenate([[np.uint64(0)], vocabulary >> np.uint64(64 - WORD_BITS)])
+    key = mix64(mix64(h[rows[0]] * ODD + h[rows[1]]) * ODD + h[rows[2]])
+    return (key % np.uint64(n)).astype(np.int64)
+
+
+def window_block(vocabulary: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """Windows in words of their own small vocabulary."""
+    used = np.zeros(len(vocabulary) + 1, bool)
+    for c in rows:
+        used[c] = True
+    used[0] = False
+    small = np.where(used, np.cumsum(used), 0)
+    kind = np.uint16 if small.max(initial=0) < 1 << 16 else np.uint32
+    hashes = vocabulary[np.flatnonzero(used) - 1] >> np.uint64(64 - WORD_BITS)
+    return pack(steps(hashes), counts.astype(np.uint32), *[small[c].astype(kind) for c in rows])
+
+
+def ask(folder: str, n: int):
+    """Texts (doc_id, learn, text) to questions: shards 0 to n - 1 have windows, n to 2n - 1 words and pairs."""
 
+    def run(batches):
+        keeper = Keeper(folder)
+        for batch in batches:
+            learn = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, part, cuts in slices(*as_bytes(batch.column(2)), SLICE_BYTES):
+                vocabulary, codes, bounds = tokens(part, cuts)
+                learned = learn[first : first + len(cuts) - 1].astype(bool)
+                ids = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cuts) - 1)], names=["doc_id"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, ids.schema) as out:
+                    out.write_batch(ids)
+                names = np.frombuffer(sink.getvalue(), np.uint8)
+                kept = keeper.keep(pack(names, steps(vocabulary), codes.astype(np.uint32), bounds.astype(np.int64)))
+                from_learned = np.repeat(learned, np.diff(bounds))
+                blobs = []
+                keys, word_place, pair_place = pair_keys(vocabulary, codes, bounds)
+                counts = np.bincount(word_place[codes], from_learned, len(keys)) + np.bincount(pair_place, from_learned, len(keys))
+                for s, at in by_shard((mix64(keys) % np.uint64(n)).astype(np.int64)):
+                    blobs.append((n + s, pack(steps(keys[at]), counts[at].astype(np.uint32))))
+                rows, which, places = windows(vocabulary, codes, bounds)
+                begin = np.flatnonzero(which >= 0)
+                counts = np.bincount(which[begin], np.repeat(learned, np.diff(places))[begin], rows.shape[1])
+                for s, at in by_shard(shards_of(vocabulary, rows, n)):
+                    blobs.append((s, window_block(vocabulary, rows[:, at], counts[at])))
+                yield asked(kept, blobs)
+        keeper.close()
 
-# -- level 2: pairs --------------------------------------------------------------------------------------------------------
+    return run
 
 
-def units(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Into how many parts a context with so many tokens after it is dealt, so that no shard gets a frequent one whole."""
-    return np.maximum(1, -(-counts // limit))
+# -- what shards answer ----------------------------------------------------------------------------------------------------
 
 
-def unit_shard(context: np.ndarray, unit: np.ndarray, n_shards: int) -> np.ndarray:
-    return (mix64(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + unit.astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
+def answer_counts(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+    """Counts of words and pairs; the shard reports its distinct words and their tokens."""
+    parts = [unpack(b) for b in blobs]
+    asked_keys = [np.cumsum(k) for k, _ in parts]
+    keys, place = distinct(np.concatenate(asked_keys))
+    counts = np.bincount(place, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+    seen = counts > 0
+    level = EliasFano.of(keys[seen])
+    write_arrays(f"{folder}/counts-{shard}", {"n": level.n, "low_bits": level.low_bits}, [*level.parts(), counts[seen]])
+    meta, (lows, highs, ones, kept) = read_arrays(f"{folder}/counts-{shard}")
+    at, found = EliasFano(meta["n"], meta["low_bits"], lows, highs, ones).successor(keys)
+    known = np.zeros(len(keys), np.int64)
+    known[found] = kept[at[found]]
+    cuts = np.cumsum([len(k) for k in asked_keys])[:-1]
+    words = seen & (keys & PAIR == 0)
+    return [pack(known[p]) for p in np.split(place, cuts)], int(words.sum()), int(counts[words].sum())
 
 
-def pair_codes(codes: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
-    """For each token the one before it; the end token before a text's first."""
-    before = np.roll(codes, 1)
-    before[bounds[:-1]] = end
-    return before
-
-
-def build_pairs(folder: str, model: dict):
-    n_words = model["distinct"]
-
-    def build(shard, keys, counts):
-        vocabulary = Vocabulary(model["words"], model["sizes"], model["bits"])
-        context, word = keys // np.uint64(n_words), keys % np.uint64(n_words)
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        pointers = np.append(first, len(keys))
-        last = word[pointers[1:] - 1]
-        base = np.concatenate([[0], np.cumsum(last + np.uint64(1))]).astype(np.uint64)[:-1]
-        children = np.repeat(base, np.diff(pointers)) + word  # grows through the whole level
-        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = min(0.99, max(0.5, once / max(1, once + 2 * twice)))
-        total = np.repeat(vocabulary.counts(context[first].astype(np.int64)), np.diff(pointers))
-        log = -np.log10((counts - discount) / total)
-        codes = np.minimum(np.round(log / STEP), 65535).astype(np.uint16)
-        levels = [EliasFano.of(context[first]), EliasFano.of(pointers), EliasFano.of(children)]
-        meta = {"discount": discount, "n": [x.n for x in levels], "low_bits": [x.low_bits for x in levels]}
-        write_arrays(f"{folder}/pair-{shard}", meta, [*[p for x in levels for p in x.parts()], codes])
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "n", "total"])
-
-    return build
-
-
-class PairShard:
-    """Level 2 for some contexts: which contexts, where each one's children begin (pointers), and the children's word numbers,
-    each context's counted on from the last child of the one before, with quantised probabilities."""
+class TrieShard:
+    """The trie below some paths of three words. words: its vocabulary, whose ranks from 1 on are its word numbers. Level k has the
+    distinct paths of k + 1 words in order: children, the last word's number counted on from its parent's number times the
+    size of the vocabulary, and pointers, where each parent's children begin. Level 2 (three words) has codes of counts,
+    levels 3 and 4 of smoothed probabilities."""
 
     def __init__(self, uri: str):
         meta, arrays = read_arrays(uri)
-        self.discount, self.codes = meta["discount"], arrays[9]
-        self.contexts, self.pointers, self.children = (EliasFano(n, b, *arrays[3 * i : 3 * i + 3]) for i, (n, b) in enumerate(zip(meta["n"], meta["low_bits"], strict=True)))
-
-    def ranges(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first child, one after the last, what its word numbers count from); empty for unknown contexts."""
-        place, found = self.contexts.successor(contexts)
-        place = np.where(found, place, 0)
-        begin = self.pointers.get(place).astype(np.int64)
-        end = np.where(found, self.pointers.get(place + 1).astype(np.int64), begin)
-        base = np.where(begin > 0, self.children.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-        return begin, end, base
-
-    def probabilities(self, begin, end, base, words) -> np.ndarray:
-        """The discounted probability of each word in its context's range, 0 where it is no child."""
-        place, found = self.children.successor(base + words.astype(np.uint64))
-        found &= (place >= begin) & (place < end)
-        return np.where(found, 10.0 ** (-STEP * self.codes[np.where(found, place, 0)].astype(np.float64)), 0.0)
-
-
-class Trie:
-    def __init__(self, model: dict):
-        self.model, self.vocabulary, self.shards = model, Vocabulary(model["words"], model["sizes"], model["bits"]), {}
-        self.known = set(model["pair_shards"])
-
-    def shard(self, s: int) -> PairShard | None:
-        if s not in self.shards:
-            self.shards[s] = PairShard(f"{self.model['pairs']}/pair-{s}") if s in self.known else None
-        return self.shards[s]
-
-    def score(self, part: np.ndarray, cuts: np.ndarray):
-        """(tokens, known tokens, base score, score) of each text."""
-        m = self.model
-        hashes, codes, bounds = tokens(part, cuts)
-        number, count = self.vocabulary.find(hashes)
-        single = (count + ADD) / (m["tokens"] + ADD * (m["distinct"] + 1))
-        # every vocabulary word as a context, dealt into its units
-        k = np.where(number >= 0, units(count, m["limit"]), 1)
-        start = np.concatenate([[0], np.cumsum(k)])
-        owner = np.repeat(np.arange(len(k)), k)
-        unit = np.arange(start[-1]) - start[owner]
-        shard = np.where(number[owner] >= 0, unit_shard(np.maximum(number[owner], 0), unit, m["n_shards"]), -1)
-        begin, end, base, weight = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64), np.zeros(len(owner), np.uint64), np.zeros(len(owner))
-        for s, at in by_shard(shard):
-            if s >= 0 and self.shard(s):
-                begin[at], end[at], base[at] = self.shard(s).ranges(number[owner[at]])
-                weight[at] = self.shard(s).discount * (end[at] - begin[at])
-        spare = np.bincount(owner, weight, minlength=len(k))
-        back = np.where(spare > 0, spare / np.maximum(count, 1), 1.0)
-        before = pair_codes(codes, bounds, len(hashes) - 1)
-        word = number[codes]
-        which = start[before] + np.where(word >= 0, word, 0) % k[before]
-        pair = np.zeros(len(codes))
-        known = np.flatnonzero((word >= 0) & (end[which] > begin[which]))
-        for s, at in by_shard(shard[which[known]]):
-            at = known[at]
-            u = which[at]
-            pair[at] = self.shard(s).probabilities(begin[u], end[u], base[u], word[at])
-        total = lambda x: np.add.reduceat(x, bounds[:-1])
-        return np.diff(bounds), total((count > 0)[codes].astype(np.int64)), total(np.log10(single)[codes]), total(np.log10(pair + back[before] * single[codes]))
-
-
-def pair_keys(model: dict):
-    opened: list[Trie] = []
-
-    def keys(part, cuts):
-        if not opened:
-            opened.append(Vocabulary(model["words"], model["sizes"], model["bits"]))
-        hashes, codes, bounds = tokens(part, cuts)
-        number, _ = opened[0].find(hashes)
-        both = number[pair_codes(codes, bounds, len(hashes) - 1)].astype(np.uint64) * np.uint64(model["distinct"]) + number[codes].astype(np.uint64)
-        return np.unique(both, return_counts=True)
-
-    def shard(keys):
-        context, word = keys // np.uint64(model["distinct"]), (keys % np.uint64(model["distinct"])).astype(np.int64)
-        k = units(opened[0].counts(context.astype(np.int64)), model["limit"])
-        return unit_shard(context, word % k, model["n_shards"])
-
-    return keys, shard
-
-
-def train(texts: DataFrame) -> dict:
-    """texts: one column of text. Builds the trie in the shared folder and returns what a reader needs: paths and totals.
-
-    Task by task, counts are sorted, compressed and sent to their shard as blocks; each shard is merged by one task and
-    written as one file. A frequent context is dealt over several shards. Vocabularies over 2**32 words are refused.
-    """
-    spark = texts.sparkSession
-    folder = fresh_path(spark, "trie")
-    report = "shard int, n long, total long"
-
-    bits = shard_bits(texts, "text", WORD_SHARD_BYTES)
-    blocks = texts.mapInArrow(gather_batches(word_keys, word_shard(bits)), "shard int, blob binary")
-    words = built(blocks, 1 << bits, build_words(folder), report).collect()
-    model = {"words": folder, "pairs": folder, "bits": bits, "sizes": {r["shard"]: r["n"] for r in words}, "tokens": sum(r["total"] for r in words), "distinct": sum(r["n"] for r in words)}
-    if model["distinct"] >= 1 << 32:
-        raise ValueError("vocabulary too large for 64-bit pair keys")
-    n = int(min(MAX_PAIR_SHARDS, max(8, -(-model["tokens"] // SHARD_TOKENS))))
-    model |= {"n_shards": n, "limit": max(1 << 14, model["tokens"] // (8 * n)), "pair_shards": []}
-    if model["tokens"]:
-        blocks = texts.mapInArrow(gather_batches(*pair_keys(model)), "shard int, blob binary")
-        model["pair_shards"] = sorted(r["shard"] for r in built(blocks, n, build_pairs(folder, model), report).collect())
-    return model
-
-
-def score_batches(model: dict):
-    def run(batches):
-        trie = Trie(model)
-        for batch in batches:
-            data, offsets = as_bytes(batch.column(1))
-            for first, part, cuts in slices(data, offsets):
-                found = trie.score(part, cuts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cuts) - 1), *map(pa.array, found)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        levels = [EliasFano(n, b, *arrays[3 * i : 3 * i + 3]) for i, (n, b) in enumerate(zip(meta["n"], meta["low_bits"], strict=True))]
+        self.words, self.children, self.pointers, self.codes = levels[0], levels[1 : 1 + ORDER], levels[1 + ORDER :], arrays[3 * len(levels) :]
+        self.size = self.words.n + 1
+
+    @staticmethod
+    def write(uri: str, vocabulary: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> None:
+        """rows: distinct windows in order, with their counts."""
+        children, pointers, codes = [], [], []
+        node = np.zeros(rows.shape[1], np.int64)  # each row's node on the level before
+        parents, number = np.zeros(1), np.zeros(1)
+        inside = np.ones(rows.shape[1], bool)
+        for k in range(ORDER):
+            inside = inside & (rows[k] > 0)
+            at = np.flatnonzero(inside)
+            new = np.ones(len(at), bool)
+            new[1:] = (node[at][1:] != node[at][:-1]) | (rows[k][at][1:] != rows[k][at][:-1])
+            first = at[new]
+            children.append(EliasFano.of(node[first].astype(np.uint64) * np.uint64(len(vocabulary) + 1) + rows[k][first].astype(np.uint64)))
+            if k:
+                pointers.append(EliasFano.of(np.searchsorted(node[first], np.arange(len(parents) + 1))))
+            sums = np.add.reduceat(counts[at], np.flatnonzero(new)) if len(at) else np.zeros(0)
+            if k == 2:
+                codes.append(encode_count(sums))
+                number = decode_count(codes[-1])
+            elif k > 2:
+                context = number[node[first]]
+                codes.append(encode_log(sums / (context + spread(context))))
+                number = decode_log(codes[-1]) * (context + spread(context))
+            parents = first
+            here = np.full(rows.shape[1], -1, np.int64)
+            here[at] = np.cumsum(new) - 1
+            node = here
+        levels = [EliasFano.of(vocabulary), *children, *pointers]
+        write_arrays(uri, {"n": [x.n for x in levels], "low_bits": [x.low_bits for x in levels]}, [*[p for x in levels for p in x.parts()], *codes])
+
+    def child(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The node that a word makes below each parent, -1 for none: the successor among the words of that context."""
+        place, found = self.children[level].successor(np.maximum(parents, 0).astype(np.uint64) * np.uint64(self.size) + words.astype(np.uint64))
+        return np.where(found & (parents >= 0) & (words > 0), place, -1)
+
+    def followers(self, level: int, parent: int) -> np.ndarray:
+        """The word numbers below a node of the level before."""
+        a, b = self.pointers[level - 1].get(np.array([parent, parent + 1])).astype(np.int64)
+        return (self.children[level].get(np.arange(a, b)) - np.uint64(parent * self.size)).astype(np.int64)
+
+    def look_up(self, rows: np.ndarray) -> np.ndarray:
+        """For sorted distinct windows their codes on levels 2 to 4, NONE where the trie has no such path. A path that many windows
+        begin with is looked for once."""
+        n = rows.shape[1]
+        out = np.full((ORDER - 2, n), NONE, np.uint16)
+        node, new = np.zeros(n, np.int64), np.zeros(n, bool)
+        new[:1] = True
+        for k in range(ORDER):
+            new[1:] |= rows[k][1:] != rows[k][:-1]
+            first = np.flatnonzero(new)
+            found = self.child(k, node[first], rows[k][first])
+            node = found[np.cumsum(new) - 1]
+            if k >= 2:
+                out[k - 2][node >= 0] = self.codes[k - 2][node[node >= 0]]
+        return out
+
+
+def answer_windows(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+    """Builds the shard's trie of all learned windows and looks up all windows in it."""
+    parts = [unpack(b) for b in blobs]
+    small = [np.cumsum(p[0]) for p in parts]
+    vocabulary, place = distinct(np.concatenate(small))
+    cuts = np.cumsum([0, *map(len, small)])
+    # a block's word numbers become the shard's; 0 stays
+    rows = np.concatenate([np.concatenate([[0], place[a:b] + 1])[np.stack(p[2:]).astype(np.int64)] for p, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True)], axis=1)
+    counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    sizes = [len(p[1]) for p in parts]
+    del parts, small
+    order, new = sorted_rows(rows, len(vocabulary) + 1)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    rows = rows[:, order[new]]
+    counts = np.bincount(which, counts, rows.shape[1]).astype(np.int64)
+    seen = counts > 0
+    TrieShard.write(f"{folder}/trie-{shard}", vocabulary, rows[:, seen], counts[seen])
+    codes = TrieShard(f"{folder}/trie-{shard}").look_up(rows)
+    return [pack(*[c[p] for c in codes]) for p in np.split(which, np.cumsum(sizes)[:-1])], 0, 0
+
+
+def answer(folder: str, n: int):
+    return lambda shard, blobs: (answer_windows if shard < n else answer_counts)(folder, shard, blobs)
+
+
+# -- what a slice makes of the answers -------------------------------------------------------------------------------------
+
+
+def probabilities(found: dict[int, bytes], vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray, n: int, total: int, distinct_words: int):
+    """(count of each token, its add-one-tenth probability, its probability after up to four tokens)."""
+    keys, word_place, pair_place = pair_keys(vocabulary, codes, bounds)
+    counts = np.zeros(len(keys))
+    for s, at in by_shard((mix64(keys) % np.uint64(n)).astype(np.int64)):
+        counts[at] = unpack(found[n + s])[0]
+    rows, which, places = windows(vocabulary, codes, bounds)
+    path = np.full((ORDER - 2, rows.shape[1] + 1), NONE, np.uint16)  # the last one for what is no window
+    for s, at in by_shard(shards_of(vocabulary, rows, n)):
+        path[:, at] = unpack(found[s])
+    single, pair = counts[word_place[codes]], counts[pair_place]
+    base = (single + ADD) / (total + ADD * (distinct_words + 1))
+    first = np.zeros(len(codes), bool)
+    first[bounds[:-1]] = True
+    before = np.roll(single, 1)
+    before[first] = counts[word_place[np.searchsorted(vocabulary, END)]]
+    mixed = lambda lower, count, context: np.where(context > 0, (count + spread(context) * lower) / np.maximum(context + spread(context), 1e-9), lower)
+    p = mixed(base, pair, before)
+    # place of the token itself, and where windows begin whose last or only words end at it
+    place = np.arange(len(codes)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) + 1
+    start = np.repeat(places[:-1], np.diff(bounds))
+    window = lambda back: np.where(place - back >= start, which[np.maximum(place - back, 0)], -1)
+    three = window(2)
+    context = np.where(three >= 0, np.roll(pair, 1), 0)
+    p = mixed(p, decode_count(path[0][three]), context)
+    for k in range(1, ORDER - 2):
+        at = window(k + 2)
+        context = decode_count(path[0][at])
+        for j in range(1, k):
+            context = decode_log(path[j][at]) * (context + spread(context))
+        share = decode_log(path[k][at])
+        p = np.where((at >= 0) & (context > 0), share + p * spread(context) / np.maximum(context + spread(context), 1e-9), p)
+    return single, base, p
+
+
+def tell(n: int, total: int, distinct_words: int, each: bool):
+    def run(data: bytes, found: dict[int, bytes]):
+        names, hashes, codes, bounds = unpack(data)
+        doc_ids = pa.ipc.open_stream(names.tobytes()).read_all().combine_chunks().column(0)
+        doc_ids = doc_ids.combine_chunks() if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
+        codes = codes.astype(np.int64)
+        single, base, p = probabilities(found, np.cumsum(hashes), codes, bounds, n, total, distinct_words)
+        texts = lambda x: np.add.reduceat(x, bounds[:-1])
+        columns = [doc_ids, pa.array(np.diff(bounds)), pa.array(texts((single > 0).astype(np.int64))), pa.array(texts(np.log10(base))), pa.array(texts(np.log10(p)))]
+        names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+        if each:
+            columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.log10(p))))
+            names.append("token_scores")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, remainder: int = 0) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, remainder: int = 0, model_dir: str | None = None, token_scores: bool = False) -> DataFrame:
     """log10 probabilities of every whole text, learned from the texts that are not held out.
 
-    Returns one row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams, add 0.1) and score
-    (bigrams with absolute discounting, interpolated with those unigrams; the end token is the context of a text's first
-    word). Tokens are words, A-Z lower-cased, and one end per text. Null texts count as empty and have the end only. Rows stay
-    apart even if repeated; a null doc_id is not held out. Other columns are not read. An empty table gives an empty
-    result; where nothing is left to learn from, every token is unknown and both scores are 0 per token.
+    Returns one row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words alone, add 0.1) and score
+    (a word after up to four others; each context is smoothed by the next shorter one, the shortest by those words alone; the
+    end token is what stands before a text's first word). token_scores: also each token's part of the score. Tokens are
+    words, A-Z lower-cased, and one end per text. Null texts count as empty and have the end only. Rows stay apart even if
+    repeated; a null doc_id is not held out. Other columns are not read. An empty table gives an empty result; where nothing
+    is left to learn from, every token is unknown and both scores are 0.
+
+    Each slice of texts asks the shards of the trie for its distinct windows, words and pairs; a shard merges what all slices
+    ask, builds its part of the trie from the learned windows, writes it, and looks the asked ones up in it. So no task
+    holds more than a shard or a slice, and nothing is broadcast. model_dir: where to leave the trie; else it goes.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    model = train(docs.filter(~held_out(F.col(id_col), modulus, remainder)).select(text))
-    kind = docs.select(F.col(id_col)).dtypes[0][1]
-    scored = docs.select(F.col(id_col).alias("doc_id"), text).mapInArrow(score_batches(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = docs.sparkSession
+    folder = model_dir or fresh_path(spark, "trie")
+    kept = fresh_path(spark, "slices")
+    id_ = F.col(id_col)
+    rows = docs.select(id_.alias("doc_id"), (~held_out(id_, modulus, remainder)).alias("learn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n = max(4, -(-text_bytes(rows) // SHARD_BYTES))
+    answers = written(answered(rows.mapInArrow(ask(kept, n), ASKED), 2 * n, answer(folder, n)), "answers")
+    if not model_dir:
+        remove(spark, folder)
+    distinct_words, total = answers.agg(F.sum("n"), F.sum("total")).first()
+    kind = rows.dtypes[0][1]
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double" + ", token_scores array<double>" * token_scores
+    scored = per_slice(answers, tell(n, total or 0, distinct_words or 0, token_scores), schema)
+    out = ["doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", "score"]
+    return scored.select(*out, *["token_scores"] * token_scores)

@@ -8,11 +8,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import built, gather_batches, read_arrays, shard_bits, write_arrays
+from ._blocks import ASKED, Keeper, answered, asked, by_shard, distinct, pack, per_slice, steps, text_bytes, unpack
 from ._shared import fresh_path, written
 from ._words import Words, as_bytes, mix64, slices, window_hashes
 from .components import components
-from .elias_fano import EliasFano
 
 N_GRAM = 5
 #: Jaccard similarity of at least NUM / DEN links.
@@ -20,8 +19,10 @@ NUM, DEN = 3, 4
 #: Frequencies are counted by the first KEY_BITS bits of an n-gram's hash; they set the order of n-grams, and an n-gram seen in
 #: one document only is in no other prefix. Equal bits make an n-gram look more frequent, never less.
 KEY_BITS = 48
-#: Table bytes for each shard of the frequencies, and n-grams that a task gathers at once.
-SHARD_BYTES, GATHER = 8 << 20, 1 << 20
+#: Bytes of text for each shard of the frequencies.
+SHARD_BYTES = 12 << 20
+#: Classes of a bucket that meet the others of it in one task.
+SALT = 4096
 #: Partitions of the hash range in the suffix filter.
 PARTS = 256
 
@@ -47,100 +48,75 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = N_GRAM):
             yield mix64(window_hashes(words[a:b], b - a) + np.uint64(b - a)) if b > a else words[:0]
 
 
-def gram_keys(size: int, bits: int):
-    def keys(part, cuts):
-        return np.unique(np.concatenate(list(shingle_sets(part, cuts, size))) >> np.uint64(64 - KEY_BITS), return_counts=True)
+def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return (mix64(keys) % np.uint64(n)).astype(np.int64)
 
-    def shard(keys):
-        return (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
 
-    return keys, shard
-
-
-def build_frequencies(folder: str):
-    """A shard's n-grams that more than one document has, and their frequency classes (two per power of two)."""
-
-    def build(shard, keys, counts):
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        ef = EliasFano.of(keys)
-        write_arrays(f"{folder}/grams-{shard}", {"n": ef.n, "low_bits": ef.low_bits}, [*ef.parts(), np.ceil(2 * np.log2(counts)).astype(np.uint8)])
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([ef.n], pa.int64())], names=["shard", "n"])
-
-    return build
-
-
-def count_grams(texts: DataFrame, size: int, bits: int) -> str:
-    """Document frequencies of all n-grams, as files in the shared folder, one for each shard."""
-    folder = fresh_path(texts.sparkSession, "grams")
-    blocks = texts.mapInArrow(gather_batches(*gram_keys(size, bits), GATHER), "shard int, blob binary")
-    built(blocks, 1 << bits, build_frequencies(folder), "shard int, n long").agg(F.sum("n")).collect()
-    return folder
-
-
-class Frequencies:
-    """Frequency classes by n-gram hash: 0 for n-grams of one document."""
-
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self.parts = folder, bits, {}
-
-    def classes(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(grams), np.uint8)
-        order = np.argsort(grams)
-        keys = grams[order] >> np.uint64(64 - KEY_BITS)
-        cuts = np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - self.bits))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if s not in self.parts:
-                meta, (lows, highs, ones, classes) = read_arrays(f"{self.folder}/grams-{s}")
-                self.parts[s] = EliasFano(meta["n"], meta["low_bits"], lows, highs, ones), classes
-            ef, classes = self.parts[s]
-            place, found = ef.successor(keys[cuts[s] : cuts[s + 1]])
-            out[order[cuts[s] : cuts[s + 1]][found]] = classes[place[found]]
-        return out
-
-
-def prefix_batches(size: int, folder: str, bits: int):
-    """Texts to doc_id, n, s1, s2 (the set's size and 128-bit hash) and the part of the prefix that other documents have too:
-    n-grams and their places in the order from rare to frequent. The prefix is as long as a set that links must share one
-    n-gram of."""
+def ask(folder: str, n: int, size: int):
+    """Texts (doc_id, text) to questions: in how many documents are the slice's n-grams. The sets themselves are kept."""
 
     def run(batches):
-        frequencies = Frequencies(folder, bits)
+        keeper = Keeper(folder)
         for batch in batches:
-            data, offsets = as_bytes(batch.column(1))
-            for first, part, cuts in slices(data, offsets):
+            for first, part, cuts in slices(*as_bytes(batch.column(1))):
                 sets = list(shingle_sets(part, cuts, size))
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                bounds = np.zeros(len(sets) + 1, np.int64)
-                np.cumsum([len(s) for s in sets], out=bounds[1:])
-                flat = np.concatenate(sets)
-                classes = frequencies.classes(flat)
-                shared = np.flatnonzero(classes)
-                doc = np.searchsorted(bounds, shared, "right") - 1
-                order = np.lexsort((flat[shared], classes[shared], doc))
-                shared, doc = shared[order], doc[order]
-                begin = np.searchsorted(doc, np.arange(len(sets) + 1))
-                n = np.diff(bounds)
-                alone = n - np.diff(begin)  # n-grams of this document only come first
-                place = np.arange(len(shared)) - begin[doc] + alone[doc]
-                keep = place < prefix_length(n[doc])
-                kept = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum(np.bincount(doc[keep], minlength=len(sets)), out=kept[1:])
-                lists = [pa.ListArray.from_arrays(pa.array(kept), pa.array(x)) for x in (flat[shared[keep]].view(np.int64), place[keep].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), *lists], names=["doc_id", "n", "s1", "s2", "grams", "places"])
+                flat, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+                ids = batch.column(0).slice(first, len(sets))
+                known = np.asarray(ids.is_valid())
+                kept = keeper.keep(pack(np.asarray(ids.fill_null(0)).astype(np.int64), known, sizes, steps(flat)))
+                keys, place = distinct(flat >> np.uint64(64 - KEY_BITS))
+                counts = np.bincount(place, minlength=len(keys)).astype(np.uint32)
+                blobs = [(s, pack(steps(keys[at]), counts[at])) for s, at in by_shard(shard_of(keys, n))]
+                yield asked(kept, blobs or [(0, pack(keys, counts))])
+        keeper.close()
 
     return run
 
 
-def set_batches(size: int):
-    """Texts to id, n, parts (n-grams in each part of the hash range, at most 255) and grams (sorted 64-bit hashes)."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = as_bytes(batch.column(1))
-            for first, part, cuts in slices(data, offsets):
-                sets = list(shingle_sets(part, cuts, size))
-                parts = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), pa.array(parts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "parts", "grams"])
+def answer(shard: int, blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+    """Frequency classes, two per power of two: 0 for n-grams of one document."""
+    parts = [unpack(b) for b in blobs]
+    keys, place = distinct(np.concatenate([np.cumsum(k) for k, _ in parts]))
+    counts = np.bincount(place, np.concatenate([c for _, c in parts]), len(keys))
+    classes = np.ceil(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    return [pack(classes[p]) for p in np.split(place, np.cumsum([len(k) for k, _ in parts])[:-1])], 0, 0
+
+
+HEADS = "doc_id long, n long, s1 long, s2 long, grams array<bigint>, places array<int>, parts binary, hashes binary"
+
+
+def tell(n_shards: int):
+    """A slice's sets and the frequencies of their n-grams to HEADS: the set's size and 128-bit hash, and the part of the prefix
+    that other documents have too: n-grams and their places in the order from rare to frequent. The prefix is as long as a
+    set that links must share one n-gram of. Where there is such a part, also the set (sorted 64-bit hashes) and how many of
+    it are in each part of the hash range, at most 255."""
+
+    def run(data: bytes, found: dict[int, bytes]):
+        ids, known, n, flat = unpack(data)
+        flat = np.cumsum(flat)
+        keys, which = distinct(flat >> np.uint64(64 - KEY_BITS))
+        classes = np.zeros(len(keys), np.uint8)
+        for s, at in by_shard(shard_of(keys, n_shards)):
+            classes[at] = unpack(found[s])[0]
+        classes = classes[which]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        sets = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+        shared = np.flatnonzero(classes)
+        doc = np.searchsorted(bounds, shared, "right") - 1
+        order = np.lexsort((flat[shared], classes[shared], doc))
+        shared, doc = shared[order], doc[order]
+        begin = np.searchsorted(doc, np.arange(len(sets) + 1))
+        alone = n - np.diff(begin)  # n-grams of this document only come first
+        place = np.arange(len(shared)) - begin[doc] + alone[doc]
+        keep = place < prefix_length(n[doc])
+        some = np.bincount(doc[keep], minlength=len(sets))
+        kept = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(kept), pa.array(x)) for x in (flat[shared[keep]].view(np.int64), place[keep].astype(np.int32))]
+        parts = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() if k else None for s, k in zip(sets, some, strict=True)]
+        whole = [s.tobytes() if k else None for s, k in zip(sets, some, strict=True)]
+        columns = [pa.array(ids, pa.int64(), mask=~known.astype(bool)), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), *lists, pa.array(parts, pa.binary()), pa.array(whole, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in HEADS.split(", ")])
 
     return run
 
@@ -199,9 +175,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components is missed, and a bucket whose classes are one component already costs nothing more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = shard_bits(docs, text_col, SHARD_BYTES)
-    folder = count_grams(rows.select("text"), size, bits)
-    heads = written(rows.mapInArrow(prefix_batches(size, folder, bits), "doc_id long, n long, s1 long, s2 long, grams array<bigint>, places array<int>"), "heads")
+    # texts are read and cut into n-grams once; each slice asks the shards of the frequencies
+    n_shards = max(4, -(-text_bytes(rows) // SHARD_BYTES))
+    counted = answered(rows.mapInArrow(ask(fresh_path(docs.sparkSession, "slices"), n_shards, size), ASKED), n_shards, answer)
+    heads = written(per_slice(counted, tell(n_shards), HEADS), "heads")
     members = heads.select("doc_id", "n", "s1", "s2")
 
     classes = heads.filter("doc_id is not null and size(grams) > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.any_value("grams").alias("grams"), F.any_value("places").alias("places"))
@@ -216,16 +193,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = written(best, "stars")
 
     wanted = written(shared.select("id").distinct(), "wanted")
-    sets = written(rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi").mapInArrow(set_batches(size), "id long, n long, parts binary, grams binary"), "sets")
+    own = heads.filter("hashes is not null").select(F.col("doc_id").alias("id"), "n", "parts", F.col("hashes").alias("grams"))
+    sets = written(own.join(wanted, "id", "left_semi"), "sets")
     edges = written(linked(best, sets), "links")
     labels = components(edges)
 
     tagged = shared.join(labels, shared["id"] == labels["u"], "left").select("id", "n", "at", "gram", F.coalesce("component", "id").alias("c"))
     tagged = written(tagged, "tagged")
     mixed = written(tagged.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("gram"), "mixed")
-    split = written(tagged.join(mixed, "gram", "left_semi").select("id", "n", "at", "gram", "c"), "open")
-    other = split.toDF("v", "m", "lat", "gram", "d")
-    across = split.withColumnRenamed("id", "u").join(other, "gram").filter("u < v and c <> d").filter(possible("n", "at", "m", "lat")).select("u", "v").distinct()
+    # sets that link differ in size by a factor of DEN / NUM at most: they are in one band of sizes or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
+    split = written(tagged.join(mixed, "gram", "left_semi").select("id", "n", "at", "gram", "c", band.alias("band")), "open")
+    salts = split.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    dealt = split.join(salts, ["gram", "band"]).withColumn("salt", F.pmod(F.hash("id"), "salts")).drop("salts")
+    near = split.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("at").alias("lat"), "gram", F.col("c").alias("d"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    other = near.join(salts, ["gram", "band"]).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
+    across = dealt.withColumnRenamed("id", "u").join(other, ["gram", "band", "salt"]).filter("u < v and c <> d").filter(possible("n", "at", "m", "lat")).select("u", "v").distinct()
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = written(linked(written(across.join(tried, ["u", "v"], "left_anti"), "across"), sets), "links")
     labels = components(edges.unionByName(more)).withColumnRenamed("u", "node")

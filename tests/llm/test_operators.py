@@ -240,43 +240,50 @@ def test_elias_fano():
         assert (place == np.searchsorted(v, q)).all() and (found == np.isin(q, v)).all()
 
 
-def bigram_model(table):
-    docs = {i: [WORD.findall(low(t)) + [""] for _, t in g] for i, g in _by_id(table).items()}
-    train = [d for i, ds in docs.items() for d in ds if i is None or zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for d in train for w in d)
-    pairs = Counter(p for d in train for p in zip([""] + d, d, strict=False))
-    return docs, train, c, pairs
+def plain_model(table, order=5):
+    """(each document's tokens, counts of n-grams of up to `order` tokens, log10 probability of a token after a list of them)."""
+    docs = defaultdict(list)
+    for i, t in table:
+        docs[i].append(WORD.findall(low(t)) + [""])
+    counts = Counter()
+    for i, ds in docs.items():
+        for d in ds:
+            if i is None or zlib.crc32(str(i).encode()) % 10:
+                line = ["", *d]
+                counts.update((w,) for w in d)
+                counts.update(tuple(line[k : k + n]) for n in range(2, order + 1) for k in range(len(line) - n + 1))
+    total, words = (sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts))
 
+    def probability(word, before):
+        p = (counts[(word,)] + 0.1) / (total + 0.1 * (words + 1))
+        for n in range(1, order):
+            context = tuple(before[-n:])
+            c = counts[context] if len(before) >= n else 0
+            if c:
+                p = (counts[(*context, word)] + lm_scoring.spread(c) * p) / (c + lm_scoring.spread(c))
+        return p
 
-def _by_id(table):
-    out = defaultdict(list)
-    for i, t in table:
-        out[i].append((i, t))
-    return out
+    return docs, counts, total, words, probability
+
+
+def plain_scores(d, probability):
+    line = ["", *d]
+    return [math.log10(probability(line[k], line[max(0, k - 4) : k])) for k in range(1, len(line))]
 
 
 def test_lm_scores(spark, odd, small, none):
-    for df in (odd, small):
-        docs, train, c, pairs = bigram_model([(r["doc_id"], r["text"]) for r in df.collect()])
-        n, v = sum(c.values()), len(c)
-        kids = Counter(a for a, _ in pairs)
-        once, twice = (sum(x == k for x in pairs.values()) for k in (1, 2))
+    long = spark.createDataFrame([(1000, " ".join(f"w{i % 977} v{i % 13}" for i in range(60_000)))], "doc_id long, text string")
+    for df in (odd.select("doc_id", "text"), small.select("doc_id", "text").union(long)):
+        docs, c, n, v, probability = plain_model([tuple(r) for r in df.collect()])
         got = defaultdict(list)
         for r in rows(lm_scoring.lm_scores(df)):
             got[r["doc_id"]].append(r)
         for i, lists in docs.items():
-            want = sorted((len(d), sum(c[w] > 0 for w in d), round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in d), 6)) for d in lists)
-            assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got[i]) == want
+            want = sorted((len(d), sum(c[w,] > 0 for w in d), round(sum(math.log10((c[w,] + 0.1) / (n + 0.1 * (v + 1))) for w in d), 5), round(sum(plain_scores(d, probability)), 3)) for d in lists)
+            have = sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 3)) for r in got[i])
+            assert [w[:3] for w in want] == [h[:3] for h in have]
+            assert all(abs(w[3] - h[3]) <= 0.0005 * w[0] + 0.002 for w, h in zip(want, have, strict=True))
             assert all(r["train_tokens"] == n and r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for r in got[i])
-        # with the discounts of the shards between their bounds, each text's probability lies between the two extremes
-        for i, lists in docs.items():
-            for d in lists:
-                ends = []
-                for discount in (0.5, 0.99):
-                    one = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-                    ends.append([math.log10(max(pairs[a, w] - discount, 0) / c[a] + discount * kids[a] / c[a] * one(w) if c[a] else one(w)) for a, w in zip([""] + d, d, strict=False)])
-                lowest, highest = sum(map(min, zip(*ends, strict=True))), sum(map(max, zip(*ends, strict=True)))
-                assert any(lowest - 0.01 * len(d) <= r["score"] <= highest + 0.01 * len(d) for r in got[i])
     held = [r for rs in got.values() for r in rs if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert lm_scoring.lm_scores(none).count() == 0
@@ -285,17 +292,53 @@ def test_lm_scores(spark, odd, small, none):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """Over the vocabulary and one unknown word, after a known context, up to the steps of the codes."""
-    texts = ["a b a c", "a b b", "c a"] * 3
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    trie = lm_scoring.Trie(lm_scoring.train(df.select("text")))
-    import pyarrow as pa
-
-    data, offsets = lm_scoring.as_bytes(pa.array(["a a", "a b", "a c", "a zzz", "a"]))
-    _, _, _, scores = trie.score(data, offsets)
-    ends = [trie.score(*lm_scoring.as_bytes(pa.array([w])))[3][0] for w in ("a", "b", "c", "zzz")]
-    first = [10**s for s in ends]
-    assert len(first) == 4 and np.isfinite(scores).all()
+    """After contexts of no to four words, over the vocabulary, the end and one unknown word; all in held-out texts."""
+    ids = iter(i for i in range(10**6) if zlib.crc32(str(i).encode()) % 10 == 0)
+    texts = ["a b a c d a b", "a b b a b a c d", "c a b a c", "b"] * 3
+    learned = [(i, t) for i, t in zip((i for i in range(100) if zlib.crc32(str(i).encode()) % 10), texts, strict=False)]
+    words, contexts = ["a", "b", "c", "d", "zzz"], ["", "a", "a b", "d a", "a b a", "b b a", "a b a c", "x y a b a c"]
+    asked = {(c, w): (next(ids), f"{c} {w}".strip()) for c in contexts for w in words} | {(c, ""): (next(ids), c) for c in contexts}
+    df = spark.createDataFrame(learned + list(asked.values()), "doc_id long, text string")
+    got = {r["doc_id"]: r["token_scores"] for r in rows(lm_scoring.lm_scores(df, token_scores=True)) if r["held_out"]}
+    for c in contexts:
+        at = len(c.split())
+        assert math.isclose(sum(10 ** got[asked[c, w][0]][at] for w in [*words, ""]), 1, abs_tol=0.002)
+
+
+def test_repeated_texts_score_apart(spark):
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(f"w{int(x)}" for x in 2000 * rng.random(80) ** 2)
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 10]
+    once = [(i, text()) for i in ids[:300]]
+    twice = [(i, t) for pair in zip(ids[300:340], ids[340:380], (text() for _ in range(40)), strict=True) for i, t in ((pair[0], pair[2]), (pair[1], pair[2]))]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in rows(lm_scoring.lm_scores(spark.createDataFrame(once + twice, "doc_id long, text string")))}
+    assert min(got[i] for i, _ in twice) > max(got[i] for i, _ in once)
+
+
+def test_trie_paths(tmp_path):
+    """Pointers and children give back every path, and look-ups find the learned paths only."""
+    rng = np.random.default_rng(2)
+    vocabulary = np.sort(rng.choice(2**48, 30, replace=False).astype(np.uint64))
+    table = np.unique(rng.integers(1, 31, (400, 5)), axis=0)
+    table[::7, 3:] = 0
+    table[1::7, 4] = 0
+    table = np.unique(table, axis=0)
+    learned = rng.random(len(table)) < 0.6
+    counts = rng.integers(1, 9, len(table))
+    lm_scoring.TrieShard.write(f"{tmp_path}/t", vocabulary, table[learned].T.copy(), counts[learned])
+    trie = lm_scoring.TrieShard(f"{tmp_path}/t")
+    paths = {tuple(r[: k + 1]) for r in table[learned].tolist() for k in range(5) if all(r[: k + 1])}
+
+    def walk(level, node, path):
+        for j, w in enumerate(trie.followers(level, node) if level else trie.children[0].get(np.arange(trie.children[0].n)).astype(int)):
+            yield (*path, int(w))
+            if level < 4:
+                yield from walk(level + 1, int(trie.pointers[level - 1].get(np.array([node]))[0]) + j if level else j, (*path, int(w)))
+
+    assert set(walk(0, 0, ())) == paths
+    found = trie.look_up(table.T.copy())
+    for k in range(3):
+        assert [f != lm_scoring.NONE for f in found[k].tolist()] == [tuple(r[: k + 3]) in paths for r in table.tolist()]
 
 
 # -- 5
