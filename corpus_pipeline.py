@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from rostra.llm._shared import documents, text_or_empty, written
+from rostra.llm._shared import documents, scratch, text_or_empty, written
 
 #: Documents scored below this are rejected: label 0 is likelier than label 1.
 MIN_SCORE = 0.5
@@ -31,13 +31,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     null doc_id stay."""
     groups = ngram_join.ngram_join(docs)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_mark", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    # documents and their mark side by side, so that a column of any name is no clash
+    body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("body")
+    marked = docs.join(first, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns]).select(body, F.col("doc_id").alias("i"), F.xxhash64(text_or_empty()).alias("m"))
+    return marked.dropDuplicates(["i", "m"]).select("body.*").unionByName(docs.filter("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed(docs)
+    """Documents as often as the mix of sources takes them; what the quality classifier makes of a document is its weight."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = written(quality_classifier.quality_scores(docs, labels).select("body", "score"), "scored")
+    return mixing.mixed(scored, "body.doc_id", "body.text", "body.source", quality=F.col("score")).select("body.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage wrote on its way goes when its result is written, and the results of all but the last at the end."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage")
-    return docs
+    with scratch(spark):
+        for _, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = written(stage(spark, docs, sf_dir), "stage", keep=True)
+        return written(STAGES[-1][1](spark, docs, sf_dir), "pipeline", keep=True)
