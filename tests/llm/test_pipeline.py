@@ -1,19 +1,40 @@
 """run() against a plain version built from the stages' contracts."""
 
+import hashlib
+import math
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from rostra.llm import mixing, quality_classifier
+from rostra.llm import quality_classifier
 from rostra.llm._shared import documents
-from test_operators import plain_join, plain_lines
+from test_operators import WORD, plain_join, plain_lines, waterfill
 
 DIR = "/root/testdata/sf0.001"
 
 
+def plain_mix(table):
+    """How often the mix takes each document of (doc_id, source, words, weight)."""
+    sizes = Counter()
+    for _, source, n, _ in table:
+        sizes[source] += n
+    times = Counter()
+    for source, target in waterfill(dict(sizes)).items():
+        mine = [r for r in table if r[1] == source]
+        whole = math.floor(target / sizes[source]) if sizes[source] else 0
+        left = math.floor(target - whole * sizes[source] + 0.5)
+        u = lambda i: (int(hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        for i, _, n, _ in sorted(mine, key=lambda r: -math.log(u(r[0])) / r[3]):
+            part = min(left, n)
+            left -= part
+            times[i] += (whole + (2 * part >= n)) if n else 0
+    return +times
+
+
 def test_stages_agree_with_plain_versions(spark):
     docs = documents(spark, DIR)
     columns = docs.columns
@@ -32,9 +53,9 @@ def test_stages_agree_with_plain_versions(spark):
     assert single.columns == columns and sorted(r["doc_id"] for r in single.collect()) == sorted(want)
 
     mixed = corpus_pipeline.mix(spark, single, DIR)
-    due = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(single).collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(single, spark.read.parquet(f"{DIR}/labels.parquet")).select("body.doc_id", "score").collect()}
     times = Counter(r["doc_id"] for r in mixed.collect())
-    assert mixed.columns == columns and all(times[i] == (int(2 * t / s + 1) // 2 if s else 0) for i, (t, s) in due.items())
+    assert mixed.columns == columns and times == plain_mix([(r["doc_id"], r["source"], len(WORD.findall(r["text"] or "")), scores[r["doc_id"]]) for r in single.collect()])
 
     pieces = corpus_pipeline.pack(spark, mixed, DIR).collect()
     assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == times
@@ -47,6 +68,17 @@ def test_repeated_and_null_ids(spark):
     assert sorted(got, key=str) == sorted([1, None, 3], key=str)
 
 
+def test_clashing_columns_and_an_empty_table(spark):
+    clash = ("_mark", "body", "score", "key", "i", "m", "id", "n_dropped", "held_out", "row_no", "times")
+    docs = documents(spark, DIR).limit(60).select("*", *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, DIR)
+            assert [c for c in now.columns if c not in ("n_dropped",)] == [c for c in docs.columns if c not in ("n_dropped",)], name
+        assert (corpus_pipeline.pack(spark, now, DIR).count() > 0) == (table is docs)
+
+
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op3_mixing", "op5_exact_dedup", "op7_ngram_join", "op8_quality_rules"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
