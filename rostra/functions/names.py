@@ -46,7 +46,7 @@ def normalize_name(c: Column | str, lexicon: Sequence[str] = dims.FIRST_NAMES) -
     upper, lower = F.filter(words, is_upper), F.filter(words, lambda w: ~is_upper(w))
     first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
     n = F.size(words)
-    tail, head = F.array_join(F.slice(words, 2, 999), " "), F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), " ")
+    tail, head = F.array_join(F.slice(words, F.lit(2), n), " "), F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), " ")
     swapped = (n > 1) & is_first_name(first, lexicon) & ~is_first_name(last, lexicon)
     of = lambda nom, prenom: F.struct(nom.alias("nom"), prenom.alias("prenom"))
     name = (
@@ -89,7 +89,7 @@ def split_labels(c: Column | str) -> Column:
     whole = clean_text(c)
     marked = F.split(F.regexp_replace(whole, LABEL, "\u0001$1\u0002"), "\u0001")
     pair = lambda label, value: F.struct(label.alias("label"), F.trim(value).alias("value"))
-    labelled = F.transform(F.slice(marked, 2, 9999), lambda p: pair(label_field(F.substring_index(p, "\u0002", 1)), F.substring_index(p, "\u0002", -1)))
+    labelled = F.transform(F.slice(marked, F.lit(2), F.size(marked)), lambda p: pair(label_field(F.substring_index(p, "\u0002", 1)), F.substring_index(p, "\u0002", -1)))
     prefix = F.filter(F.array(pair(F.lit("prefix"), F.get(marked, F.lit(0)))), lambda p: p["value"] != "")
     raw = F.array(pair(F.lit("raw"), whole))
     return F.when(text(whole) == "", F.slice(raw, 1, 0)).when(F.size(marked) > 1, F.concat(prefix, labelled)).otherwise(raw)

@@ -95,7 +95,7 @@ def hospital_key(c: Column | str) -> Column:
 def title_case(c: Column | str) -> Column:
     """Each run of letters with its first letter in upper case (initcap would only see spaces)."""
     runs = F.regexp_extract_all(text(c), F.lit(r"(?U)\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 20)))), "")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), "")
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:

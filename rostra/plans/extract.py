@@ -28,17 +28,27 @@ LABELLED_PHONE = r"(?iU)(?:Tél\.?\s*(?:secrétariat\s*)?:?\s*|tél\s*:?\s*)([\d
 BARE_PHONE = r"(?U)\b(0[\d\s\.]{9,14})\b"
 
 
-def ordinal(sheet: str = "sheet_idx", pos: str | Column = "pos", sub: str | Column = "sub") -> Column:
-    """A record's number: by file, sheet, place and part."""
-    at = lambda c: F.col(c) if isinstance(c, str) else c
-    return ((F.col("file_idx") * 1000 + F.col(sheet)) * 1_000_000 + at(pos)) * 1000 + at(sub)
+def place(pos: str | int = "pos", sub: str | int = "sub", nth: str | int = "nth") -> Column:
+    """Where a record stands: file, sheet, line, part of the line, name in the part. Records are numbered in this order."""
+    at = lambda c, name: (F.col(c) if isinstance(c, str) else F.lit(c)).cast("long").alias(name)
+    return F.struct(at("file_idx", "file"), at("sheet_idx", "sheet"), at(pos, "pos"), at(sub, "sub"), at(nth, "nth"))
+
+
+#: Records that a file may hold before its numbers run into the next file's.
+FILE_ROOM = 1 << 36
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """records with `ordinal` in the order of their places, which they keep as `place`. Files are numbered apart."""
+    within = F.row_number().over(Window.partitionBy("place.file").orderBy("place")).cast("long")
+    return found.withColumn("ordinal", F.col("place.file") * FILE_ROOM + within - 1)
 
 
 def records(df: DataFrame, **fields: Column | str) -> DataFrame:
-    """ordinal, all fields ('' where not given) and markers."""
+    """place, all fields ('' where not given) and markers."""
     given = {k: F.col(v) if isinstance(v, str) else v for k, v in fields.items()}
     markers = given.pop("markers", F.create_map().cast(MARKERS))
-    return df.select("ordinal", *[F.coalesce(given[f], F.lit("")).alias(f) if f in given else F.lit("").alias(f) for f in dims.FIELDS], markers.alias("markers"))
+    return df.select("place", *[F.coalesce(given[f], F.lit("")).alias(f) if f in given else F.lit("").alias(f) for f in dims.FIELDS], markers.alias("markers"))
 
 
 def first_specialty(df: DataFrame, key: list[str], column: str) -> DataFrame:
@@ -64,12 +74,12 @@ def from_tables(grid: DataFrame, source: str) -> tuple[DataFrame, DataFrame, Dat
     data = grid.join(starts, keys).filter("row_idx > header_row" if not word else "row_idx > 0").drop("header_row")
     cells = data.select(*SHEET, "row_idx", F.posexplode("values").alias("col", "value")).filter("value <> ''").join(columns.drop("header_row"), [*keys, "col"])
     at = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("col"))).alias(f)
-    place = lambda f: F.max(F.when(F.col("field") == f, F.col("col"))).alias(f"{f}_at")
+    column = lambda f: F.max(F.when(F.col("field") == f, F.col("col"))).alias(f"{f}_at")
     fields = ["nom", "prenom", "hopital", "adresse", "telephone", "email", "specialite", "secteur", "ville"]
-    rows = cells.groupBy(*SHEET, "row_idx").agg(*[at(f) for f in fields], place("nom"), place("prenom"))
+    rows = cells.groupBy(*SHEET, "row_idx").agg(*[at(f) for f in fields], column("nom"), column("prenom"))
     name = normalize_name("nom")
     own_first = (F.col("prenom_at") > F.coalesce("nom_at", F.lit(-1))).cast("boolean")
-    shaped = classify(rows.withColumn("name", name).withColumn("ordinal", ordinal(pos="row_idx", sub=F.lit(0))), "specialite")
+    shaped = classify(rows.withColumn("name", name).withColumn("place", place("row_idx", 0, 0)), "specialite")
     found = records(
         shaped,
         region=region_of("ville"),
@@ -154,7 +164,7 @@ def from_single_columns(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     notes = F.array_join(F.filter(F.array(remark, text("said")), lambda x: x != ""), " ; ")
     segments = written(segments, "segments")
     people = segments.withColumn("notes", notes).select("*", F.posexplode(single).alias("nth", "one")).withColumn("name", normalize_name("one"))
-    people = people.join(usable, SHEET).withColumn("ordinal", ordinal(sub=F.col("sub") * 20 + F.col("nth")))
+    people = people.join(usable, SHEET).withColumn("place", place())
     marked = F.when(F.col("section.origin").isNotNull(), F.map_from_arrays(F.array(F.lit("specialite")), F.array("section.origin"))).otherwise(F.create_map().cast(MARKERS))
     found = records(
         people.withColumn("sheet_key", F.struct(*SHEET)),
@@ -163,25 +173,26 @@ def from_single_columns(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
         titre="name.titre", nom="name.nom", prenom="name.prenom", hopital="hopital", adresse=F.trim(F.regexp_replace(text("adresse"), "^:+", "")),
         telephone=normalize_phone("telephone"), email=clean_email("email"), notes="notes", source=F.lit("Excel"), markers=marked,
     )
-    per_sheet = F.floor(F.col("ordinal") / 1_000_000_000)
-    resolved, missing = resolve_idem(found.withColumn("sheet_no", per_sheet), usable.withColumn("sheet_no", (F.col("file_idx") * 1000 + F.col("sheet_idx"))))
+    resolved, missing = resolve_idem(found.select("*", "place.file", F.col("place.sheet").alias("number")), usable.select("file_idx", "sheet_idx", "sheet", F.col("file_idx").alias("file"), F.col("sheet_idx").cast("long").alias("number")), ["file", "number"], "place")
     resolved = resolved.filter("nom <> '' or notes <> ''")
-    empty = usable.withColumn("sheet_no", F.col("file_idx") * 1000 + F.col("sheet_idx")).join(resolved.select("sheet_no").distinct(), "sheet_no", "left_anti")
+    told = resolved.select(F.col("file").alias("file_idx"), F.col("number").cast("int").alias("sheet_idx")).distinct()
+    empty = usable.join(told, ["file_idx", "sheet_idx"], "left_anti")
     loose_records, loose_log = from_loose_text(cells, empty)
-    return union(resolved.drop("sheet_no"), loose_records), union(few, missing, loose_log)
+    return union(resolved.drop("file", "number"), loose_records), union(few, missing, loose_log)
 
 
-def resolve_idem(found: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nameless records that say `idem` take the identity of the sheet's first named paediatric record of their specialty."""
+def resolve_idem(found: DataFrame, sheets: DataFrame, sheet: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Nameless records that say `idem` take the identity of the sheet's first named paediatric record of their specialty. sheet: the
+    columns of both tables that tell sheets apart."""
     borrowed = ["nom", "prenom", "titre", "hopital", "adresse", "telephone", "email"]
-    first = found.filter("secteur = 'Pediatrie' and nom <> ''").groupBy("sheet_no", "specialite").agg(F.min_by(F.struct(*borrowed), "ordinal").alias("ref"))
-    joined = found.join(first, ["sheet_no", "specialite"], "left")
+    first = found.filter("secteur = 'Pediatrie' and nom <> ''").groupBy(*sheet, "specialite").agg(F.min_by(F.struct(*borrowed), order).alias("ref"))
+    joined = found.join(first, [*sheet, "specialite"], "left")
     idem = F.contains(F.lower("notes"), F.lit("idem")) & (F.col("nom") == "")
     takes = idem & F.col("ref").isNotNull()
     own = {f: F.when(takes, F.col(f"ref.{f}")).otherwise(F.col(f)) for f in borrowed[:3]}
     own |= {f: F.when(takes & (F.col(f) == ""), F.col(f"ref.{f}")).otherwise(F.col(f)) for f in borrowed[3:]}
     own["notes"] = F.when(takes, F.lit("Meme medecin que secteur Pediatrie")).otherwise(F.col("notes"))
-    lost = joined.filter(idem & F.col("ref").isNull()).join(sheets.select("sheet_no", "file_idx", "sheet_idx", "sheet"), "sheet_no")
+    lost = joined.filter(idem & F.col("ref").isNull()).join(sheets.select(*{*sheet, "file_idx", "sheet_idx", "sheet"}), sheet)
     log = _log(lost, F.concat(F.lit("["), F.col("sheet"), F.lit("] Reference 'idem pediatrie' pour "), F.col("specialite"), F.lit(" mais aucun medecin pediatrie trouve")))
     return joined.select(*[own.get(c, F.col(c)).alias(c) for c in found.columns]), log
 
@@ -191,7 +202,7 @@ def from_loose_text(cells: DataFrame, sheets: DataFrame) -> tuple[DataFrame, Dat
     body = cells.filter("pos >= 4").groupBy(*SHEET).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("body"))
     whole = sheets.join(body, SHEET, "left").withColumn("body", text("body"))
     spoken = first_specialty(whole, SHEET, "body")
-    shaped = whole.join(spoken, SHEET, "left").withColumn("ordinal", ordinal(pos=F.lit(0), sub=F.lit(0)))
+    shaped = whole.join(spoken, SHEET, "left").withColumn("place", place(0, 0, 0))
     nom = F.upper(F.regexp_extract("fifth", LOOSE_NAME, 2))
     sector = F.when(F.lower("body").rlike("(?:neuro)?p[ée]diatre"), "Pediatrie").otherwise(detect_sector("body"))
     found = records(
@@ -242,7 +253,7 @@ def from_sections(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     capitals = F.transform(F.regexp_extract_all("body", F.lit(CAPITALS), F.lit(0)), lambda x: F.struct(F.lit("").alias("title"), F.regexp_replace(x, r"(?U)\s+", " ").alias("name")))
     found = F.when(F.size(titled) > 0, titled).when(F.size(referents) > 0, referents).otherwise(capitals)
     shaped = blocks.select("*", found.alias("found"), specialty.alias("specialite"), detect_sector("body").alias("secteur"), F.array_join(numbers, " / ").alias("telephone"), F.array_join(emails("body"), " ; ").alias("email"))
-    people = shaped.select("*", F.posexplode("found").alias("nth", "x")).withColumn("sheet_idx", F.lit(0)).withColumn("ordinal", ordinal(pos="block", sub="nth")).withColumn("who", _person(F.col("x.name")))
+    people = shaped.select("*", F.posexplode("found").alias("nth", "x")).withColumn("sheet_idx", F.lit(0)).withColumn("place", place("block", 0)).withColumn("who", _person(F.col("x.name")))
     out = records(people, region=region_of("ville"), ville="ville", specialite="specialite", secteur="secteur", titre=title_of("x.title"), nom="who.nom", prenom="who.prenom", telephone="telephone", email="email", source=F.lit("Word"))
     none = shaped.filter(F.size("found") == 0).withColumn("sheet_idx", F.col("block"))
     return out, _log(none, F.concat(F.lit("[Word] Aucun medecin extrait pour "), F.col("ville")))
@@ -256,7 +267,7 @@ def from_free_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     low = F.lower("body")
     city = F.coalesce(*[F.when(F.contains(low, F.lit(c)), F.lit(c)) for c in dims.REGIONS], F.lit(""))
     shaped = full.join(first_specialty(full, key, "body"), key, "left").withColumn("ville", title_case(city)).withColumn("found", _names("body", TITLED_IN_TEXT, ["dr", "pr", "de", "du", "la", "le"]))
-    people = shaped.select("*", F.posexplode("found").alias("nth", "x")).withColumn("ordinal", ordinal(pos=F.lit(0), sub="nth")).withColumn("who", _person(F.col("x.name")))
+    people = shaped.select("*", F.posexplode("found").alias("nth", "x")).withColumn("place", place(0, 0)).withColumn("who", _person(F.col("x.name")))
     out = records(people, region=region_of("ville"), ville="ville", specialite="specialite", titre=title_of("x.title"), nom="who.nom", prenom="who.prenom", telephone=F.get(phones("body"), F.lit(0)), email=F.get(emails("body"), F.lit(0)), source="source")
     blank = _log(texts.filter(F.trim("body") == ""), F.concat(F.lit("["), F.col("sheet"), F.lit("] Aucun texte a analyser")))
     none = _log(shaped.filter(F.size("found") == 0), F.concat(F.lit("["), F.col("sheet"), F.lit("] Aucun medecin extrait du texte libre")))

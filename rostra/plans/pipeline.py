@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.functions import dims
@@ -14,7 +14,7 @@ from rostra.operators.infer import infer
 from rostra.operators.report import crosstab, journal, sorted_directory
 from rostra.sources.ooxml import read_files, write_workbook
 
-from .extract import MARKERS, from_free_text, from_sections, from_single_columns, from_tables
+from .extract import MARKERS, from_free_text, from_sections, from_single_columns, from_tables, numbered
 from .layout import SHEET, _log, split_layouts, union
 from .scratch import written
 
@@ -40,8 +40,8 @@ def extract_records(spark: SparkSession, paths: list[str], origin: str | None =
     free, free_log = from_free_text(union(sheet_text, document_text))
     found = union(tables, words, single, sections, free)
     log = union(table_log, word_log, single_log, section_log, free_log, _log(by["errors"], F.get("values", F.lit(0))))
-    names = F.broadcast(spark.createDataFrame([(i, origin or p.rstrip("/").rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "f long, stamp string"))
-    stamped = found.withColumn("f", F.floor(F.col("ordinal") / 1_000_000_000_000)).join(names, "f").withColumn("source", F.col("stamp")).drop("f", "stamp")
+    names = spark.createDataFrame([(i, origin or p.rstrip("/").rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "f long, stamp string")
+    stamped = numbered(found).withColumn("f", F.col("place.file")).join(names, "f").withColumn("source", F.col("stamp")).select("ordinal", *dims.FIELDS, "markers")
     return written(stamped, "extracted"), written(log, "log")
 
 
@@ -121,11 +121,6 @@ def named_count(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if(F.col("nom") != "").alias("named"), F.count(F.lit(1)).alias("records"))
 
 
-def numbered(records: DataFrame, *order: str) -> DataFrame:
-    """records with `ordinal` from an order of their own."""
-    return records.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
 def main() -> None:
     p = argparse.ArgumentParser(description="Consolidate contact lists into one directory workbook.")
     p.add_argument("files", nargs="+")

@@ -13,7 +13,7 @@ from rostra.functions import dims, names, specialty, text
 from rostra.operators import fold as folding
 from rostra.operators import infer as inferring
 from rostra.operators import match, report
-from rostra.plans.extract import MARKERS
+from rostra.plans.extract import MARKERS, resolve_idem
 from rostra.plans.pipeline import consolidate, enrich, named_count
 
 _CITIES = [k.title() for k in dims.REGIONS]
@@ -143,11 +143,9 @@ def q_component_fold_keys(spark, sf):
 
 
 def q_idem(spark, sf):
-    from rostra.plans.extract import resolve_idem
-
-    r = records(spark, sf).withColumn("nom", F.when(F.col("notes") == "idem pediatrie", "").otherwise(F.col("nom"))).withColumn("sheet_no", (F.col("ordinal") % 10).cast("long"))
-    sheets = spark.range(10).select(F.col("id").alias("sheet_no"), F.lit(0).cast("long").alias("file_idx"), F.col("id").cast("int").alias("sheet_idx"), F.lit("s").alias("sheet"))
-    return resolve_idem(r, sheets)[0].select("ordinal", "nom", "notes", "hopital")
+    r = records(spark, sf).withColumn("nom", F.when(F.col("notes") == "idem pediatrie", "").otherwise(F.col("nom"))).withColumn("number", F.col("ordinal") % 10)
+    sheets = r.select("number").distinct().select("number", F.lit(0).cast("long").alias("file_idx"), F.col("number").cast("int").alias("sheet_idx"), F.lit("s").alias("sheet"))
+    return resolve_idem(r, sheets, ["number"], "ordinal")[0].select("ordinal", "nom", "notes", "hopital")
 
 
 def q_union_stamp(spark, sf):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,11 +71,45 @@ def test_components_fold_like_the_whole(spark, enriching):
     cut = 40 if enriching else 0
     got, log = run(spark, rows[cut:], rows[:cut]) if enriching else run(spark, rows)
     whole = folding.Fold(DAY, enriching)
-    base = dict.fromkeys(dims.FIELDS, "")
-    for i, r in enumerate(rows):
-        whole.add(base | r | {"ordinal": i, "markers": {}}, i < cut)
-    assert sorted(got, key=lambda r: r["ordinal"]) == sorted(whole.kept, key=lambda r: r["ordinal"])
+    for r in folding.keyed(table(spark, rows)).orderBy("ordinal").collect():
+        whole.add(folding.plain_row(r.asDict()), r["ordinal"] < cut)
+    kept = [{k: v for k, v in r.items() if k not in folding.KEYS} for r in whole.kept]
+    assert sorted(got, key=lambda r: r["ordinal"]) == sorted(kept, key=lambda r: r["ordinal"])
     assert log == [m for _, _, m in whole.log]
+    assert_like_a_search_of_all(rng, whole)
+
+
+def plain_find(kept, r, strict):
+    """The best match by looking at every kept record."""
+    found = []
+    for i, k in enumerate(kept):
+        if not k["nom"] or (r["specialite"] and k["specialite"] and r["specialite"] != k["specialite"]):
+            continue
+        if strict and ((r["hospital"] and k["hospital"] and r["hospital"] != k["hospital"]) or folding._distance(r["city_key"], k["city_key"], 3) > 3):
+            continue
+        if r["name_key"] and (d := folding._distance(r["name_key"], k["name_key"], 2)) <= 2:
+            found.append((d, i))
+    return min(found)[1] if found else None
+
+
+def assert_like_a_search_of_all(rng, whole):
+    for _ in range(200):
+        r = dict(rng.choice(whole.kept)) | {"specialite": rng.choice(["NEPHROLOGIE", "", "UROLOGIE"]), "hospital": rng.choice(["", "a", "b"]), "city_key": rng.choice(["LYON", "NICE", "NANCI", "X"])}
+        assert [whole.index.find(r, s) for s in (False, True)] == [plain_find(whole.kept, r, s) for s in (False, True)]
+
+
+def test_one_component_of_100000_records(spark):
+    """Near names, in many cities and hospitals; one task folds them in seconds."""
+    letters = "ABCDEFGHIJ"
+    rows = spark.range(100_000).select(
+        F.col("id").alias("ordinal"), F.concat(F.lit("MARTIN"), F.element_at(F.array(*[F.lit(x + y) for x in letters for y in letters]), (F.col("id") % 30 + 1).cast("int"))).alias("nom"),
+        F.concat(F.lit("VILLE "), F.hex(F.xxhash64(F.col("id") % 397))).alias("ville"), F.lit("NEPHROLOGIE").alias("specialite"), F.concat(F.lit("CHU "), (F.col("id") % 4999).cast("string")).alias("hopital"),
+    )
+    full = rows.select("ordinal", *[f if f in rows.columns else F.lit("").alias(f) for f in dims.FIELDS], F.create_map().cast(MARKERS).alias("markers"))
+    began = time.time()
+    done, log = folding.fold(full, None, DAY)
+    assert done.count() + log.count() > 0 and match.match_groups(full).select("component").distinct().count() == 1
+    assert time.time() - began < 120
 
 
 def test_inference(spark):
