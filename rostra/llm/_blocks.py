@@ -55,6 +55,11 @@ def read_arrays(uri: str) -> tuple[dict, list[np.ndarray]]:
     return meta, arrays
 
 
+def remove_file(uri: str) -> None:
+    fs, path = _file_system(uri)
+    fs.delete_file(path)
+
+
 class Keeper:
     """The file in which a task keeps what it needs of its slices until the answers are there. Each attempt has a file of its own,
     whose name travels with the questions, so an attempt that runs again never meets the data of another."""

@@ -1,4 +1,4 @@
-"""LM scoring with an Elias-Fano n-gram trie: five levels in memory-mapped shards, asked by the tasks that hold the texts."""
+"""LM scoring with an Elias-Fano n-gram trie in memory-mapped shards, asked by the tasks that hold the texts."""
 
 from __future__ import annotations
 
@@ -8,24 +8,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import ASKED, Keeper, answered, asked, by_shard, distinct, pack, per_slice, read_arrays, steps, text_bytes, unpack, write_arrays
+from ._blocks import ASKED, Keeper, answered, asked, by_shard, distinct, pack, per_slice, read_arrays, remove_file, steps, text_bytes, unpack, write_arrays
 from ._shared import fresh_path, remove, written
 from ._words import Words, as_bytes, mix64, slices
 from .elias_fano import EliasFano
 from .quality_classifier import held_out
 
-ORDER, ADD = 5, 0.1
+#: Words of an n-gram at most. The code takes any number from 2 on; questions and shards grow with it.
+ORDER, ADD = 3, 0.1
 #: A context seen c times gives SPREAD * c ** GROWTH to the shorter context (Dirichlet smoothing, its mass grows as a context's
 #: number of distinct followers does).
 SPREAD, GROWTH = 1.5, 0.6
 #: Logarithms are kept as 16-bit codes, STEP apart; NONE: not in the trie.
 STEP, NONE = 1 / 4096, 65535
 #: Bytes of text for each shard, and that a task handles at once.
-SHARD_BYTES, SLICE_BYTES = 12 << 20, 4 << 20
-#: Bits of a word's hash inside the trie; counts of words and pairs go by 64-bit hashes.
-WORD_BITS = 48
+SHARD_BYTES, SLICE_BYTES = 12 << 20, 6 << 20
+#: Bits of a word's hash inside the trie; counts of words go by 64-bit hashes.
+WORD_BITS = 40
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
-PAIR, ODD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def spread(count: np.ndarray) -> np.ndarray:
@@ -66,28 +67,16 @@ def tokens(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return vocabulary, place[codes], bounds
 
 
-def pair_keys(vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of words and of pairs of neighbours, distinct and sorted; the place there of each word of the vocabulary; of each
-    token with the one before it). The end token stands before a text's first."""
-    before = np.roll(codes, 1)
-    before[bounds[:-1]] = np.searchsorted(vocabulary, END)
-    n = np.uint64(len(vocabulary))
-    both, which = distinct(before.astype(np.uint64) * n + codes.astype(np.uint64))
-    pairs = mix64(vocabulary[both // n] * ODD + vocabulary[both % n]) | PAIR
-    keys, place = distinct(np.concatenate([vocabulary & ~PAIR, pairs]))
-    return keys, place[: len(vocabulary)], place[len(vocabulary) :][which]
-
-
 def windows(vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct windows of ORDER word numbers from 1 on, in order, 0 where a text has ended; the window that begins at each place;
     places' bounds). Places are each text's end token, as what stands before it, and its tokens; the window of the last
-    two places is -1, as all windows have three words at least."""
+    place is -1, as all windows have two words at least."""
     n = len(bounds) - 1
     at = bounds + np.arange(n + 1)
     line = np.full(len(codes) + n, np.searchsorted(vocabulary, END), np.int64)
     line[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(bounds)) + 1] = codes
     ends = np.repeat(at[1:], np.diff(at))
-    begin = np.flatnonzero(np.arange(len(line)) + 2 < ends)
+    begin = np.flatnonzero(np.arange(len(line)) + 1 < ends)
     columns = np.zeros((ORDER, len(begin)), np.int64)
     for k in range(ORDER):
         inside = begin + k < ends[begin]
@@ -118,9 +107,10 @@ def sorted_rows(columns: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray
 
 
 def shards_of(vocabulary: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """A window's shard follows from its first three words, so that no frequent word or pair makes a shard large."""
+    """A window's shard follows from its first two words, so that no frequent word makes a shard large. A frequent pair costs its
+    shard what distinct windows with it each slice has."""
     h = np.concatenate([[np.uint64(0)], vocabulary >> np.uint64(64 - WORD_BITS)])
-    key = mix64(mix64(h[rows[0]] * ODD + h[rows[1]]) * ODD + h[rows[2]])
+    key = mix64(h[rows[0]] * ODD + h[rows[1]])
     return (key % np.uint64(n)).astype(np.int64)
 
 
@@ -136,8 +126,12 @@ def window_block(vocabulary: np.ndarray, rows: np.ndarray, counts: np.ndarray) -
     return pack(steps(hashes), counts.astype(np.uint32), *[small[c].astype(kind) for c in rows])
 
 
+def word_shards(vocabulary: np.ndarray, n: int) -> np.ndarray:
+    return (mix64(vocabulary) % np.uint64(n)).astype(np.int64)
+
+
 def ask(folder: str, n: int):
-    """Texts (doc_id, learn, text) to questions: shards 0 to n - 1 have windows, n to 2n - 1 words and pairs."""
+    """Texts (doc_id, learn, text) to questions: shards 0 to n - 1 have windows, n to 2n - 1 words."""
 
     def run(batches):
         keeper = Keeper(folder)
@@ -154,10 +148,9 @@ def ask(folder: str, n: int):
                 kept = keeper.keep(pack(names, steps(vocabulary), codes.astype(np.uint32), bounds.astype(np.int64)))
                 from_learned = np.repeat(learned, np.diff(bounds))
                 blobs = []
-                keys, word_place, pair_place = pair_keys(vocabulary, codes, bounds)
-                counts = np.bincount(word_place[codes], from_learned, len(keys)) + np.bincount(pair_place, from_learned, len(keys))
-                for s, at in by_shard((mix64(keys) % np.uint64(n)).astype(np.int64)):
-                    blobs.append((n + s, pack(steps(keys[at]), counts[at].astype(np.uint32))))
+                counts = np.bincount(codes, from_learned, len(vocabulary))
+                for s, at in by_shard(word_shards(vocabulary, n)):
+                    blobs.append((n + s, pack(steps(vocabulary[at]), counts[at].astype(np.uint32))))
                 rows, which, places = windows(vocabulary, codes, bounds)
                 begin = np.flatnonzero(which >= 0)
                 counts = np.bincount(which[begin], np.repeat(learned, np.diff(places))[begin], rows.shape[1])
@@ -173,7 +166,7 @@ def ask(folder: str, n: int):
 
 
 def answer_counts(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[bytes], int, int]:
-    """Counts of words and pairs; the shard reports its distinct words and their tokens."""
+    """Counts of words; the shard reports its distinct words and their tokens."""
     parts = [unpack(b) for b in blobs]
     asked_keys = [np.cumsum(k) for k, _ in parts]
     keys, place = distinct(np.concatenate(asked_keys))
@@ -186,15 +179,14 @@ def answer_counts(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[byt
     known = np.zeros(len(keys), np.int64)
     known[found] = kept[at[found]]
     cuts = np.cumsum([len(k) for k in asked_keys])[:-1]
-    words = seen & (keys & PAIR == 0)
-    return [pack(known[p]) for p in np.split(place, cuts)], int(words.sum()), int(counts[words].sum())
+    return [pack(known[p]) for p in np.split(place, cuts)], int(seen.sum()), int(counts.sum())
 
 
 class TrieShard:
-    """The trie below some paths of three words. words: its vocabulary, whose ranks from 1 on are its word numbers. Level k has the
+    """The trie below some pairs of words. words: its vocabulary, whose ranks from 1 on are its word numbers. Level k has the
     distinct paths of k + 1 words in order: children, the last word's number counted on from its parent's number times the
-    size of the vocabulary, and pointers, where each parent's children begin. Level 2 (three words) has codes of counts,
-    levels 3 and 4 of smoothed probabilities."""
+    size of the vocabulary, and pointers, where each parent's children begin. Level 1 (pairs) has codes of counts, as their
+    context's count is with another shard, all below of smoothed probabilities."""
 
     def __init__(self, uri: str):
         meta, arrays = read_arrays(uri)
@@ -219,10 +211,10 @@ class TrieShard:
             if k:
                 pointers.append(EliasFano.of(np.searchsorted(node[first], np.arange(len(parents) + 1))))
             sums = np.add.reduceat(counts[at], np.flatnonzero(new)) if len(at) else np.zeros(0)
-            if k == 2:
+            if k == 1:
                 codes.append(encode_count(sums))
                 number = decode_count(codes[-1])
-            elif k > 2:
+            elif k > 1:
                 context = number[node[first]]
                 codes.append(encode_log(sums / (context + spread(context))))
                 number = decode_log(codes[-1]) * (context + spread(context))
@@ -244,10 +236,10 @@ class TrieShard:
         return (self.children[level].get(np.arange(a, b)) - np.uint64(parent * self.size)).astype(np.int64)
 
     def look_up(self, rows: np.ndarray) -> np.ndarray:
-        """For sorted distinct windows their codes on levels 2 to 4, NONE where the trie has no such path. A path that many windows
+        """For sorted distinct windows their codes on all levels from 1 on, NONE where the trie has no such path. A path that many windows
         begin with is looked for once."""
         n = rows.shape[1]
-        out = np.full((ORDER - 2, n), NONE, np.uint16)
+        out = np.full((ORDER - 1, n), NONE, np.uint16)
         node, new = np.zeros(n, np.int64), np.zeros(n, bool)
         new[:1] = True
         for k in range(ORDER):
@@ -255,8 +247,8 @@ class TrieShard:
             first = np.flatnonzero(new)
             found = self.child(k, node[first], rows[k][first])
             node = found[np.cumsum(new) - 1]
-            if k >= 2:
-                out[k - 2][node >= 0] = self.codes[k - 2][node[node >= 0]]
+            if k:
+                out[k - 1][node >= 0] = self.codes[k - 1][node[node >= 0]]
         return out
 
 
@@ -282,45 +274,51 @@ def answer_windows(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[by
     return [pack(*[c[p] for c in codes]) for p in np.split(which, np.cumsum(sizes)[:-1])], 0, 0
 
 
-def answer(folder: str, n: int):
-    return lambda shard, blobs: (answer_windows if shard < n else answer_counts)(folder, shard, blobs)
+def answer(folder: str, n: int, keep: bool):
+    """keep: leave the shard's files."""
+
+    def run(shard: int, blobs: list[bytes]):
+        found = (answer_windows if shard < n else answer_counts)(folder, shard, blobs)
+        if not keep:
+            remove_file(f"{folder}/{'trie' if shard < n else 'counts'}-{shard}")
+        return found
+
+    return run
 
 
 # -- what a slice makes of the answers -------------------------------------------------------------------------------------
 
 
 def probabilities(found: dict[int, bytes], vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray, n: int, total: int, distinct_words: int):
-    """(count of each token, its add-one-tenth probability, its probability after up to four tokens)."""
-    keys, word_place, pair_place = pair_keys(vocabulary, codes, bounds)
-    counts = np.zeros(len(keys))
-    for s, at in by_shard((mix64(keys) % np.uint64(n)).astype(np.int64)):
+    """(count of each token, its add-one-tenth probability, its probability after up to ORDER - 1 tokens)."""
+    counts = np.zeros(len(vocabulary))
+    for s, at in by_shard(word_shards(vocabulary, n)):
         counts[at] = unpack(found[n + s])[0]
     rows, which, places = windows(vocabulary, codes, bounds)
-    path = np.full((ORDER - 2, rows.shape[1] + 1), NONE, np.uint16)  # the last one for what is no window
+    path = np.full((ORDER - 1, rows.shape[1] + 1), NONE, np.uint16)  # the last one for what is no window
     for s, at in by_shard(shards_of(vocabulary, rows, n)):
         path[:, at] = unpack(found[s])
-    single, pair = counts[word_place[codes]], counts[pair_place]
+    pair_count = decode_count(path[0])
+    single = counts[codes]
     base = (single + ADD) / (total + ADD * (distinct_words + 1))
-    first = np.zeros(len(codes), bool)
-    first[bounds[:-1]] = True
     before = np.roll(single, 1)
-    before[first] = counts[word_place[np.searchsorted(vocabulary, END)]]
-    mixed = lambda lower, count, context: np.where(context > 0, (count + spread(context) * lower) / np.maximum(context + spread(context), 1e-9), lower)
-    p = mixed(base, pair, before)
-    # place of the token itself, and where windows begin whose last or only words end at it
+    before[bounds[:-1]] = counts[np.searchsorted(vocabulary, END)]
+    # place of the token itself, and the windows that begin some places before it
     place = np.arange(len(codes)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) + 1
     start = np.repeat(places[:-1], np.diff(bounds))
-    window = lambda back: np.where(place - back >= start, which[np.maximum(place - back, 0)], -1)
-    three = window(2)
-    context = np.where(three >= 0, np.roll(pair, 1), 0)
-    p = mixed(p, decode_count(path[0][three]), context)
-    for k in range(1, ORDER - 2):
-        at = window(k + 2)
-        context = decode_count(path[0][at])
-        for j in range(1, k):
-            context = decode_log(path[j][at]) * (context + spread(context))
-        share = decode_log(path[k][at])
-        p = np.where((at >= 0) & (context > 0), share + p * spread(context) / np.maximum(context + spread(context), 1e-9), p)
+    p = base
+    for k in range(ORDER - 1):
+        at = np.where(place - k - 1 >= start, which[np.maximum(place - k - 1, 0)], -1)
+        if k == 0:
+            context = before
+            share = pair_count[at] / np.maximum(context + spread(context), 1e-9)
+        else:
+            context = pair_count[at]
+            for j in range(1, k):
+                context = decode_log(path[j][at]) * (context + spread(context))
+            share = decode_log(path[k][at])
+        weight = spread(context)
+        p = np.where((at >= 0) & (context > 0), share + p * weight / np.maximum(context + weight, 1e-9), p)
     return single, base, p
 
 
@@ -346,15 +344,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """log10 probabilities of every whole text, learned from the texts that are not held out.
 
     Returns one row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words alone, add 0.1) and score
-    (a word after up to four others; each context is smoothed by the next shorter one, the shortest by those words alone; the
+    (a word after up to ORDER - 1 others; each context is smoothed by the next shorter one, the shortest by those words alone; the
     end token is what stands before a text's first word). token_scores: also each token's part of the score. Tokens are
     words, A-Z lower-cased, and one end per text. Null texts count as empty and have the end only. Rows stay apart even if
     repeated; a null doc_id is not held out. Other columns are not read. An empty table gives an empty result; where nothing
     is left to learn from, every token is unknown and both scores are 0.
 
-    Each slice of texts asks the shards of the trie for its distinct windows, words and pairs; a shard merges what all slices
-    ask, builds its part of the trie from the learned windows, writes it, and looks the asked ones up in it. So no task
-    holds more than a shard or a slice, and nothing is broadcast. model_dir: where to leave the trie; else it goes.
+    Each slice of texts asks the shards of the trie for its distinct windows and words; a shard merges what all slices ask,
+    builds its part of the trie from the learned windows, writes it, and looks the asked ones up in it. So no task holds
+    more than a shard or a slice, and nothing is broadcast. model_dir: where to leave the trie; else each part goes once
+    its shard has answered.
     """
     spark = docs.sparkSession
     folder = model_dir or fresh_path(spark, "trie")
@@ -362,7 +361,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     id_ = F.col(id_col)
     rows = docs.select(id_.alias("doc_id"), (~held_out(id_, modulus, remainder)).alias("learn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = max(4, -(-text_bytes(rows) // SHARD_BYTES))
-    answers = written(answered(rows.mapInArrow(ask(kept, n), ASKED), 2 * n, answer(folder, n)), "answers")
+    answers = written(answered(rows.mapInArrow(ask(kept, n), ASKED), 2 * n, answer(folder, n, bool(model_dir))), "answers")
     if not model_dir:
         remove(spark, folder)
     distinct_words, total = answers.agg(F.sum("n"), F.sum("total")).first()

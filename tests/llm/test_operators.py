@@ -240,7 +240,7 @@ def test_elias_fano():
         assert (place == np.searchsorted(v, q)).all() and (found == np.isin(q, v)).all()
 
 
-def plain_model(table, order=5):
+def plain_model(table, order):
     """(each document's tokens, counts of n-grams of up to `order` tokens, log10 probability of a token after a list of them)."""
     docs = defaultdict(list)
     for i, t in table:
@@ -268,13 +268,15 @@ def plain_model(table, order=5):
 
 def plain_scores(d, probability):
     line = ["", *d]
-    return [math.log10(probability(line[k], line[max(0, k - 4) : k])) for k in range(1, len(line))]
+    return [math.log10(probability(line[k], line[:k][-9:])) for k in range(1, len(line))]
 
 
-def test_lm_scores(spark, odd, small, none):
-    long = spark.createDataFrame([(1000, " ".join(f"w{i % 977} v{i % 13}" for i in range(60_000)))], "doc_id long, text string")
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_lm_scores(spark, odd, small, none, order, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "ORDER", order)
+    long = spark.createDataFrame([(1000, " ".join(f"w{i % 977} v{i % 13}" for i in range(20_000)))], "doc_id long, text string")
     for df in (odd.select("doc_id", "text"), small.select("doc_id", "text").union(long)):
-        docs, c, n, v, probability = plain_model([tuple(r) for r in df.collect()])
+        docs, c, n, v, probability = plain_model([tuple(r) for r in df.collect()], order)
         got = defaultdict(list)
         for r in rows(lm_scoring.lm_scores(df)):
             got[r["doc_id"]].append(r)
@@ -292,7 +294,7 @@ def test_lm_scores(spark, odd, small, none):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """After contexts of no to four words, over the vocabulary, the end and one unknown word; all in held-out texts."""
+    """After contexts of no to six words, over the vocabulary, the end and one unknown word; all in held-out texts."""
     ids = iter(i for i in range(10**6) if zlib.crc32(str(i).encode()) % 10 == 0)
     texts = ["a b a c d a b", "a b b a b a c d", "c a b a c", "b"] * 3
     learned = [(i, t) for i, t in zip((i for i in range(100) if zlib.crc32(str(i).encode()) % 10), texts, strict=False)]
@@ -315,8 +317,9 @@ def test_repeated_texts_score_apart(spark):
     assert min(got[i] for i, _ in twice) > max(got[i] for i, _ in once)
 
 
-def test_trie_paths(tmp_path):
+def test_trie_paths(tmp_path, monkeypatch):
     """Pointers and children give back every path, and look-ups find the learned paths only."""
+    monkeypatch.setattr(lm_scoring, "ORDER", 5)
     rng = np.random.default_rng(2)
     vocabulary = np.sort(rng.choice(2**48, 30, replace=False).astype(np.uint64))
     table = np.unique(rng.integers(1, 31, (400, 5)), axis=0)
@@ -337,8 +340,8 @@ def test_trie_paths(tmp_path):
 
     assert set(walk(0, 0, ())) == paths
     found = trie.look_up(table.T.copy())
-    for k in range(3):
-        assert [f != lm_scoring.NONE for f in found[k].tolist()] == [tuple(r[: k + 3]) in paths for r in table.tolist()]
+    for k in range(4):
+        assert [f != lm_scoring.NONE for f in found[k].tolist()] == [tuple(r[: k + 2]) in paths for r in table.tolist()]
 
 
 # -- 5
