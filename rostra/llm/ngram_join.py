@@ -21,6 +21,8 @@ NUM, DEN = 3, 4
 KEY_BITS = 48
 #: Bytes of text for each shard of the frequencies.
 SHARD_BYTES = 12 << 20
+#: Bytes of text that a task handles at once.
+SLICE_BYTES = 4 << 20
 #: Classes of a bucket that meet the others of it in one task.
 SALT = 4096
 #: Partitions of the hash range in the suffix filter.
@@ -36,12 +38,18 @@ def prefix_length(n: int) -> int:
     return n + (-NUM * n) // DEN + 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = N_GRAM):
+def words_of(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the words, number of each word of the texts, texts' bounds)."""
+    w = Words(part, cuts)
+    vocabulary, place = distinct(w.hashes())
+    return vocabulary, place[w.codes], w.bounds
+
+
+def shingle_sets(vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray, size: int = N_GRAM):
     """For each text its sorted distinct n-gram hashes; a text of fewer words has one, of all its words; none without words."""
-    w = Words(data, offsets)
-    words = w.hashes()[w.codes]
+    words = vocabulary[codes]
     grams = window_hashes(words, size)
-    for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= size:
             yield np.unique(grams[a : b - size + 1])
         else:
@@ -53,17 +61,18 @@ def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def ask(folder: str, n: int, size: int):
-    """Texts (doc_id, text) to questions: in how many documents are the slice's n-grams. The sets themselves are kept."""
+    """Texts (doc_id, text) to questions: in how many documents are the slice's n-grams. The texts are kept as numbers of words,
+    which take half the room of their sets."""
 
     def run(batches):
         keeper = Keeper(folder)
         for batch in batches:
-            for first, part, cuts in slices(*as_bytes(batch.column(1))):
-                sets = list(shingle_sets(part, cuts, size))
-                flat, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
-                ids = batch.column(0).slice(first, len(sets))
+            for first, part, cuts in slices(*as_bytes(batch.column(1)), SLICE_BYTES):
+                vocabulary, codes, bounds = words_of(part, cuts)
+                ids = batch.column(0).slice(first, len(cuts) - 1)
                 known = np.asarray(ids.is_valid())
-                kept = keeper.keep(pack(np.asarray(ids.fill_null(0)).astype(np.int64), known, sizes, steps(flat)))
+                kept = keeper.keep(pack(np.asarray(ids.fill_null(0)).astype(np.int64), known, steps(vocabulary), codes.astype(np.uint32), bounds.astype(np.int64)))
+                flat = np.concatenate(list(shingle_sets(vocabulary, codes, bounds, size)))
                 keys, place = distinct(flat >> np.uint64(64 - KEY_BITS))
                 counts = np.bincount(place, minlength=len(keys)).astype(np.uint32)
                 blobs = [(s, pack(steps(keys[at]), counts[at])) for s, at in by_shard(shard_of(keys, n))]
@@ -85,22 +94,22 @@ def answer(shard: int, blobs: list[bytes]) -> tuple[list[bytes], int, int]:
 HEADS = "doc_id long, n long, s1 long, s2 long, grams array<bigint>, places array<int>, parts binary, hashes binary"
 
 
-def tell(n_shards: int):
+def tell(n_shards: int, size: int):
     """A slice's sets and the frequencies of their n-grams to HEADS: the set's size and 128-bit hash, and the part of the prefix
     that other documents have too: n-grams and their places in the order from rare to frequent. The prefix is as long as a
     set that links must share one n-gram of. Where there is such a part, also the set (sorted 64-bit hashes) and how many of
     it are in each part of the hash range, at most 255."""
 
     def run(data: bytes, found: dict[int, bytes]):
-        ids, known, n, flat = unpack(data)
-        flat = np.cumsum(flat)
+        ids, known, hashes, codes, bounds = unpack(data)
+        sets = list(shingle_sets(np.cumsum(hashes), codes, bounds, size))
+        flat, n = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
         keys, which = distinct(flat >> np.uint64(64 - KEY_BITS))
         classes = np.zeros(len(keys), np.uint8)
         for s, at in by_shard(shard_of(keys, n_shards)):
             classes[at] = unpack(found[s])[0]
         classes = classes[which]
         bounds = np.concatenate([[0], np.cumsum(n)])
-        sets = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
         shared = np.flatnonzero(classes)
         doc = np.searchsorted(bounds, shared, "right") - 1
@@ -178,7 +187,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # texts are read and cut into n-grams once; each slice asks the shards of the frequencies
     n_shards = max(4, -(-text_bytes(rows) // SHARD_BYTES))
     counted = answered(rows.mapInArrow(ask(fresh_path(docs.sparkSession, "slices"), n_shards, size), ASKED), n_shards, answer)
-    heads = written(per_slice(counted, tell(n_shards), HEADS), "heads")
+    heads = written(per_slice(counted, tell(n_shards, size), HEADS), "heads")
     members = heads.select("doc_id", "n", "s1", "s2")
 
     classes = heads.filter("doc_id is not null and size(grams) > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.any_value("grams").alias("grams"), F.any_value("places").alias("places"))
