@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from rostra.functions import dims
 from rostra.operators.fold import fold
 from rostra.operators.infer import infer
-from rostra.operators.report import crosstab, journal, sorted_directory
-from rostra.sources.ooxml import read_files, write_workbook
+from rostra.operators.report import crosstab, crosstab_long, journal, sorted_directory
+from rostra.sources.ooxml import BODY, JOURNAL_WIDTH, PLAIN, Sheet, read_files, write_workbook
 
 from .extract import MARKERS, from_free_text, from_sections, from_single_columns, from_tables, numbered
 from .layout import SHEET, _log, split_layouts, union
@@ -85,22 +85,32 @@ def _same(log: DataFrame) -> DataFrame:
 
 
 def write_directory(directory: DataFrame, log: DataFrame, path: str) -> None:
-    """One workbook: directory with legend and marker fills, cross-tab, journal. Rows stream through the driver."""
-    legend = [("Legende", "header"), ("Conflit d'affiliation", "conflict"), ("Valeur inferee", "inferred"), ("Specialite approchee", "phonetic")]
+    """One workbook: directory with legend, marker fills and comments, and filters; cross-tab; journal. path may be the address of a
+    file in a store. Rows stream through the driver."""
+    # The legend above the header.
+    legend = [("Legende:", PLAIN), ("Conflit hopital (revue manuelle)", "conflict"), ("Valeur inferee depuis un confrere", "inferred"), ("Specialite resolue phonetiquement", "phonetic")]
 
     def people():
         yield legend
         yield [(h, "header") for h in dims.HEADERS]
         for r in sorted_directory(directory).toLocalIterator():
-            yield [(r[f], r["cell_kinds"].get(f) or ("soft" if r["row_soft"] else "")) for f in dims.FIELDS]
+            style = lambda f: r["cell_kinds"].get(f) or ("soft" if r["row_soft"] else BODY)  # noqa: B023, E731
+            yield [(r[f], style(f), (r["markers"].get(f) or {"comment": ""})["comment"]) for f in dims.FIELDS]
 
     def table(df: DataFrame, heads: list[str]):
         yield [(h, "header") for h in heads]
         for r in df.toLocalIterator():
-            yield [("" if v is None else str(v), "") for v in r]
+            yield [("" if v is None else str(v), PLAIN) for v in r]
 
     tab = crosstab(directory)
-    write_workbook(path, [(DIRECTORY_SHEET, people(), 2), ("Par Ville", table(tab, ["Ville", *tab.columns[1:]]), 1), ("Journal Import", table(journal(log), ["Message"]), 1)])
+    write_workbook(path, [Sheet(DIRECTORY_SHEET, people(), 2, filter_row=2), Sheet("Par Ville", table(tab, ["Ville", *tab.columns[1:]]), 1, 1), Sheet("Journal Import", table(journal(log), ["Message"]), width=JOURNAL_WIDTH)])
+
+
+def write_tables(directory: DataFrame, log: DataFrame, folder: str) -> None:
+    """The same three parts as Parquet tables in a folder, written by all tasks: directory (with markers), par_ville, journal."""
+    sorted_directory(directory).write.mode("overwrite").parquet(f"{folder}/directory")
+    crosstab_long(directory).write.mode("overwrite").parquet(f"{folder}/par_ville")
+    log.write.mode("overwrite").parquet(f"{folder}/journal")
 
 
 def generate(spark: SparkSession, paths: list[str], origin: str | None = None, existing: str | None = None, run_date: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,10 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta
+from itertools import chain, islice
+from typing import NamedTuple
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
@@ -143,46 +146,139 @@ def _decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All rows, paragraphs and tables of workbooks (.xlsx) and documents (.docx), in the order of paths; an unreadable or
-    unknown file gives one `error` row. Each file is decoded by one task."""
-    order = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_idx long, given string")
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    bare = lambda c: F.regexp_replace(F.col(c), "^[a-z0-9]+:/*", "/")
-    joined = files.join(F.broadcast(order), bare("path") == bare("given")).select("file_idx", "path", "content")
-    return joined.mapInPandas(_decode, ROW_SCHEMA)
+    """All rows, paragraphs and tables of workbooks (.xlsx) and documents (.docx), in the order of paths, whatever characters their
+    names have; an unreadable, unknown or missing file gives one `error` row. Each file is decoded by one task."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    known = []
+    for given in paths:
+        path = jvm.org.apache.hadoop.fs.Path(given)
+        fs = path.getFileSystem(conf)
+        known.append((fs.makeQualified(path).toString(), fs.exists(path)))
+    order = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(known)], "file_idx long, path string")
+    there = sorted({p for p, found in known if found})
+    missing = [(i, p, "error", 0, "", 0, "", [f"Fichier introuvable: {p.rsplit('/', 1)[-1]}"]) for i, (p, found) in enumerate(known) if not found]
+    lost = spark.createDataFrame(missing, ROW_SCHEMA)
+    if not there:
+        return lost
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in there]).select("path", "content")
+    return files.join(F.broadcast(order), "path").select("file_idx", "path", "content").mapInPandas(_decode, ROW_SCHEMA).unionByName(lost)
 
 
-# Fills of the printed directory.
+# Fills of the printed directory, bounds of its column widths, how many rows they follow from, the width of the journal.
 FILLS = {"header": "2F5496", "soft": "FFF2CC", "conflict": "FFE699", "inferred": "DEEBF7", "phonetic": "E7E6E6", "fuzzy": "E7E6E6"}
+NARROWEST, WIDEST, WIDTH_ROWS, JOURNAL_WIDTH = 8, 40, 49, 100
+#: Styles of a cell without fill, besides the fills' own.
+PLAIN, BODY = "", "body"
+_STYLES = [PLAIN, BODY, *FILLS]
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 
 
-def write_workbook(path: str, sheets: Iterable[tuple[str, Iterable[list[tuple[str, str]]], int]]) -> None:
-    """sheets: (name, rows of (text, fill name or ''), number of frozen rows). Rows are streamed."""
-    fills = list(FILLS)
-    letters = lambda i: (letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    names = []
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for number, (name, rows, frozen) in enumerate(sheets, 1):
-            names.append(name)
-            with z.open(f"xl/worksheets/sheet{number}.xml", "w") as out:
-                pane = f'<pane ySplit="{frozen}" topLeftCell="A{frozen + 1}" state="frozen"/>' if frozen else ""
-                out.write(f'{head}<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0">{pane}</sheetView></sheetViews><sheetData>'.encode())
-                for r, row in enumerate(rows, 1):
-                    cells = "".join(f'<c r="{letters(i)}{r}" t="inlineStr" s="{fills.index(f) + 1 if f else 0}"><is><t xml:space="preserve">{escape(t)}</t></is></c>' for i, (t, f) in enumerate(row) if t or f)
-                    out.write(f'<row r="{r}">{cells}</row>'.encode())
-                out.write(b"</sheetData></worksheet>")
-        solid = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in FILLS.values())
-        formats = "".join(f'<xf numFmtId="49" fontId="{int(f == "header")}" fillId="{i + 2}" borderId="0" xfId="0"/>' for i, f in enumerate(fills))
-        z.writestr("xl/styles.xml", f'{head}<styleSheet xmlns="{main}"><fonts count="2"><font><sz val="10"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/></font></fonts><fills count="{len(fills) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{solid}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(fills) + 1}"><xf numFmtId="49" fontId="0" fillId="0" borderId="0" xfId="0"/>{formats}</cellXfs></styleSheet>')
+class Sheet(NamedTuple):
+    """rows: lists of cells (text, style) or (text, style, comment). frozen: rows and columns that stay in view. filter_row: the row
+    with filters on its cells, from 1. width: of all columns; else each follows from its first rows."""
+
+    name: str
+    rows: Iterable[list[tuple]]
+    frozen: int = 0
+    frozen_columns: int = 0
+    filter_row: int = 0
+    width: int | None = None
+
+
+def _letters(i: int) -> str:
+    return (_letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
+
+def column_widths(rows: list[list[tuple]]) -> list[int]:
+    """The longest line of each column's texts, some room added, within bounds."""
+    n = max(map(len, rows), default=0)
+    longest = [max((len(line) for r in rows if i < len(r) for line in r[i][0].split("\n")), default=0) for i in range(n)]
+    return [min(max(x + 2, NARROWEST), WIDEST) for x in longest]
+
+
+def _sheet(out, sheet: Sheet) -> list[tuple[int, int, str]]:
+    """Writes a sheet's rows as they come; returns (row, column, text) of its comments."""
+    rows = iter(sheet.rows)
+    first = list(islice(rows, WIDTH_ROWS))
+    widths = column_widths(first) if sheet.width is None else [sheet.width] * max(map(len, first), default=0)
+    corner = f"{_letters(sheet.frozen_columns)}{sheet.frozen + 1}"
+    split = (f' xSplit="{sheet.frozen_columns}"' if sheet.frozen_columns else "") + (f' ySplit="{sheet.frozen}"' if sheet.frozen else "")
+    pane = f'<pane{split} topLeftCell="{corner}" activePane="{"bottomRight" if sheet.frozen_columns else "bottomLeft"}" state="frozen"/>' if split else ""
+    columns = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
+    out.write(f'{_HEAD}<worksheet xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheetViews><sheetView workbookViewId="0">{pane}</sheetView></sheetViews>{f"<cols>{columns}</cols>" if columns else ""}<sheetData>'.encode())
+    comments, n, wide = [], 0, 0
+    for n, row in enumerate(chain(first, rows), 1):
+        cells = ""
+        for i, (text, style, *more) in enumerate(row):
+            if text or style in FILLS:
+                cells += f'<c r="{_letters(i)}{n}" t="inlineStr" s="{_STYLES.index(style)}"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+            comments += [(n, i, c) for c in more if c]
+        wide = max(wide, len(row))
+        out.write(f'<row r="{n}">{cells}</row>'.encode())
+    filters = f'<autoFilter ref="A{sheet.filter_row}:{_letters(wide - 1)}{n}"/>' if sheet.filter_row and n > sheet.filter_row else ""
+    out.write(f'</sheetData>{filters}{"<legacyDrawing r:id=" + chr(34) + "rId1" + chr(34) + "/>" if comments else ""}</worksheet>'.encode())
+    return comments
+
+
+def _write_comments(z: zipfile.ZipFile, number: int, comments: list[tuple[int, int, str]]) -> None:
+    listed = "".join(f'<comment ref="{_letters(c)}{r}" authorId="0"><text><t xml:space="preserve">{escape(t)}</t></text></comment>' for r, c, t in comments)
+    z.writestr(f"xl/comments{number}.xml", f'{_HEAD}<comments xmlns="{_MAIN}"><authors><author>Annuaire</author></authors><commentList>{listed}</commentList></comments>')
+    box = lambda r, c: f'<v:shape id="c{r}_{c}" type="#note" style="visibility:hidden"><x:ClientData ObjectType="Note"><x:Row>{r - 1}</x:Row><x:Column>{c}</x:Column></x:ClientData></v:shape>'
+    boxes = "".join(box(r, c) for r, c, _ in comments)
+    z.writestr(f"xl/drawings/vmlDrawing{number}.vml", f'<xml xmlns:v="urn:schemas-microsoft-com:vml" xmlns:x="urn:schemas-microsoft-com:office:excel"><v:shapetype id="note" coordsize="21600,21600" path="m,l,21600r21600,l21600,xe"/>{boxes}</xml>')
+    z.writestr(f"xl/worksheets/_rels/sheet{number}.xml.rels", f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/vmlDrawing" Target="../drawings/vmlDrawing{number}.vml"/><Relationship Id="rId2" Type="{_OFFICE}/comments" Target="../comments{number}.xml"/></Relationships>')
+
+
+def _styles() -> str:
+    solid = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in FILLS.values())
+    line = lambda side: f'<{side} style="thin"><color rgb="FFD9D9D9"/></{side}>'
+    top = '<alignment vertical="top" wrapText="1"/>'
+    middle = '<alignment horizontal="center" vertical="center" wrapText="1"/>'
+    xf = lambda font, fill, border, alignment: f'<xf numFmtId="49" fontId="{font}" fillId="{fill}" borderId="{border}" xfId="0" applyAlignment="1">{alignment}</xf>'
+    formats = xf(0, 0, 0, "") + xf(0, 0, 1, top) + "".join(xf(1, i, 0, middle) if f == "header" else xf(0, i, 1, top) for i, f in enumerate(FILLS, 2))
+    fonts = '<fonts count="2"><font><sz val="10"/><name val="Calibri"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Calibri"/></font></fonts>'
+    fills = f'<fills count="{len(FILLS) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{solid}</fills>'
+    borders = f'<borders count="2"><border/><border>{"".join(map(line, ("left", "right", "top", "bottom")))}</border></borders>'
+    return f'{_HEAD}<styleSheet xmlns="{_MAIN}">{fonts}{fills}{borders}<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(_STYLES)}">{formats}</cellXfs></styleSheet>'
+
+
+@contextmanager
+def _open(path: str):
+    """A file to write, by a path or by the address of a file in any store that pyarrow knows."""
+    if "://" not in path:
+        with open(path, "wb") as out:
+            yield out
+    else:
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(path)
+        store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(place) as out:
+            yield out
+
+
+def write_workbook(path: str, sheets: Iterable[tuple]) -> None:
+    """One workbook of Sheets (or tuples of their fields). Rows are streamed; comments are held until their sheet ends."""
+    names, noted = [], []
+    with _open(path) as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for number, fields in enumerate(sheets, 1):
+            sheet = Sheet(*fields)
+            names.append(sheet.name)
+            with z.open(f"xl/worksheets/sheet{number}.xml", "w", force_zip64=True) as out:
+                comments = _sheet(out, sheet)
+            if comments:
+                noted.append(number)
+                _write_comments(z, number, comments)
+        numbers = range(1, len(names) + 1)
+        z.writestr("xl/styles.xml", _styles())
         listed = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1))
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}<Relationship Id="rId{len(names) + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers)
+        z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships">{links}<Relationship Id="rId{len(names) + 1}" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in numbers) + "".join(f'<Override PartName="/xl/comments{i}.xml" ContentType="{kind}.comments+xml"/>' for i in noted)
+        z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="vml" ContentType="application/vnd.openxmlformats-officedocument.vmlDrawing"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')

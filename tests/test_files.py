@@ -89,3 +89,54 @@ def test_empty(spark, tmp_path, paths):
     book = files.workbook(tmp_path / "e.xlsx", Seule=files.column("LYON", "x"))
     found, log = pipeline.extract_records(spark, [book])
     assert found.count() == 0 and [r["message"] for r in log.collect()] == ["[Seule] Trop peu de lignes (2)"]
+
+
+def test_names_with_any_characters_and_missing_files(spark, tmp_path):
+    names = ["liste [1].xlsx", "liste 1.xlsx", "a{b,c}*?.xlsx"]
+    paths = [files.workbook(tmp_path / n, Feuille=[["Nom", "Ville"], [f"ROY Ann{i}", "Nice"]]) for i, n in enumerate(names)]
+    found, log = pipeline.extract_records(spark, [paths[0], str(tmp_path / "gone.xlsx"), *paths[1:], paths[0]])
+    assert rows(found, "prenom", "source") == [("Ann0", names[0]), ("Ann1", names[1]), ("Ann2", names[2]), ("Ann0", names[0])]
+    assert [r["message"] for r in log.collect()] == ["Fichier introuvable: gone.xlsx"]
+    assert read_files(spark, [str(tmp_path / "none.xlsx")]).count() == 1 and read_files(spark, []).count() == 0
+
+
+def test_places_beyond_a_million_lines(spark):
+    """Records of far lines, parts and files keep their order and their file."""
+    from pyspark.sql import functions as F
+
+    from rostra.plans.extract import numbered, place
+
+    far = [(0, 3, 1_048_575, 0, 0), (0, 3, 1_048_575, 60, 25), (0, 2000, 0, 0, 0), (1, 0, 0, 0, 0), (70_000, 0, 5, 0, 0)]
+    df = spark.createDataFrame(far[::-1], "file_idx long, sheet_idx int, pos int, sub int, nth int").select(place().alias("place"), F.col("pos").cast("string").alias("nom"))
+    got = [tuple(r["place"]) for r in numbered(df).orderBy("ordinal").collect()]
+    assert got == far and numbered(df).select("ordinal").distinct().count() == 5
+
+
+def test_cells_and_names_beyond_old_limits(spark):
+    from rostra.functions import names
+
+    person = "Jean " + " ".join(f"x{i}" for i in range(1200)) + " Dupont"
+    cell = " ".join(f"Téléphone : {i}" for i in range(10_050))
+    df = spark.createDataFrame([(person, cell)], "p string, c string")
+    r = df.select(names.normalize_name("p")["prenom"].alias("p"), names.split_labels("c").alias("c")).first()
+    assert len(r["p"].split()) == 1201 and len(r["c"]) == 10_050
+
+
+def test_workbook_comments_filters_and_widths(spark, tmp_path):
+    import zipfile
+
+    from test_fold import doc, table
+
+    both = table(spark, [doc(hopital="CHU A"), doc(hopital="CHU B"), doc("DUVAL", notes="pas de référent")])
+    done, log = pipeline.consolidate(both, "2026-01-01")
+    path = str(tmp_path / "out.xlsx")
+    pipeline.write_directory(done, log, "file://" + path)
+    with zipfile.ZipFile(path) as z:
+        sheet, notes = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/comments1.xml").decode()
+        assert '<autoFilter ref="A2:Q5"/>' in sheet and "legacyDrawing" in sheet and sheet.count("<col ") == 17 and 'width="40"' in sheet
+        assert notes.count("<comment ref=") == 2 and "Conflit: voir aussi CHU B" in notes and 'ref="K' in notes
+        assert 'width="100"' in z.read("xl/worksheets/sheet3.xml").decode() and 'xSplit="1" ySplit="1" topLeftCell="B2"' in z.read("xl/worksheets/sheet2.xml").decode()
+    back, _ = pipeline.read_directory(spark, path)
+    assert back.count() == 3
+    pipeline.write_tables(done, log, str(tmp_path / "tables"))
+    assert spark.read.parquet(str(tmp_path / "tables/directory")).count() == 3 and spark.read.parquet(str(tmp_path / "tables/journal")).count() == log.count()
