@@ -93,6 +93,11 @@ def q_sheet_headers(spark, sf):
     return sheets.select("sheet_idx", F.col("n_cells").cast("long").alias("n_cells"), "ville_text", "type_centre", "responsable", F.col("data_start").cast("long").alias("data_start"))
 
 
+def q_sheet_flags(spark, sf):
+    flags = layout.sheet_flags(*layout.single_columns(single_sheets(spark, sf)))
+    return flags.select("sheet_idx", "numbered", "sectors", "idem", F.array_join("labels", ",").alias("labels"))
+
+
 def _shown(records: DataFrame) -> DataFrame:
     marked = F.array_join(F.transform(F.map_entries("markers"), lambda e: F.concat(e["key"], F.lit("|"), e["value"]["kind"], F.lit("|"), e["value"]["comment"])), ",")
     return records.select(F.col("place.sheet").alias("sheet_idx"), *[f for f in dims.FIELDS if f != "date_import"], marked.alias("marked"))
@@ -197,6 +202,24 @@ def q_document_sections(spark, sf):
     return found.select(F.col("place.file").alias("file_idx"), *[f for f in _shown(found).columns if f not in ("sheet_idx", "marked")])
 
 
+def q_document_flags(spark, sf):
+    """Documents of one customer each; every third has no contact lines."""
+    p = planted(spark, sf).select(F.col("id").alias("sheet"), F.lit(0).alias("id"), F.col("id").alias("n"), "surname", "nn")
+    lines = F.array(_paragraph("Normal", "=Service"), F.when(F.col("n") % 2 == 0, _paragraph("Normal", "=Dr ", "surname")).otherwise(_paragraph("Normal", "=rien")), F.when(F.col("n") % 3 == 0, _paragraph("Normal", "=")).otherwise(_paragraph("Normal", "=02 98 00 00 ", "nn", "= c@x.fr")))
+    return layout.document_flags(_document(p, lines)).select("file_idx", F.array_join("fields", ",").alias("fields"))
+
+
+def q_title_and_phones(spark, sf):
+    """Titles as written in one column, and all numbers of a text, each once."""
+    from rostra.functions import text
+
+    p = planted(spark, sf)
+    number = F.concat(F.lit("+33 4 72 00 00 "), "nn")
+    said = F.concat(F.lit("Appeler "), number, F.lit(", 04.72.00.00."), "nn", F.lit(" ou 0577000099 ; fax 123"))
+    title = F.element_at(F.array(*map(F.lit, ["professeur", "Dr", "PR", "docteur", ""])), (F.col("id") % 5 + 1).cast("int"))
+    return p.select("id", text.title_of(title).alias("title"), F.array_join(text.phones(said), "|").alias("phones"))
+
+
 def q_free_text(spark, sf):
     p = planted(spark, sf)
     body = F.concat(F.lit("Au CHU de "), "city", F.lit(", Dr Luc Morel, cardiologue, 02 98 00 00 "), "nn", F.lit(", c"), F.col("id").cast("string"), F.lit("@x.fr ; Pr Anne DUPONT, interne"))
@@ -253,7 +276,7 @@ def q_enrich_pairs_log(spark, sf):
     return folding.fold(b, a, DAY)[1].select("ordinal", "message")
 
 
-QUERIES = {f.__name__: f for f in (q_sheet_headers, q_single_columns, q_single_columns_log, q_loose_sheets, q_tables, q_word_tables, q_document_layouts, q_document_sections, q_free_text, q_merge_pairs, q_merge_pairs_log, q_enrich_pairs, q_enrich_pairs_log)}
+QUERIES = {f.__name__: f for f in (q_sheet_headers, q_sheet_flags, q_document_flags, q_title_and_phones, q_single_columns, q_single_columns_log, q_loose_sheets, q_tables, q_word_tables, q_document_layouts, q_document_sections, q_free_text, q_merge_pairs, q_merge_pairs_log, q_enrich_pairs, q_enrich_pairs_log)}
 
 
 # -- DuckDB ----------------------------------------------------------------------------------------------------------------
@@ -290,6 +313,12 @@ SQL = {
     "q_sheet_headers": f"""{_P} SELECT sheet::INTEGER AS sheet_idx, (1 + (sheet % 2 = 0)::INTEGER + (sheet % 3 = 0)::INTEGER + (sheet % 4 = 0)::INTEGER + sum((heading <> '')::INTEGER + (sector_line <> '')::INTEGER + CASE WHEN w <> 7 THEN 4 + (id % 3 = 0)::INTEGER ELSE 0 END))::BIGINT AS n_cells,
   upper(any_value(city)) AS ville_text, CASE WHEN sheet % 2 = 0 THEN 'Centre de référence' ELSE '' END AS type_centre, CASE WHEN sheet % 3 = 0 THEN 'Pr DURAND Alain' ELSE '' END AS responsable,
   (1 + (sheet % 2 = 0)::INTEGER + (sheet % 3 = 0)::INTEGER + (sheet % 4 = 0)::INTEGER)::BIGINT AS data_start FROM p GROUP BY sheet""",
+    "q_sheet_flags": f"""{_P} SELECT sheet::INTEGER AS sheet_idx, bool_or(regexp_matches(heading, '^[0-9]')) AS numbered, bool_or(sector_line <> '') AS sectors, bool_or(w IN (2, 6)) AS idem,
+  array_to_string(list_filter([CASE WHEN bool_or(n AND w <> 7) THEN 'nom' END, CASE WHEN bool_or(h AND w <> 7) THEN 'hopital' END, CASE WHEN bool_or(h AND w <> 7) THEN 'adresse' END, CASE WHEN bool_or(t AND w <> 7) THEN 'telephone' END, CASE WHEN bool_or(m AND w <> 7) THEN 'email' END], lambda x: x IS NOT NULL), ',') AS labels
+FROM (SELECT *, before + own < 30 AS n, before + own + 1 < 30 AS h, before + own + 2 < 30 AS t, before + own + 3 < 30 AS m FROM (SELECT *, (heading <> '')::INTEGER + (sector_line <> '')::INTEGER AS own,
+  coalesce(sum((heading <> '')::INTEGER + (sector_line <> '')::INTEGER + CASE WHEN w <> 7 THEN 4 + (id % 3 = 0)::INTEGER ELSE 0 END) OVER (PARTITION BY sheet ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)) GROUP BY sheet""",
+    "q_document_flags": f"""{_P} SELECT id AS file_idx, array_to_string(list_filter([CASE WHEN id % 2 = 0 THEN 'nom' END, CASE WHEN id % 3 <> 0 THEN 'telephone' END, CASE WHEN id % 3 <> 0 THEN 'email' END], lambda x: x IS NOT NULL), ',') AS fields FROM p""",
+    "q_title_and_phones": f"""{_P} SELECT id, CASE id % 5 WHEN 0 THEN 'Pr' WHEN 2 THEN 'Pr' WHEN 4 THEN '' ELSE 'Dr' END AS title, '04 72 00 00 ' || nn || '|05 77 00 00 99' AS phones FROM p""",
     "q_single_columns": f"""{_SINGLE} SELECT sheet::BIGINT AS sheet_idx, {_record(region='region', ville='city', type_centre="CASE WHEN sheet % 2 = 0 THEN 'Centre de référence' ELSE '' END", responsable_centre="CASE WHEN sheet % 3 = 0 THEN 'Pr DURAND Alain' ELSE '' END",
       specialite='spec', specialite_detail='detail', secteur='secteur', titre='CASE WHEN takes THEN ref.titre ELSE titre END', nom='CASE WHEN takes THEN ref.nom ELSE nom END', prenom='CASE WHEN takes THEN ref.prenom ELSE prenom END', hopital="'CHU de ' || city",
       adresse="id || ' rue Y'", telephone="'04 77 82 81 ' || nn", email="'c' || id || '@chu.fr'", notes="CASE WHEN takes THEN 'Meme medecin que secteur Pediatrie' ELSE notes END", source="'Excel'")},

@@ -103,28 +103,28 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-def normalize_ville(c: Column | str) -> Column:
+def normalize_ville(c: Column | str, spellings: dict[str, str] = dims.CITY_SPELLINGS) -> Column:
     clean = clean_text(c)
-    return F.coalesce(lookup(F.upper(clean), dims.CITY_SPELLINGS), title_case(clean))
+    return F.coalesce(lookup(F.upper(clean), spellings), title_case(clean))
 
 
 def normalize_city(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(clean_text(c), CITY_PREFIX, ""))
 
 
-def section_city(c: Column | str) -> Column:
+def section_city(c: Column | str, headers: dict[str, str] = dims.SECTION_CITIES) -> Column:
     """The city of a section header: the first known header that it contains, else what follows the establishment."""
     header = F.trim(text(c))
     rest = F.regexp_replace(header, r"(?iU)^(?:CHU\s+(?:d[e']\s*)?|CHRU\s+(?:de\s+)?|Centre\s+Hospitalier\s+(?:de\s+)?|Hôpital\s+)", "")
-    known = [F.when(F.contains(F.lower(header), F.lit(k.lower())), F.lit(v)) for k, v in dims.SECTION_CITIES.items()]
+    known = [F.when(F.contains(F.lower(header), F.lit(k.lower())), F.lit(v)) for k, v in headers.items()]
     return F.coalesce(*known, F.trim(F.regexp_replace(F.trim(rest), r"^'+", "")))
 
 
-def region_of(c: Column | str) -> Column:
+def region_of(c: Column | str, regions: dict[str, str] = dims.REGIONS) -> Column:
     """Exact city, else the first known city that is a prefix of it or has it as a prefix; '' for none or no city."""
     key = F.trim(F.lower(text(c)))
-    near = [F.when(key.startswith(k) | F.lit(k).startswith(key), F.lit(v)) for k, v in dims.REGIONS.items()]
-    return F.when(text(c) == "", F.lit("")).otherwise(F.coalesce(lookup(key, dims.REGIONS), *near, F.lit("")))
+    near = [F.when(key.startswith(k) | F.lit(k).startswith(key), F.lit(v)) for k, v in regions.items()]
+    return F.when(text(c) == "", F.lit("")).otherwise(F.coalesce(lookup(key, regions), *near, F.lit("")))
 
 
 def any_of(c: Column, *words: str) -> Column:

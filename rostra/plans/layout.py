@@ -14,7 +14,7 @@ SHEET = ["file_idx", "path", "sheet_idx", "sheet"]
 HEADER_ROWS = 10
 
 
-def header_field(c: Column | str) -> Column:
+def header_field(c: Column | str, synonyms: list[tuple[str, str, bool]] = dims.HEADER_SYNONYMS) -> Column:
     """The field that a column header names: the longest synonym found in it, the first on ties; null for none."""
     raw, key = text(c), F.lower(strip_accents(F.trim(text(c))))
 
@@ -22,7 +22,7 @@ def header_field(c: Column | str) -> Column:
         length = F.length(F.regexp_extract(raw, f"(?iU){pattern}", 0)) if is_regex else F.when(F.contains(key, F.lit(plain(pattern.lower()))), len(pattern)).otherwise(0)
         return F.struct(length.alias("length"), F.lit(-i).alias("prio"), F.lit(field).alias("field"))
 
-    best = F.array_max(F.array(*[found(i, *s) for i, s in enumerate(dims.HEADER_SYNONYMS)]))
+    best = F.array_max(F.array(*[found(i, *s) for i, s in enumerate(synonyms)]))
     return F.when(best["length"] > 0, best["field"])
 
 
@@ -55,6 +55,32 @@ def single_columns(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells, sheets
 
 
+# What shows a sheet's or a document's kind of content.
+NUMBERED, SECTOR, SEVERAL = r"(?U)^(\d+)\.?\s+", r"(?iU)^Secteur\s+", r"(?U)[A-ZÀ-Ý]{2,}\s+\w+\s*[-–/&]\s*[A-ZÀ-Ý]"
+LABELS = {"nom": r"(?iU)NOM\s*[–\-]\s*PRENOM\s*:", "hopital": r"(?iU)H[oô]pital\s+de\s+rattachement\s*:", "telephone": r"(?iU)T[ée]l[ée]phone\s*:"}
+LOOSE_LABELS = {"adresse": "adresse postale", "email": "adresse mail"}
+SAMPLED_ROWS = 30
+SHOWN = {"nom": r"(?iU)(Dr|Pr|Professeur)\s+[\w\-À-ÿ]+", "telephone": r"(?iU)(?:T[ée]l|0\d[\d\s\.]{8,})", "email": r"(?U)[\w\.\-]+@[\w\.\-]+\.\w+"}
+
+
+def sheet_flags(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """SHEET and what describes a labelled sheet: numbered, sectors, several (names in a cell), idem, and labels, the fields whose labels
+    are among its first data cells. cells and sheets: of single_columns(). Nothing else depends on these."""
+    data = cells.join(sheets.filter("n_cells >= 4").select(*SHEET, "data_start"), SHEET).filter("pos >= data_start")
+    some = F.col("pos") < F.col("data_start") + SAMPLED_ROWS
+    has = {f: F.col("text").rlike(p) for f, p in LABELS.items()} | {f: F.contains(F.lower("text"), F.lit(p)) & F.contains(F.col("text"), F.lit(":")) for f, p in LOOSE_LABELS.items()}
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    labels = F.array_compact(F.array(*[F.when(F.max(some & has[f]), F.lit(f)) for f in ("nom", "hopital", "adresse", "telephone", "email")]))
+    return data.groupBy(*SHEET).agg(F.max(F.col("text").rlike(NUMBERED)).alias("numbered"), F.max(F.col("text").rlike(SECTOR)).alias("sectors"), whole.rlike(SEVERAL).alias("several"), F.contains(F.lower(whole), F.lit("idem")).alias("idem"), labels.alias("labels"))
+
+
+def document_flags(paragraphs: DataFrame) -> DataFrame:
+    """file_idx and fields: which of name, phone and e-mail a document's paragraphs show. Nothing else depends on these."""
+    words = paragraphs.filter("kind = 'paragraph'").select("file_idx", "row_idx", F.get("values", F.lit(0)).alias("text")).filter("text <> ''")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "text"))), lambda x: x["text"]), " ")
+    return words.groupBy("file_idx").agg(F.array_compact(F.array(*[F.when(whole.rlike(p), F.lit(f)) for f, p in SHOWN.items()])).alias("fields"))
+
+
 def table_headers(grid: DataFrame, fixed: bool) -> DataFrame:
     """SHEET, header_row, and one row per recognised column (col, field). The header is the first of ten rows with the most
     recognised cells, two at least; fixed: row 0 of the first table, one at least."""

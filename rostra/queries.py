@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostra.file_queries import PERSONS
 from rostra.functions import dims, names, specialty, text
 from rostra.operators import fold as folding
 from rostra.operators import infer as inferring
@@ -18,7 +19,9 @@ from rostra.plans.pipeline import consolidate, enrich, named_count
 
 _CITIES = [k.title() for k in dims.REGIONS]
 _NAMES = ["BERNARD", "PÉRIVIER", "LE GALL", "DUMOULIN", "FAURE", "GARCIA", "HARAMBAT", "ISIDOR", "JOUBERT", "KLEIN", "LEFORT", "MOREAU", "NIVELLE", "OLLIVIER", "PETIT-JEAN", "QUENTIN", "RIGOTHIER", "SCHNEIDER", "THÉVENOT", "VASSEUR"]
-_PEOPLE = ["Jean Dupont", "MARTIN Sophie", "Pr Claire DURAND", "LEFORT, Bruno", "ISIDOR", "Smith Jones", "HACHON LE CAMUS Caroline", "Dr Marie Blanc", "ROUX ANNE", "Professeur Leroy Thomas"]
+_PEOPLE = [p[0] for p in PERSONS]
+#: Which of them begin with a first name.
+_FIRST = [p[0] for p in PERSONS if p[0].split()[0] in ("Jean", "Mathilde", "Valentin", "Raphael", "Pierre", "Jean-Marc")]
 _LABELS = ["Dermatologues", "dermathologue", "nephrologie :", "cardio pediatrique", "XYZABC", "", "Neurologie", "PSYCHIATRES", "Génétique", "pneumologuee", "ophtalmologie", "Autres spécialités", "nefrologie"]
 
 
@@ -309,14 +312,15 @@ SQL = {
 SELECT ordinal, coalesce(arg_min(v, CASE WHEN k = c THEN -1 ELSE i END) FILTER (starts_with(c, k) OR starts_with(k, c)), '') AS region FROM x CROSS JOIN t GROUP BY ordinal""",
     "q_specialty_native": f"{_D} SELECT ordinal, string_split({_specialty('label', False)}, '|')[1] AS specialite, string_split({_specialty('label', False)}, '|')[2] AS method FROM d",
     "q_specialty_phonetic": f"{_D} SELECT ordinal, nullif(string_split({_specialty('label')}, '|')[1], '') AS specialite, nullif(string_split({_specialty('label')}, '|')[2], '') AS method FROM d",
-    "q_name_parse": f"""{_D}, a AS (SELECT ordinal, regexp_extract(person, '(?i)^(Pr(?:ofesseur)?|Dr)\\s+', 1) AS t, regexp_replace(person, '(?i)^(Pr(?:ofesseur)?|Dr)\\s+', '') AS rest FROM d),
-b AS (SELECT *, string_split(rest, ' ') AS w FROM a),
-c AS (SELECT *, list_filter(w, lambda x: replace(x, '-', '') = upper(replace(x, '-', ''))) AS up, list_filter(w, lambda x: replace(x, '-', '') <> upper(replace(x, '-', ''))) AS lo,
-  lower(strip_accents(w[1])) IN ({", ".join(f"'{n}'" for n in dims.FIRST_NAMES)}) AS f1, lower(strip_accents(w[-1])) IN ({", ".join(f"'{n}'" for n in dims.FIRST_NAMES)}) AS f2 FROM b)
-SELECT ordinal, CASE WHEN t = '' THEN '' WHEN lower(t) LIKE 'pr%' THEN 'Pr' ELSE 'Dr' END AS titre,
-  CASE WHEN contains(rest, ', ') THEN upper(string_split(rest, ', ')[1]) WHEN len(up) > 0 AND len(lo) > 0 THEN array_to_string(up, ' ') WHEN len(up) > 0 THEN w[1] WHEN len(w) > 1 AND f1 AND NOT f2 THEN upper(w[-1]) ELSE upper(w[1]) END AS nom,
-  CASE WHEN contains(rest, ', ') THEN string_split(rest, ', ')[2] WHEN len(up) > 0 AND len(lo) > 0 THEN array_to_string(lo, ' ') WHEN len(up) = 0 AND len(w) > 1 AND f1 AND NOT f2 THEN array_to_string(w[1:-2], ' ') ELSE array_to_string(w[2:], ' ') END AS prenom FROM c""",
-    "q_first_name": f"""{_D} SELECT ordinal, lower(strip_accents(string_split(person, ' ')[1])) IN ({", ".join(f"'{n}'" for n in dims.FIRST_NAMES)}) AS is_first FROM d""",
+    # what each person must give is stated by hand, not read from the lexicon
+    "q_name_parse": f"""{_D}, x(person, titre, nom, prenom) AS (VALUES {", ".join("('" + "', '".join(p) + "')" for p in PERSONS)}) SELECT ordinal, titre, x.nom AS nom, prenom FROM d JOIN x USING (person)""",
+    "q_first_name": f"""{_D} SELECT ordinal, person IN ({", ".join(f"'{p}'" for p in _FIRST)}) AS is_first FROM d""",
+    "q_split_names": f"""{_D} SELECT ordinal, person || '|MOREAU Julie' || CASE WHEN contains(nom, ' ') THEN '|' ELSE ', ' END || nom AS names FROM d""",
+    "q_component_sizes": _R.replace("WITH d", "WITH RECURSIVE d", 1) + f""", n AS (SELECT DISTINCT {_key('nom')} AS k, specialite AS s, {_key('nom')} || '|' || specialite AS i FROM r),
+ed AS (SELECT a.i AS x, b.i AS y FROM n a JOIN n b ON a.i <> b.i AND abs(length(a.k) - length(b.k)) <= 2 AND levenshtein(a.k, b.k) <= 2 AND (a.s = b.s OR a.s = '' OR b.s = '')),
+reach(x, y) AS (SELECT i, i FROM n UNION SELECT reach.x, ed.y FROM reach JOIN ed ON ed.x = reach.y),
+c AS (SELECT x AS i, min(y) AS first FROM reach GROUP BY x)
+SELECT members, count(*) AS parts FROM (SELECT first, count(*) AS members FROM r JOIN c ON c.i = {_key('nom')} || '|' || specialite GROUP BY first) GROUP BY members""",
     "q_label_split": f"""{_D}, a AS (SELECT ordinal, unnest([{{'nth': 0, 'label': 'prefix', 'value': 'Note'}}, {{'nth': 1, 'label': 'nom', 'value': person}}, {{'nth': 2, 'label': 'hopital', 'value': hopital}}, {{'nth': 3, 'label': 'telephone', 'value': telephone}}, {{'nth': 4, 'label': 'email', 'value': email}}]) AS x FROM d)
 SELECT ordinal, x.nth AS nth, x.label AS label, x.value AS value FROM a""",
     "q_sections": f"""{_D}, a AS (SELECT ordinal, replace(ville, ' Nord', '') AS sheet, CASE WHEN ordinal % 5 = 0 THEN upper(label) END AS heading FROM d)
