@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,8 +25,9 @@ SPREAD, GROWTH = 1.5, 0.6
 STEP, NONE = 1 / 4096, 65535
 #: Bytes of text for each shard, and that a task handles at once.
 SHARD_BYTES, SLICE_BYTES = 12 << 20, 6 << 20
-#: Bits of a word's hash inside the trie; counts of words go by 64-bit hashes.
-WORD_BITS = 40
+#: Bits of a word's hash as first, second, third and later word of a path in the trie: a word needs to be told from the others
+#: that follow the same context only. Counts of words go by 64-bit hashes.
+BITS = (40, 32, 24, 24, 24)
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,22 +84,21 @@ def windows(vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tu
     for k in range(ORDER):
         inside = begin + k < ends[begin]
         columns[k][inside] = line[begin[inside] + k] + 1
-    order, new = sorted_rows(columns, len(vocabulary) + 1)
+    order, new = sorted_rows(columns, [len(vocabulary).bit_length()] * ORDER)
     which = np.full(len(line), -1, np.int64)
     which[begin[order]] = np.cumsum(new) - 1
     return columns[:, order[new]], which, at
 
 
-def sorted_rows(columns: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the rows by their columns, which of the ordered ones differ from the row before). limit: above all values."""
-    bits = int(limit).bit_length()
-    most = max(1, 63 // bits)
-    packed = []
-    for i in range(0, len(columns), most):
-        key = np.zeros(columns.shape[1], np.uint64)
-        for c in columns[i : i + most]:
-            key = (key << np.uint64(bits)) | c.astype(np.uint64)
-        packed.append(key)
+def sorted_rows(columns, bits) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows by their columns, which of the ordered ones differ from the row before). bits: of each column's values."""
+    packed, room = [], 0
+    for c, b in zip(columns, bits, strict=False):
+        if b > room:
+            packed.append(np.zeros(len(c), np.uint64))
+            room = 64
+        packed[-1] = (packed[-1] << np.uint64(b)) | c.astype(np.uint64)
+        room -= b
     order = np.lexsort(packed[::-1])
     new = np.ones(len(order), bool)
     new[1:] = False
@@ -109,21 +111,24 @@ def sorted_rows(columns: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray
 def shards_of(vocabulary: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """A window's shard follows from its first two words, so that no frequent word makes a shard large. A frequent pair costs its
     shard what distinct windows with it each slice has."""
-    h = np.concatenate([[np.uint64(0)], vocabulary >> np.uint64(64 - WORD_BITS)])
-    key = mix64(h[rows[0]] * ODD + h[rows[1]])
+    h = vocabulary >> np.uint64(64 - BITS[1])
+    key = mix64(h[rows[0] - 1] * ODD + h[rows[1] - 1])
     return (key % np.uint64(n)).astype(np.int64)
 
 
 def window_block(vocabulary: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """Windows in words of their own small vocabulary."""
-    used = np.zeros(len(vocabulary) + 1, bool)
-    for c in rows:
-        used[c] = True
-    used[0] = False
-    small = np.where(used, np.cumsum(used), 0)
-    kind = np.uint16 if small.max(initial=0) < 1 << 16 else np.uint32
-    hashes = vocabulary[np.flatnonzero(used) - 1] >> np.uint64(64 - WORD_BITS)
-    return pack(steps(hashes), counts.astype(np.uint32), *[small[c].astype(kind) for c in rows])
+    """Windows as hashes of their words, cut to BITS; 0 stays."""
+    columns = []
+    for c, bits in zip(rows, BITS, strict=False):
+        h = np.maximum(vocabulary >> np.uint64(64 - bits), 1).astype(np.uint64 if bits > 32 else np.uint32)
+        columns.append(np.where(c > 0, h[c - 1], h.dtype.type(0)))
+    return pack(counts.astype(np.uint32), *[steps(c) for c in columns[:2]], *columns[2:])
+
+
+def open_block(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(counts, columns of hashes) of a window_block."""
+    counts, first, second, *more = unpack(blob)
+    return counts, [np.cumsum(first, dtype=first.dtype), np.cumsum(second, dtype=second.dtype), *more]
 
 
 def word_shards(vocabulary: np.ndarray, n: int) -> np.ndarray:
@@ -183,31 +188,29 @@ def answer_counts(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[byt
 
 
 class TrieShard:
-    """The trie below some pairs of words. words: its vocabulary, whose ranks from 1 on are its word numbers. Level k has the
-    distinct paths of k + 1 words in order: children, the last word's number counted on from its parent's number times the
-    size of the vocabulary, and pointers, where each parent's children begin. Level 1 (pairs) has codes of counts, as their
+    """The trie below some pairs of words. Level k has the distinct paths of k + 1 words in order: children, the last word's hash of
+    BITS[k] bits below its parent's number, and pointers, where each parent's children begin. Level 1 (pairs) has codes of counts, as their
     context's count is with another shard, all below of smoothed probabilities."""
 
     def __init__(self, uri: str):
         meta, arrays = read_arrays(uri)
         levels = [EliasFano(n, b, *arrays[3 * i : 3 * i + 3]) for i, (n, b) in enumerate(zip(meta["n"], meta["low_bits"], strict=True))]
-        self.words, self.children, self.pointers, self.codes = levels[0], levels[1 : 1 + ORDER], levels[1 + ORDER :], arrays[3 * len(levels) :]
-        self.size = self.words.n + 1
+        self.children, self.pointers, self.codes = levels[:ORDER], levels[ORDER:], arrays[3 * len(levels) :]
 
     @staticmethod
-    def write(uri: str, vocabulary: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> None:
-        """rows: distinct windows in order, with their counts."""
+    def write(uri: str, rows: list[np.ndarray], counts: np.ndarray) -> None:
+        """rows: columns of distinct windows in order, with their counts."""
         children, pointers, codes = [], [], []
-        node = np.zeros(rows.shape[1], np.int64)  # each row's node on the level before
+        node = np.zeros(len(counts), np.int64)  # each row's node on the level before
         parents, number = np.zeros(1), np.zeros(1)
-        inside = np.ones(rows.shape[1], bool)
+        inside = np.ones(len(counts), bool)
         for k in range(ORDER):
             inside = inside & (rows[k] > 0)
             at = np.flatnonzero(inside)
             new = np.ones(len(at), bool)
             new[1:] = (node[at][1:] != node[at][:-1]) | (rows[k][at][1:] != rows[k][at][:-1])
             first = at[new]
-            children.append(EliasFano.of(node[first].astype(np.uint64) * np.uint64(len(vocabulary) + 1) + rows[k][first].astype(np.uint64)))
+            children.append(EliasFano.of((node[first].astype(np.uint64) << np.uint64(BITS[k])) | rows[k][first].astype(np.uint64)))
             if k:
                 pointers.append(EliasFano.of(np.searchsorted(node[first], np.arange(len(parents) + 1))))
             sums = np.add.reduceat(counts[at], np.flatnonzero(new)) if len(at) else np.zeros(0)
@@ -219,26 +222,26 @@ class TrieShard:
                 codes.append(encode_log(sums / (context + spread(context))))
                 number = decode_log(codes[-1]) * (context + spread(context))
             parents = first
-            here = np.full(rows.shape[1], -1, np.int64)
+            here = np.full(len(counts), -1, np.int64)
             here[at] = np.cumsum(new) - 1
             node = here
-        levels = [EliasFano.of(vocabulary), *children, *pointers]
+        levels = [*children, *pointers]
         write_arrays(uri, {"n": [x.n for x in levels], "low_bits": [x.low_bits for x in levels]}, [*[p for x in levels for p in x.parts()], *codes])
 
     def child(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The node that a word makes below each parent, -1 for none: the successor among the words of that context."""
-        place, found = self.children[level].successor(np.maximum(parents, 0).astype(np.uint64) * np.uint64(self.size) + words.astype(np.uint64))
+        place, found = self.children[level].successor((np.maximum(parents, 0).astype(np.uint64) << np.uint64(BITS[level])) | words.astype(np.uint64))
         return np.where(found & (parents >= 0) & (words > 0), place, -1)
 
     def followers(self, level: int, parent: int) -> np.ndarray:
-        """The word numbers below a node of the level before."""
+        """The words' hashes below a node of the level before."""
         a, b = self.pointers[level - 1].get(np.array([parent, parent + 1])).astype(np.int64)
-        return (self.children[level].get(np.arange(a, b)) - np.uint64(parent * self.size)).astype(np.int64)
+        return (self.children[level].get(np.arange(a, b)) & np.uint64((1 << BITS[level]) - 1)).astype(np.int64)
 
-    def look_up(self, rows: np.ndarray) -> np.ndarray:
+    def look_up(self, rows: list[np.ndarray]) -> np.ndarray:
         """For sorted distinct windows their codes on all levels from 1 on, NONE where the trie has no such path. A path that many windows
         begin with is looked for once."""
-        n = rows.shape[1]
+        n = len(rows[0])
         out = np.full((ORDER - 1, n), NONE, np.uint16)
         node, new = np.zeros(n, np.int64), np.zeros(n, bool)
         new[:1] = True
@@ -252,25 +255,34 @@ class TrieShard:
         return out
 
 
+def path_counts(codes: np.ndarray) -> list[np.ndarray]:
+    """A path's codes as codes of counts, which take less room on their way: a smoothed probability and its context's count give the
+    path's own count, a whole number."""
+    out, context = [codes[0]], decode_count(codes[0])
+    for code in codes[1:]:
+        found = code != NONE
+        context = np.where(found, np.maximum(np.round(decode_log(code) * (context + spread(context))), 1), 0)
+        out.append(np.where(found, encode_count(np.maximum(context, 1)), NONE).astype(np.uint16))
+    return out
+
+
 def answer_windows(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[bytes], int, int]:
     """Builds the shard's trie of all learned windows and looks up all windows in it."""
-    parts = [unpack(b) for b in blobs]
-    small = [np.cumsum(p[0]) for p in parts]
-    vocabulary, place = distinct(np.concatenate(small))
-    cuts = np.cumsum([0, *map(len, small)])
-    # a block's word numbers become the shard's; 0 stays
-    rows = np.concatenate([np.concatenate([[0], place[a:b] + 1])[np.stack(p[2:]).astype(np.int64)] for p, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True)], axis=1)
-    counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    sizes = [len(p[1]) for p in parts]
-    del parts, small
-    order, new = sorted_rows(rows, len(vocabulary) + 1)
+    parts = [open_block(b) for b in blobs]
+    sizes = [len(c) for c, _ in parts]
+    counts = np.concatenate([c for c, _ in parts])
+    rows = [np.concatenate([columns[k] for _, columns in parts]) for k in range(ORDER)]
+    del parts
+    order, new = sorted_rows(rows, BITS)
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
-    rows = rows[:, order[new]]
-    counts = np.bincount(which, counts, rows.shape[1]).astype(np.int64)
+    first = order[new]
+    rows = [c[first] for c in rows]
+    counts = np.bincount(which, counts, len(first)).astype(np.int64)
+    del order, new, first
     seen = counts > 0
-    TrieShard.write(f"{folder}/trie-{shard}", vocabulary, rows[:, seen], counts[seen])
-    codes = TrieShard(f"{folder}/trie-{shard}").look_up(rows)
+    TrieShard.write(f"{folder}/trie-{shard}", [c[seen] for c in rows], counts[seen])
+    codes = path_counts(TrieShard(f"{folder}/trie-{shard}").look_up(rows))
     return [pack(*[c[p] for c in codes]) for p in np.split(which, np.cumsum(sizes)[:-1])], 0, 0
 
 
@@ -298,7 +310,6 @@ def probabilities(found: dict[int, bytes], vocabulary: np.ndarray, codes: np.nda
     path = np.full((ORDER - 1, rows.shape[1] + 1), NONE, np.uint16)  # the last one for what is no window
     for s, at in by_shard(shards_of(vocabulary, rows, n)):
         path[:, at] = unpack(found[s])
-    pair_count = decode_count(path[0])
     single = counts[codes]
     base = (single + ADD) / (total + ADD * (distinct_words + 1))
     before = np.roll(single, 1)
@@ -309,14 +320,8 @@ def probabilities(found: dict[int, bytes], vocabulary: np.ndarray, codes: np.nda
     p = base
     for k in range(ORDER - 1):
         at = np.where(place - k - 1 >= start, which[np.maximum(place - k - 1, 0)], -1)
-        if k == 0:
-            context = before
-            share = pair_count[at] / np.maximum(context + spread(context), 1e-9)
-        else:
-            context = pair_count[at]
-            for j in range(1, k):
-                context = decode_log(path[j][at]) * (context + spread(context))
-            share = decode_log(path[k][at])
+        context = decode_count(path[k - 1][at]) if k else before
+        share = decode_count(path[k][at]) / np.maximum(context + spread(context), 1e-9)
         weight = spread(context)
         p = np.where((at >= 0) & (context > 0), share + p * weight / np.maximum(context + weight, 1e-9), p)
     return single, base, p
@@ -364,6 +369,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     answers = written(answered(rows.mapInArrow(ask(kept, n), ASKED), 2 * n, answer(folder, n, bool(model_dir))), "answers")
     if not model_dir:
         remove(spark, folder)
+    # the questions' shuffle is of no more use: without references to it, a collection lets Spark delete its files
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     distinct_words, total = answers.agg(F.sum("n"), F.sum("total")).first()
     kind = rows.dtypes[0][1]
     schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double" + ", token_scores array<double>" * token_scores

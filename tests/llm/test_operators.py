@@ -321,14 +321,13 @@ def test_trie_paths(tmp_path, monkeypatch):
     """Pointers and children give back every path, and look-ups find the learned paths only."""
     monkeypatch.setattr(lm_scoring, "ORDER", 5)
     rng = np.random.default_rng(2)
-    vocabulary = np.sort(rng.choice(2**48, 30, replace=False).astype(np.uint64))
     table = np.unique(rng.integers(1, 31, (400, 5)), axis=0)
     table[::7, 3:] = 0
     table[1::7, 4] = 0
     table = np.unique(table, axis=0)
     learned = rng.random(len(table)) < 0.6
     counts = rng.integers(1, 9, len(table))
-    lm_scoring.TrieShard.write(f"{tmp_path}/t", vocabulary, table[learned].T.copy(), counts[learned])
+    lm_scoring.TrieShard.write(f"{tmp_path}/t", list(table[learned].T), counts[learned])
     trie = lm_scoring.TrieShard(f"{tmp_path}/t")
     paths = {tuple(r[: k + 1]) for r in table[learned].tolist() for k in range(5) if all(r[: k + 1])}
 
@@ -339,7 +338,7 @@ def test_trie_paths(tmp_path, monkeypatch):
                 yield from walk(level + 1, int(trie.pointers[level - 1].get(np.array([node]))[0]) + j if level else j, (*path, int(w)))
 
     assert set(walk(0, 0, ())) == paths
-    found = trie.look_up(table.T.copy())
+    found = trie.look_up(list(table.T))
     for k in range(4):
         assert [f != lm_scoring.NONE for f in found[k].tolist()] == [tuple(r[: k + 2]) in paths for r in table.tolist()]
 
