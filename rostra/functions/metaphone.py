@@ -6,8 +6,13 @@ _VOWELS = set("AEIOU")
 _FRONT = set("EIY")
 
 
-def metaphone(word: str) -> str:
-    """The code of a word; other characters than A-Z separate nothing and are skipped."""
+def metaphone(text: str) -> str:
+    """The codes of a text's words, with a space between words, so that two words never sound like one."""
+    return " ".join(code for word in text.split() if (code := _word(word)))
+
+
+def _word(word: str) -> str:
+    """The code of a word; other characters than A-Z are skipped."""
     w = "".join(c for c in word.upper() if "A" <= c <= "Z")
     w = "".join(c for i, c in enumerate(w) if i == 0 or c != w[i - 1] or c == "C")
     if w[:2] in ("AE", "GN", "KN", "PN", "WR"):
