@@ -177,8 +177,9 @@ def answered(questions: DataFrame, n: int, answer) -> DataFrame:
     return questions.repartitionById(n, F.col("shard")).mapInArrow(run, ANSWERED)
 
 
-def per_slice(answers: DataFrame, tell, schema: str) -> DataFrame:
-    """tell(data that the slice kept, {shard: answer}) gives record batches; slices come together by their origin and place."""
+def per_slice(answers: DataFrame, n: int, tell, schema: str) -> DataFrame:
+    """tell(data that the slice kept, {shard: answer}) gives record batches; slices come together by their origin and place, in n
+    tasks: their work is in what they kept, so the size of the answers must not set the number of tasks."""
 
     def run(batches):
         kept, now, found = Kept(), None, {}
@@ -194,4 +195,4 @@ def per_slice(answers: DataFrame, tell, schema: str) -> DataFrame:
             yield from tell(kept.read(*now), found)
 
     rows = answers.select("origin", "begin", "size", "shard", "blob")
-    return rows.repartition("origin", "begin").sortWithinPartitions("origin", "begin", "shard").mapInArrow(run, schema)
+    return rows.repartition(n, "origin", "begin").sortWithinPartitions("origin", "begin", "shard").mapInArrow(run, schema)

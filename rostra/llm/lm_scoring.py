@@ -375,6 +375,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     distinct_words, total = answers.agg(F.sum("n"), F.sum("total")).first()
     kind = rows.dtypes[0][1]
     schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double" + ", token_scores array<double>" * token_scores
-    scored = per_slice(answers, tell(n, total or 0, distinct_words or 0, token_scores), schema)
+    scored = per_slice(answers, n, tell(n, total or 0, distinct_words or 0, token_scores), schema)
     out = ["doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", "score"]
     return scored.select(*out, *["token_scores"] * token_scores)

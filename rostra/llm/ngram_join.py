@@ -187,7 +187,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # texts are read and cut into n-grams once; each slice asks the shards of the frequencies
     n_shards = max(4, -(-text_bytes(rows) // SHARD_BYTES))
     counted = answered(rows.mapInArrow(ask(fresh_path(docs.sparkSession, "slices"), n_shards, size), ASKED), n_shards, answer)
-    heads = written(per_slice(counted, tell(n_shards, size), HEADS), "heads")
+    heads = written(per_slice(counted, n_shards, tell(n_shards, size), HEADS), "heads")
     members = heads.select("doc_id", "n", "s1", "s2")
 
     classes = heads.filter("doc_id is not null and size(grams) > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.any_value("grams").alias("grams"), F.any_value("places").alias("places"))
