@@ -14,6 +14,7 @@ from rostra.functions import dims
 from rostra.operators import fold as folding
 from rostra.plans import extract, layout
 from rostra.plans.extract import MARKERS
+from rostra.plans.pipeline import stamped
 
 CITIES = [k.title() for k in dims.REGIONS]
 SURNAMES = ["BERNARD", "PÉRIVIER", "LE GALL", "DUMOULIN", "FAURE", "GARCIA", "HARAMBAT", "ISIDOR", "JOUBERT", "KLEIN", "LEFORT", "MOREAU", "NIVELLE", "OLLIVIER", "PETIT-JEAN", "QUENTIN", "RIGOTHIER", "SCHNEIDER", "THÉVENOT", "VASSEUR"]
@@ -220,6 +221,13 @@ def q_title_and_phones(spark, sf):
     return p.select("id", text.title_of(title).alias("title"), F.array_join(text.phones(said), "|").alias("phones"))
 
 
+def q_union_stamp(spark, sf):
+    """Records of two files together, numbered by file and place, each with its file's label."""
+    p = planted(spark, sf)
+    of = lambda file, name: extract.records(p.select("*", F.lit(file).alias("file_idx"), F.lit(0).alias("sheet_idx"), (F.lit(-1) * F.col("id")).alias("pos"), F.lit(0).alias("sub"), F.lit(0).alias("nth")).withColumn("place", extract.place()), nom=name, source=F.lit("Excel"))
+    return stamped(layout.union(of(1, "surname"), of(0, "nom")), ["a.xlsx", "Import B"]).select("ordinal", "nom", "source")
+
+
 def q_free_text(spark, sf):
     p = planted(spark, sf)
     body = F.concat(F.lit("Au CHU de "), "city", F.lit(", Dr Luc Morel, cardiologue, 02 98 00 00 "), "nn", F.lit(", c"), F.col("id").cast("string"), F.lit("@x.fr ; Pr Anne DUPONT, interne"))
@@ -276,7 +284,7 @@ def q_enrich_pairs_log(spark, sf):
     return folding.fold(b, a, DAY)[1].select("ordinal", "message")
 
 
-QUERIES = {f.__name__: f for f in (q_sheet_headers, q_sheet_flags, q_document_flags, q_title_and_phones, q_single_columns, q_single_columns_log, q_loose_sheets, q_tables, q_word_tables, q_document_layouts, q_document_sections, q_free_text, q_merge_pairs, q_merge_pairs_log, q_enrich_pairs, q_enrich_pairs_log)}
+QUERIES = {f.__name__: f for f in (q_sheet_headers, q_sheet_flags, q_document_flags, q_title_and_phones, q_union_stamp, q_single_columns, q_single_columns_log, q_loose_sheets, q_tables, q_word_tables, q_document_layouts, q_document_sections, q_free_text, q_merge_pairs, q_merge_pairs_log, q_enrich_pairs, q_enrich_pairs_log)}
 
 
 # -- DuckDB ----------------------------------------------------------------------------------------------------------------
@@ -318,6 +326,7 @@ SQL = {
 FROM (SELECT *, before + own < 30 AS n, before + own + 1 < 30 AS h, before + own + 2 < 30 AS t, before + own + 3 < 30 AS m FROM (SELECT *, (heading <> '')::INTEGER + (sector_line <> '')::INTEGER AS own,
   coalesce(sum((heading <> '')::INTEGER + (sector_line <> '')::INTEGER + CASE WHEN w <> 7 THEN 4 + (id % 3 = 0)::INTEGER ELSE 0 END) OVER (PARTITION BY sheet ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)) GROUP BY sheet""",
     "q_document_flags": f"""{_P} SELECT id AS file_idx, array_to_string(list_filter([CASE WHEN id % 2 = 0 THEN 'nom' END, CASE WHEN id % 3 <> 0 THEN 'telephone' END, CASE WHEN id % 3 <> 0 THEN 'email' END], lambda x: x IS NOT NULL), ',') AS fields FROM p""",
+    "q_union_stamp": f"""{_P} SELECT row_number() OVER (ORDER BY id DESC) - 1 AS ordinal, nom, 'a.xlsx' AS source FROM p UNION ALL SELECT 68719476736 + row_number() OVER (ORDER BY id DESC) - 1, surname, 'Import B' FROM p""",
     "q_title_and_phones": f"""{_P} SELECT id, CASE id % 5 WHEN 0 THEN 'Pr' WHEN 2 THEN 'Pr' WHEN 4 THEN '' ELSE 'Dr' END AS title, '04 72 00 00 ' || nn || '|05 77 00 00 99' AS phones FROM p""",
     "q_single_columns": f"""{_SINGLE} SELECT sheet::BIGINT AS sheet_idx, {_record(region='region', ville='city', type_centre="CASE WHEN sheet % 2 = 0 THEN 'Centre de référence' ELSE '' END", responsable_centre="CASE WHEN sheet % 3 = 0 THEN 'Pr DURAND Alain' ELSE '' END",
       specialite='spec', specialite_detail='detail', secteur='secteur', titre='CASE WHEN takes THEN ref.titre ELSE titre END', nom='CASE WHEN takes THEN ref.nom ELSE nom END', prenom='CASE WHEN takes THEN ref.prenom ELSE prenom END', hopital="'CHU de ' || city",

@@ -40,9 +40,13 @@ def extract_records(spark: SparkSession, paths: list[str], origin: str | None =
     free, free_log = from_free_text(union(sheet_text, document_text))
     found = union(tables, words, single, sections, free)
     log = union(table_log, word_log, single_log, section_log, free_log, _log(by["errors"], F.get("values", F.lit(0))))
-    names = spark.createDataFrame([(i, origin or p.rstrip("/").rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "f long, stamp string")
-    stamped = numbered(found).withColumn("f", F.col("place.file")).join(names, "f").withColumn("source", F.col("stamp")).select("ordinal", *dims.FIELDS, "markers")
-    return written(stamped, "extracted"), written(log, "log")
+    return written(stamped(found, [origin or p.rstrip("/").rsplit("/", 1)[-1] for p in paths]), "extracted"), written(log, "log")
+
+
+def stamped(found: DataFrame, labels: list[str]) -> DataFrame:
+    """Extracted records, numbered in the order of their places, with their file's label as source. labels: by file number."""
+    names = found.sparkSession.createDataFrame(list(enumerate(labels)), "f long, stamp string")
+    return numbered(found).withColumn("f", F.col("place.file")).join(names, "f").withColumn("source", F.col("stamp")).select("ordinal", *dims.FIELDS, "markers")
 
 
 def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
