@@ -301,119 +301,6 @@ c AS (SELECT x AS i, min(y) AS first FROM reach GROUP BY x)
 SELECT members, count(*) AS parts FROM (SELECT first, count(*) AS members FROM r JOIN c ON c.i = {_key('nom')} || '|' || specialite GROUP BY first) GROUP BY members""",
     "q_label_split": f"""{_D}, a AS (SELECT ordinal, unnest([{{'nth': 0, 'label': 'prefix', 'value': 'Note'}}, {{'nth': 1, 'label': 'nom', 'value': person}}, {{'nth': 2, 'label': 'hopital', 'value': hopital}}, {{'nth': 3, 'label': 'telephone', 'value': telephone}}, {{'nth': 4, 'label': 'email', 'value': email}}]) AS x FROM d)
 SELECT ordinal, x.nth AS nth, x.label AS label, x.value AS value FROM a""",
-    "q_header_fields": q_header_fields,
-    "q_sector": _q(lambda: [text.sector_value("secteur").alias("sector"), text.detect_sector("secteur").alias("detected")]),
-    "q_title_city": _q(lambda: [text.normalize_ville(F.upper("ville")).alias("city"), text.normalize_city("hopital").alias("bare")]),
-    "q_completeness": _q(lambda: [text.completeness("nom", "hopital", "adresse", "telephone", "email").cast("int").alias("score")]),
-    "q_source_union": _q(lambda: [text.union_sources("source", F.when(F.col("ordinal") % 3 == 0, "Annuaire").otherwise("")).alias("sources")]),
-    "q_transfer": _q(lambda: [text.is_transfer("notes", "source").alias("transfer")]),
-    "q_crosstab_long": q_crosstab_long,
-    "q_crosstab": q_crosstab,
-    "q_totals": lambda s, d: named_count(records(s, d)),
-    "q_sorted_directory": q_sorted_directory,
-    "q_shared_values": _shared,
-    "q_infer": q_infer,
-    "q_infer_log": q_infer_log,
-    "q_match_best": q_match_best,
-    "q_components": q_components,
-    "q_component_sizes": q_component_fold_keys,
-    "q_idem": q_idem,
-    "q_merge_all": q_merge_all,
-    "q_merge_log": q_merge_log,
-    "q_enrich": q_enrich,
-}
-
-# -- DuckDB ----------------------------------------------------------------------------------------------------------------
-
-_D = f"WITH d AS ({DOCTORS})"
-
-
-def _clean(x: str) -> str:
-    return rf"trim(regexp_replace(replace(replace({x}, chr(160), ' '), chr(8203), ''), '[\s\x0B\x1c-\x1f]+', ' ', 'g'))"
-
-
-def _key(x: str) -> str:
-    return f"replace(replace(strip_accents(upper({x})), '-', ''), ' ', '')"
-
-
-def _hospital(x: str) -> str:
-    kind = r"\b(?:chu|chru|hopital|hopitaux|centre\s+hospitalier|centre\s+de\s+reference|centre\s+de\s+competence)\b"
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '{kind}', ' ', 'g'), '\bd[''\s]', ' ', 'g'), '\bde\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-
-
-def _phone(x: str) -> str:
-    bare = rf"regexp_replace({_clean(x)}, '(?i)\(?(?:secrétariat|secretariat|accueil|standard|rdv)\b\)?', '', 'g')"
-    digits = r"regexp_replace(m, '\D', '', 'g')"
-    national = f"CASE WHEN {digits} LIKE '33%' AND length({digits}) >= 11 THEN '0' || substr({digits}, 3) ELSE {digits} END"
-    ten = rf"CASE WHEN length({national}) >= 10 AND substr({national}, 1, 1) = '0' THEN trim(regexp_replace(substr({national}, 1, 10), '(..)', '\1 ', 'g')) END"
-    found = rf"list_filter(list_transform(regexp_extract_all({bare}, '(?:\+33\s*[\s.\-]?\s*|0)[\d\s.\-]{{8,}}'), lambda m: {ten}), lambda p: p IS NOT NULL)"
-    return f"array_to_string(list_transform(list_sort(list_transform(list_distinct({found}), lambda p: {{'i': list_position({found}, p), 'p': p}})), lambda s: s.p), ' / ')"
-
-
-def _sq(x: str) -> str:
-    return x.replace("'", "''")
-
-
-_REGION_ROWS = ", ".join(f"({i}, '{_sq(k)}', '{_sq(v)}')" for i, (k, v) in enumerate(dims.REGIONS.items()))
-
-
-def _specialty(x: str, heard: bool = True) -> str:
-    """CASE giving specialty|method of a label; heard: with the one planted label that resolves by sound only."""
-    key = f"trim(regexp_replace(strip_accents(lower(trim({x}))), ':+$', ''))"
-    cases = [f"WHEN {key} = '{k}' THEN '{v}|exact'" for k, v in dims.SPECIALTIES.items()]
-    cases += [f"WHEN starts_with({key}, '{p}') THEN '{v}|prefix'" for p, v in dims.SPECIALTY_PREFIXES.items()]
-    cases += [f"WHEN length({key}) >= {len(p)} AND levenshtein(substr({key}, 1, {len(p)}), '{p}') <= 1 THEN '{v}|fuzzy'" for p, v in dims.SPECIALTY_PREFIXES.items() if len(p) >= 6]
-    cases += [f"WHEN {key} = 'nefrologie' THEN 'NEPHROLOGIE|phonetic'"] * heard
-    return f"CASE WHEN {x} = '' THEN '|' " + " ".join(cases) + " ELSE '|' END"
-
-
-_SECTOR = """CASE WHEN contains(low, 'adulte') AND (contains(low, 'péd') OR contains(low, 'ped') OR contains(low, 'enfant')) THEN 'Pediatrie et Adulte'
-  WHEN contains(low, 'péd') OR contains(low, 'ped') OR contains(low, 'enfant') OR contains(low, 'ado') THEN 'Pediatrie'
-  WHEN contains(low, 'adulte') THEN 'Adulte' WHEN t = '' THEN 'Non precise' ELSE t END"""
-_R = f"""{_D}, e AS (SELECT *, trim(regexp_replace(trim(secteur), ':+$', '')) AS t, lower(trim(regexp_replace(trim(secteur), ':+$', ''))) AS low, {_specialty('label')} AS sm FROM d),
-r AS (SELECT ordinal, ville, CASE WHEN sm = '|' THEN upper(label) ELSE string_split(sm, '|')[1] END AS specialite, {_SECTOR} AS secteur, nom, hopital, adresse, {_phone('telephone')} AS telephone, email, notes, source FROM e)"""
-_SITES = f"""{_R}, m AS (SELECT *, trim(strip_accents(lower(ville))) AS city, {_hospital('hopital')} AS hospital, regexp_matches(notes || ' ' || adresse, '(?i)secretariat|accueil|standard') AS hint FROM r),
-g AS (SELECT city, hospital, count(*) AS members, arg_min(hopital, ordinal) AS display, min(ordinal) AS first_ordinal FROM m WHERE hospital <> '' GROUP BY 1, 2 HAVING count(*) > 1),
-x AS (SELECT city, hospital, hint, unnest([{{'f': 'adresse', 'v': trim(adresse)}}, {{'f': 'telephone', 'v': trim(telephone)}}, {{'f': 'email', 'v': trim(email)}}]) AS fv FROM m),
-c AS (SELECT city, hospital, fv.f AS f, fv.v AS v, count(*) AS n, bool_or(hint) AS lab FROM x WHERE fv.v <> '' GROUP BY 1, 2, 3, 4),
-p AS (SELECT city, hospital, f, CASE WHEN f = 'adresse' THEN list_sort(list(v)) WHEN bool_or(lab) THEN list_sort(list(v) FILTER (lab)) ELSE list_sort(list(v) FILTER (n >= 2)) END AS vs FROM c GROUP BY 1, 2, 3),
-s AS (SELECT g.*, coalesce(a.vs, []) AS s_adresse, coalesce(t.vs, []) AS s_telephone, coalesce(e.vs, []) AS s_email FROM g
-  LEFT JOIN p a ON a.city = g.city AND a.hospital = g.hospital AND a.f = 'adresse' LEFT JOIN p t ON t.city = g.city AND t.hospital = g.hospital AND t.f = 'telephone' LEFT JOIN p e ON e.city = g.city AND e.hospital = g.hospital AND e.f = 'email')"""
-
-
-def _fill(f: str) -> str:
-    return f"({f} = '' AND len(s_{f}) = 1)"
-
-
-_NOTE = "infere depuis secretariat ' || display"
-_PAIRS = f"""{_D}, k AS (SELECT DISTINCT {_key('nom')} AS k FROM d), pairs AS (SELECT a.k AS a, b.k AS b, levenshtein(a.k, b.k)::INTEGER AS distance FROM k a JOIN k b ON a.k < b.k AND a.k <> '' AND levenshtein(a.k, b.k) <= 2)"""
-
-SQL = {
-    "q_clean_text": f"SELECT doc_id, {_clean('text')} AS clean FROM documents",
-    "q_strip_accents": "SELECT doc_id, strip_accents(text) AS plain FROM documents",
-    "q_emails": r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\pL\pN\pM_.\-]+@[\pL\pN\pM_.\-]+\.[\pL\pN\pM_]+'), '|') AS emails FROM documents",
-    "q_phone_normalized": f"{_D} SELECT ordinal, {_phone('telephone')} AS phone FROM d",
-    "q_name_keys": f"{_D} SELECT ordinal, {_key('nom')} AS name_key, strip_accents(upper(ville)) AS city_key FROM d",
-    "q_dedup_exact": f"{_D} SELECT strip_accents(upper(ville)) AS ville, {_key('nom')} AS nom, label AS specialite, count(*) AS n, min(ordinal) AS first FROM d GROUP BY 1, 2, 3",
-    "q_hospital_key": f"{_D} SELECT ordinal, {_hospital('hopital')} AS hospital FROM d",
-    "q_edit_pairs": f"{_PAIRS} SELECT * FROM pairs",
-    "q_region_lookup": f"""{_D}, t(i, k, v) AS (VALUES {_REGION_ROWS}), x AS (SELECT ordinal, trim(lower(ville)) AS c FROM d)
-SELECT ordinal, coalesce(arg_min(v, CASE WHEN k = c THEN -1 ELSE i END) FILTER (starts_with(c, k) OR starts_with(k, c)), '') AS region FROM x CROSS JOIN t GROUP BY ordinal""",
-    "q_specialty_native": f"{_D} SELECT ordinal, string_split({_specialty('label', False)}, '|')[1] AS specialite, string_split({_specialty('label', False)}, '|')[2] AS method FROM d",
-    "q_specialty_phonetic": f"{_D} SELECT ordinal, nullif(string_split({_specialty('label')}, '|')[1], '') AS specialite, nullif(string_split({_specialty('label')}, '|')[2], '') AS method FROM d",
-    # what each person must give is stated by hand, not read from the lexicon
-    "q_name_parse": f"""{_D}, x(person, titre, nom, prenom) AS (VALUES {", ".join("('" + "', '".join(p) + "')" for p in PERSONS)}) SELECT ordinal, titre, x.nom AS nom, prenom FROM d JOIN x USING (person)""",
-    "q_first_name": f"""{_D} SELECT ordinal, person IN ({", ".join(f"'{p}'" for p in _FIRST)}) AS is_first FROM d""",
-    "q_split_names": f"""{_D} SELECT ordinal, person || '|MOREAU Julie' || CASE WHEN contains(nom, ' ') THEN '|' ELSE ', ' END || nom AS names FROM d""",
-    "q_component_sizes": _R.replace("WITH d", "WITH RECURSIVE d", 1) + f""", n AS (SELECT DISTINCT {_key('nom')} AS k, specialite AS s, {_key('nom')} || '|' || specialite AS i FROM r),
-ed AS (SELECT a.i AS x, b.i AS y FROM n a JOIN n b ON a.i <> b.i AND abs(length(a.k) - length(b.k)) <= 2 AND levenshtein(a.k, b.k) <= 2 AND (a.s = b.s OR a.s = '' OR b.s = '')),
-reach(x, y) AS (SELECT i, i FROM n UNION SELECT reach.x, ed.y FROM reach JOIN ed ON ed.x = reach.y),
-c AS (SELECT x AS i, min(y) AS first FROM reach GROUP BY x)
-SELECT members, count(*) AS parts FROM (SELECT first, count(*) AS members FROM r JOIN c ON c.i = {_key('nom')} || '|' || specialite GROUP BY first) GROUP BY members""",
-    "q_label_split": f"""{_D}, a AS (SELECT ordinal, unnest([{{'nth': 0, 'label': 'prefix', 'value': 'Note'}}, {{'nth': 1, 'label': 'nom', 'value': person}}, {{'nth': 2, 'label': 'hopital', 'value': hopital}}, {{'nth': 3, 'label': 'telephone', 'value': telephone}}, {{'nth': 4, 'label': 'email', 'value': email}}]) AS x FROM d)
-SELECT ordinal, x.nth AS nth, x.label AS label, x.value AS value FROM a""",
-    "q_sections": f"""{_D}, a AS (SELECT ordinal, replace(ville, ' Nord', '') AS sheet, CASE WHEN ordinal % 5 = 0 THEN upper(label) END AS heading FROM d)
-SELECT ordinal, last_value(heading IGNORE NULLS) OVER w AS section, sum(CASE WHEN ordinal % 5 = 0 THEN 1 ELSE 0 END) OVER w::BIGINT AS segment FROM a WINDOW w AS (PARTITION BY sheet ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "q_header_fields": "SELECT * FROM (VALUES ('NOM – PRENOM', 'nom'), ('Prénom', 'prenom'), ('Tel.', 'telephone'), ('Adresse mail', 'email'), ('Adresse', 'adresse'), ('Service', 'hopital'), ('xyz', ''), ('', ''), ('Site', 'ville'), ('Spécialité', 'specialite'), ('Centre hospitalier', 'hopital')) t(label, field)",
     "q_sector": f"""{_D}, e AS (SELECT ordinal, lower(secteur) AS full_low, trim(regexp_replace(trim(secteur), ':+$', '')) AS t, lower(trim(regexp_replace(trim(secteur), ':+$', ''))) AS low FROM d)
 SELECT ordinal, {_SECTOR} AS sector, CASE WHEN child AND adult THEN 'Pediatrie et Adulte' WHEN child THEN 'Pediatrie' WHEN adult THEN 'Adulte' ELSE '' END AS detected
