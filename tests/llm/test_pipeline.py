@@ -61,6 +61,21 @@ def test_stages_agree_with_plain_versions(spark):
     assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == times
 
 
+def test_the_mix_runs_no_python_on_what_near_duplicates_left(spark, monkeypatch, tmp_path):
+    docs = documents(spark, DIR).limit(80)
+    corpus_pipeline.near_duplicates(spark, docs, DIR).write.parquet(f"{tmp_path}/single")
+    single = spark.read.parquet(f"{tmp_path}/single")
+    calls, learn = [], quality_classifier.quality_scores
+    monkeypatch.setattr(quality_classifier, "quality_scores", lambda *a: calls.append(1) or learn(*a))
+    mixed = corpus_pipeline.mix(spark, single, DIR)
+    assert not calls and "Arrow" not in mixed._jdf.queryExecution().toString()
+    got = Counter(r["doc_id"] for r in mixed.collect())
+    fewer = single.filter(F.col("doc_id") != single.agg(F.min("doc_id")).first()[0])
+    assert len(got) and corpus_pipeline.mix(spark, fewer, DIR).count() and len(calls) == 1  # other rows are scored anew
+    corpus_pipeline._SCORED.clear()
+    assert Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, single, DIR).collect()) == got and len(calls) == 2
+
+
 def test_repeated_and_null_ids(spark):
     text = "some words that make one document of more than five words"
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, "")], "doc_id long, text string")
