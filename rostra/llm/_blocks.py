@@ -7,10 +7,11 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A block on its way to a shard. origin, begin and size: file, place and length of the asking slice's own data.
@@ -177,6 +178,18 @@ def answered(questions: DataFrame, n: int, answer) -> DataFrame:
     return questions.repartitionById(n, F.col("shard")).mapInArrow(run, ANSWERED)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a query that runs inside go when it ends. Else they stay for as long as anything refers to its plan."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def per_slice(answers: DataFrame, n: int, tell, schema: str) -> DataFrame:
     """tell(data that the slice kept, {shard: answer}) gives record batches; slices come together by their origin and place, in n
     tasks: their work is in what they kept, so the size of the answers must not set the number of tasks."""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import ASKED, Keeper, answered, asked, by_shard, distinct, pack, per_slice, read_arrays, remove_file, steps, text_bytes, unpack, write_arrays
+from ._blocks import ASKED, Keeper, answered, asked, by_shard, distinct, pack, per_slice, read_arrays, remove_file, shuffles_removed, steps, text_bytes, unpack, write_arrays
 from ._shared import fresh_path, remove, written
 from ._words import Words, as_bytes, mix64, slices
 from .elias_fano import EliasFano
@@ -117,18 +115,37 @@ def shards_of(vocabulary: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def window_block(vocabulary: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """Windows as hashes of their words, cut to BITS; 0 stays."""
+    """Windows, in order, as hashes of their words, cut to BITS; 0 stays. Each first word stands once, with its number of second
+    words, and each pair once, with its number of windows."""
     columns = []
     for c, bits in zip(rows, BITS, strict=False):
         h = np.maximum(vocabulary >> np.uint64(64 - bits), 1).astype(np.uint64 if bits > 32 else np.uint32)
         columns.append(np.where(c > 0, h[c - 1], h.dtype.type(0)))
-    return pack(counts.astype(np.uint32), *[steps(c) for c in columns[:2]], *columns[2:])
+    first, second, *more = columns
+    new_first = np.append(True, first[1:] != first[:-1])
+    pair = np.flatnonzero(new_first | np.append(True, second[1:] != second[:-1]))
+    word = np.flatnonzero(new_first[pair])
+    pairs, windows = (np.diff(at, append=n).astype(np.uint32) for at, n in ((word, len(pair)), (pair, len(first))))
+    return pack(counts.astype(np.uint32), steps(first[pair][word]), pairs, second[pair], windows, *more)
 
 
 def open_block(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     """(counts, columns of hashes) of a window_block."""
-    counts, first, second, *more = unpack(blob)
-    return counts, [np.cumsum(first, dtype=first.dtype), np.cumsum(second, dtype=second.dtype), *more]
+    counts, first, pairs, second, windows, *more = unpack(blob)
+    first = np.repeat(np.cumsum(first, dtype=first.dtype), pairs)
+    return counts, [np.repeat(first, windows), np.repeat(second, windows), *more]
+
+
+def few(codes: np.ndarray) -> list[np.ndarray]:
+    """[distinct codes, which of them each one is]: counts are of few kinds, and most numbers fit a byte."""
+    kinds, which = np.unique(codes, return_inverse=True)
+    return [kinds, which.astype(np.uint8 if len(kinds) <= 256 else np.uint16)]
+
+
+def all_of(blob: bytes) -> list[np.ndarray]:
+    """The arrays of codes that were packed as few of each."""
+    parts = unpack(blob)
+    return [kinds[which] for kinds, which in zip(parts[::2], parts[1::2], strict=True)]
 
 
 def word_shards(vocabulary: np.ndarray, n: int) -> np.ndarray:
@@ -283,7 +300,7 @@ def answer_windows(folder: str, shard: int, blobs: list[bytes]) -> tuple[list[by
     seen = counts > 0
     TrieShard.write(f"{folder}/trie-{shard}", [c[seen] for c in rows], counts[seen])
     codes = path_counts(TrieShard(f"{folder}/trie-{shard}").look_up(rows))
-    return [pack(*[c[p] for c in codes]) for p in np.split(which, np.cumsum(sizes)[:-1])], 0, 0
+    return [pack(*[x for c in codes for x in few(c[p])]) for p in np.split(which, np.cumsum(sizes)[:-1])], 0, 0
 
 
 def answer(folder: str, n: int, keep: bool):
@@ -309,7 +326,7 @@ def probabilities(found: dict[int, bytes], vocabulary: np.ndarray, codes: np.nda
     rows, which, places = windows(vocabulary, codes, bounds)
     path = np.full((ORDER - 1, rows.shape[1] + 1), NONE, np.uint16)  # the last one for what is no window
     for s, at in by_shard(shards_of(vocabulary, rows, n)):
-        path[:, at] = unpack(found[s])
+        path[:, at] = all_of(found[s])
     single = counts[codes]
     base = (single + ADD) / (total + ADD * (distinct_words + 1))
     before = np.roll(single, 1)
@@ -366,12 +383,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     id_ = F.col(id_col)
     rows = docs.select(id_.alias("doc_id"), (~held_out(id_, modulus, remainder)).alias("learn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = max(4, -(-text_bytes(rows) // SHARD_BYTES))
-    answers = written(answered(rows.mapInArrow(ask(kept, n), ASKED), 2 * n, answer(folder, n, bool(model_dir))), "answers")
+    with shuffles_removed(spark):
+        answers = written(answered(rows.mapInArrow(ask(kept, n), ASKED), 2 * n, answer(folder, n, bool(model_dir))), "answers")
     if not model_dir:
         remove(spark, folder)
-    # the questions' shuffle is of no more use: without references to it, a collection lets Spark delete its files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     distinct_words, total = answers.agg(F.sum("n"), F.sum("total")).first()
     kind = rows.dtypes[0][1]
     schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double" + ", token_scores array<double>" * token_scores

@@ -1,6 +1,8 @@
 import binascii
+import glob
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -349,6 +351,35 @@ def test_trie_paths(tmp_path, monkeypatch):
 # -- 5
 
 
+def test_blocks_of_windows_and_answers():
+    r = np.random.default_rng(5)
+    vocabulary = np.unique(r.integers(0, 2**64, 300, np.uint64))
+    table = np.unique(np.stack([r.integers(1, k, 4000) for k in (20, 60, len(vocabulary) + 1)], 1), axis=0)
+    table[::7, 2] = 0
+    table = np.unique(table, axis=0)
+    counts = r.integers(0, 9, len(table))
+    for rows, c in ((table.T, counts), (table[:1].T, counts[:1])):
+        got_counts, columns = lm_scoring.open_block(lm_scoring.window_block(vocabulary, rows, c))
+        assert got_counts.tolist() == c.tolist()
+        for got, numbers, bits in zip(columns, rows, lm_scoring.BITS, strict=False):
+            assert got.tolist() == [int(vocabulary[i - 1] >> np.uint64(64 - bits)) if i else 0 for i in numbers]
+    for kinds in (1, 256, 257, 60000):
+        codes = [r.integers(0, kinds, 5000).astype(np.uint16), np.arange(5000).astype(np.uint16) % np.uint16(kinds)]
+        back = lm_scoring.all_of(lm_scoring.pack(*[x for c in codes for x in lm_scoring.few(c)]))
+        assert [b.tolist() for b in back] == [c.tolist() for c in codes] and back[0].dtype == np.uint16
+
+
+def test_the_questions_shuffle_goes_with_the_answers(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    there = lambda: {f: os.path.getsize(f) for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = there(), spark.conf.get(name)
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * k}" for k in range(200))) for i in range(300)], "doc_id long, text string")
+    scored = lm_scoring.lm_scores(docs)
+    assert sum(size for f, size in there().items() if f not in before) < 10_000 and spark.conf.get(name) == set_to
+    assert scored.count() == 300
+
+
 def test_exact_dedup(odd, small, none):
     for df in (odd, small):
         table = [(r["doc_id"], re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in df.collect()]
