@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,32 @@ NOT_ALNUM = byte_table(lambda b: b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <=
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE = 2 << 20
+#: The same for functions whose arrays of a slice take many times its bytes.
+SMALL_SLICE = 1 << 20
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system. A worker that waits for its next task holds it otherwise, as does each heap that
+    the arrays of a slice have stretched."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """run, a function of Arrow batches, that gives back what it freed whenever it has made a batch, and at its end."""
+
+    def tidied(batches):
+        try:
+            for made in run(batches):
+                yield made
+                del made
+                give_back()
+        finally:
+            give_back()
+
+    return tidied
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

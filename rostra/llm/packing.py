@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._words import Words, as_bytes, byte_table, slices
+from ._words import SMALL_SLICE, Words, as_bytes, byte_table, give_back, slices, tidy
 
 CAPACITY, END_ID = 4096, 2
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention looks at pairs within a piece).
@@ -179,8 +179,10 @@ def pack_batches(tokenizer_path: str, capacity: int, window: int):
         for batch in batches:
             data, offsets = as_bytes(batch.column(1))
             names = batch.column(0).to_pylist()
-            for first, part, cuts in slices(data, offsets):
-                for k, x in enumerate(encode_texts(tokenizer, part, cuts)):
+            for first, part, cuts in slices(data, offsets, SMALL_SLICE):
+                encoded = encode_texts(tokenizer, part, cuts)
+                give_back()
+                for k, x in enumerate(encoded):
                     if held and held + len(x) > window:
                         yield flush()
                         ids.clear()
@@ -212,4 +214,4 @@ def packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     from pyspark.sql import functions as F
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(pack_batches(tokenizer_path, capacity, window), PIECE_SCHEMA)
+    return rows.mapInArrow(tidy(pack_batches(tokenizer_path, capacity, window)), PIECE_SCHEMA)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import text_or_empty
-from ._words import Words, as_bytes, mix64, slices
+from ._words import SMALL_SLICE, Words, as_bytes, give_back, mix64, slices, tidy
 
 BITS, THRESHOLD = 18, 0.7
 #: At most so many labelled documents are learned from: those whose hashed doc_id is smallest.
@@ -71,20 +71,22 @@ class Ftrl:
 
 def train_batches(bits: int, epochs: int):
     def run(batches):
-        examples = []
+        examples = []  # buckets, how often, words, label: counts as narrow as they go
         for batch in batches:
             data, offsets = as_bytes(batch.column(0))
             labels = batch.column(1).to_pylist()
-            for first, part, cuts in slices(data, offsets):
+            for first, part, cuts in slices(data, offsets, SMALL_SLICE):
                 buckets, bounds = features(part, cuts, bits)
                 for i in range(len(cuts) - 1):
                     at, times = np.unique(buckets[:, bounds[i] : bounds[i + 1]], return_counts=True)
-                    value = times / max(1, bounds[i + 1] - bounds[i])
-                    examples.append((np.append(at, 1 << bits), np.append(value, 1.0), float(labels[first + i])))
+                    times = times.astype(np.min_scalar_type(times.max(initial=0)))
+                    examples.append((at, times, max(1, bounds[i + 1] - bounds[i]), float(labels[first + i])))
+                del buckets
+                give_back()
         model = Ftrl((1 << bits) + 1)
         for _ in range(epochs):
-            for example in examples:
-                model.learn(*example)
+            for at, times, n, label in examples:
+                model.learn(np.append(at, 1 << bits), np.append(times.astype(np.int64) / n, 1.0), label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()])], names=["weights"])
 
     return run
@@ -100,22 +102,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("k").agg(F.min("y").alias("y")).withColumn("o", F.xxhash64("k")).orderBy("o", "k").limit(max_train)
     texts = docs.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("text"))
     rows = texts.join(F.broadcast(known), "k").select("text", "y", "o", "k").repartition(1).sortWithinPartitions("o", "k", "text")
-    found = rows.select("text", "y").mapInArrow(train_batches(bits, epochs), "weights binary").collect()
+    found = rows.select("text", "y").mapInArrow(tidy(train_batches(bits, epochs)), "weights binary").collect()
     return bytes(found[0][0]) if found else np.zeros((1 << bits) + 1, "<f4").tobytes()
 
 
-def score_batches(weights: bytes, bits: int):
+def score_batches(weights: bytes, bits: int, place: int | None = None):
+    """Arrow batches (text, body) to body and score. place: where in the body the text is, if there is no column for it."""
+
     def run(batches):
         w = np.frombuffer(weights, "<f4")
         for batch in batches:
-            data, offsets = as_bytes(batch.column(0))
+            data, offsets = as_bytes(batch.column(0) if place is None else batch.column(0).field(place))
             out = []
-            for _, part, cuts in slices(data, offsets):
+            for _, part, cuts in slices(data, offsets, SMALL_SLICE):
                 buckets, bounds = features(part, cuts, bits)
                 dot = sum(means(w[b], bounds) for b in buckets) + w[-1]
                 out.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))))
+                del buckets
+                give_back()
             scores = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([batch.columns[-1], scores], names=[batch.schema.names[-1], "score"])
 
     return run
 
@@ -130,9 +136,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     weights = train(docs, labels, id_col, text_col, max_train=max_train, bits=bits)
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(text_or_empty(text_col).alias("text"), body.alias("body"))
+    # a text that is a string already goes to Python once, in the body
+    place = next((i for i, c in enumerate(docs.dtypes) if c == (text_col, "string")), None)
+    rows = docs.select(*([text_or_empty(text_col).alias("text")] if place is None else []), body.alias("body"))
     schema = rows.schema["body"]
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    scored = rows.mapInArrow(score_batches(weights, bits), StructType([schema, StructField("score", DoubleType())]))
+    scored = rows.mapInArrow(tidy(score_batches(weights, bits, place)), StructType([schema, StructField("score", DoubleType())]))
     return scored.select("body", held_out(F.col(f"body.`{id_col}`")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
