@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from .match import CITY_ERRORS, NAME_ERRORS, match_groups
 
 RECORD_COLUMNS = ["ordinal", *dims.FIELDS]
 _OUT = "kind string, component long, ordinal long, seq int, message string, " + ", ".join(f"{f} string" for f in dims.FIELDS) + ", markers map<string,struct<kind:string,comment:string>>"
+BATCH_ROWS = 5_000
+#: Up to so many different names are compared one by one; shortened forms of so few cost more than they save.
+FEW_NAMES = 8
 #: What follows from a field and moves with it.
 DERIVED = {"nom": ("name_key",), "ville": ("city_key", "city_region"), "hopital": ("hospital",)}
 KEYS = ["name_key", "city_key", "city_region", "hospital", "moved"]
@@ -43,6 +47,8 @@ def keyed(records: DataFrame) -> DataFrame:
 @lru_cache(100_000)
 def _distance(a: str, b: str, most: int) -> int:
     """Edits from a to b, most + 1 for more."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
     row = list(range(len(b) + 1))
@@ -84,8 +90,10 @@ class Index:
         r = self.records[i]
         if r["name_key"] not in self.specialties:
             self.specialties[r["name_key"]] = set()
-            for part in _shortened(r["name_key"]):
-                self.parts[part].append(r["name_key"])
+            if len(self.specialties) > FEW_NAMES:
+                for name in [r["name_key"]] if self.parts else self.specialties:
+                    for part in _shortened(name):
+                        self.parts[part].append(name)
             self.near.clear()
         self.specialties[r["name_key"]].add(r["specialite"])
         self.cities_near(r["city_key"])
@@ -116,7 +124,7 @@ class Index:
 
     def names_near(self, name: str) -> list[tuple[int, str]]:
         if name not in self.near:
-            found = {other for part in _shortened(name) for other in self.parts.get(part, ())}
+            found = {other for part in _shortened(name) for other in self.parts.get(part, ())} if self.parts else self.specialties
             self.near[name] = sorted((d, other) for other in found if (d := _distance(name, other, NAME_ERRORS)) <= NAME_ERRORS)
         return self.near[name]
 
@@ -232,15 +240,37 @@ def plain_row(r: dict) -> dict:
     return {f: r[f] or "" for f in dims.FIELDS} | {k: r[k] for k in KEYS} | {"ordinal": int(r["ordinal"]), "markers": markers}
 
 
-def fold_component(run_date: str, enriching: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = Fold(run_date, enriching)
-        component = int(pdf["component"].iloc[0])
-        for r in pdf.sort_values(["given", "ordinal"], ascending=[False, True]).to_dict("records"):
-            fold.add(plain_row(r), bool(r["given"]))
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [[list(r[f.name].items()) if f.name == "markers" else r[f.name] for r in rows] for f in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def fold_components(run_date: str, enriching: bool):
+    """Folds one component after the other of rows that stand together by component and in order within it. Many small components
+    share a batch; no more than one is held."""
+
+    def done(component: int, fold: Fold) -> list[dict]:
         out = [{"kind": "record", "component": component, "seq": 0, "message": ""} | r for r in fold.kept]
-        out += [dict.fromkeys(dims.FIELDS, "") | {"kind": "log", "component": component, "ordinal": o, "seq": s, "message": m, "markers": {}} for o, s, m in fold.log]
-        return pd.DataFrame(out, columns=["kind", "component", "ordinal", "seq", "message", *dims.FIELDS, "markers"])
+        return out + [dict.fromkeys(dims.FIELDS, "") | {"kind": "log", "component": component, "ordinal": o, "seq": s, "message": m, "markers": {}} for o, s, m in fold.log]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marker = pa.struct([("kind", pa.string()), ("comment", pa.string())])
+        schema = pa.schema([("kind", pa.string()), ("component", pa.int64()), ("ordinal", pa.int64()), ("seq", pa.int32()), ("message", pa.string()), *[(f, pa.string()) for f in dims.FIELDS], ("markers", pa.map_(pa.string(), marker))])
+        component, fold, out = None, None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if fold is None or r["component"] != component:
+                    if fold is not None:
+                        out += done(component, fold)
+                    component, fold = r["component"], Fold(run_date, enriching)
+                fold.add(plain_row(r), bool(r["given"]))
+                if len(out) >= BATCH_ROWS:
+                    yield _batch(out, schema)
+                    out = []
+        if fold is not None:
+            out += done(component, fold)
+        for at in range(0, len(out), BATCH_ROWS):
+            yield _batch(out[at : at + BATCH_ROWS], schema)
 
     return run
 
@@ -255,9 +285,12 @@ def fold(records: DataFrame, existing: DataFrame | None, run_date: str) -> tuple
     """
     from rostra.plans.scratch import written
 
+    spark = records.sparkSession
     given = records.withColumn("given", F.lit(False))
     if existing is not None:
         given = given.unionByName(existing.withColumn("given", F.lit(True)))
     grouped = keyed(match_groups(given.select("given", *RECORD_COLUMNS, "markers")))
-    done = written(grouped.groupBy("component").applyInPandas(fold_component(run_date, existing is not None), _OUT), "fold")
+    # by number: tasks merged by size would be few, and the fold is all CPU time
+    dealt = grouped.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component").sortWithinPartitions("component", F.desc("given"), "ordinal")
+    done = written(dealt.mapInArrow(fold_components(run_date, existing is not None), _OUT), "fold")
     return done.filter("kind = 'record'").select(*RECORD_COLUMNS, "markers"), done.filter("kind = 'log'").select(F.lit(0).alias("stage"), "ordinal", "seq", "message")

@@ -132,6 +132,44 @@ def test_pairs_are_complete(spark):
     assert got == want
 
 
+def test_pairs_of_long_names_are_complete(spark, monkeypatch):
+    """Names on both sides of LONG, edits at all places, and parts that more names have than HOT."""
+    rng = random.Random(5)
+    words = set()
+    for i in range(60):
+        base = "".join(rng.choice("ABCD") for _ in range(rng.randint(12, 36)))
+        words.add(base)
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "A", "D"])
+            words.add("".join(w))
+    words = sorted(words | {"CENTREHOSPITALIER" + "".join(rng.choice("ABC") for _ in range(4)) for _ in range(60)})
+    df = spark.createDataFrame([(w,) for w in words], "k string")
+    want = {(a, b): d for a in words for b in words if a < b and (d := folding._distance(a, b, 2)) <= 2}
+    for hot in (match.HOT, 3):
+        monkeypatch.setattr(match, "HOT", hot)
+        found = match.name_pairs(df).collect()
+        assert {(r["a"], r["b"]): r["distance"] for r in found} == want and len(found) == len(want)
+
+
+def test_pairs_broadcast_no_spread_rows(spark):
+    names = spark.range(200).select(F.upper(F.md5(F.col("id").cast("string"))).alias("k"))
+    assert "Broadcast" not in match.name_pairs(names)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_3000_small_components(spark):
+    """Components share batches; as data frames of their own they took 40 ms each."""
+    base = dict.fromkeys(dims.FIELDS, F.lit(""))
+    rows = spark.range(6_000).select(F.col("id").alias("ordinal"), *[c.alias(f) for f, c in (base | {"nom": F.upper(F.md5((F.col("id") / 2).cast("int").cast("string"))), "telephone": (F.col("id") % 2).cast("string"), "specialite": F.lit("UROLOGIE")}).items()], F.create_map().cast(MARKERS).alias("markers"))
+    folding.fold(rows.limit(10), None, DAY)
+    began = time.time()
+    done, log = folding.fold(rows, None, DAY)
+    assert (done.count(), log.count()) == (3_000, 3_000) and done.filter("telephone = '0' and ordinal % 2 = 0").count() == 3_000
+    assert time.time() - began < 50
+
+
 def test_empty_enrichment_keeps_existing(spark):
     old = table(spark, [doc(hopital="CHU A", adresse="1"), doc("DUVAL", hopital="CHU A")])
     done, log = pipeline.enrich(old, old.limit(0), DAY)
