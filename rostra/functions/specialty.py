@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from . import dims
 from .metaphone import metaphone
-from .text import lookup, strip_accents, text
+from .text import lookup, once, strip_accents, text
 
 _RESOLVED = "struct<specialite:string,method:string>"
 
@@ -20,17 +20,20 @@ def specialty_key(c: Column | str) -> Column:
 
 def classify_native(c: Column | str, exact: dict[str, str] = dims.SPECIALTIES, prefixes: dict[str, str] = dims.SPECIALTY_PREFIXES) -> Column:
     """struct(specialite, method) of all steps but the last; nulls inside where none finds anything."""
-    key = specialty_key(c)
     found = lambda spec, how: F.struct(spec.alias("specialite"), F.lit(how).alias("method"))
-    listed = lookup(key, exact)
-    begun = [F.when(key.startswith(p), found(F.lit(s), "prefix")) for p, s in prefixes.items()]
-    near = [
-        F.when((F.length(key) >= len(p)) & (F.levenshtein(F.substring(key, 1, len(p)), F.lit(p), 1) >= 0), found(F.lit(s), "fuzzy"))
-        for p, s in prefixes.items()
-        if len(p) >= 6
-    ]
     none = F.struct(F.lit(None).cast("string").alias("specialite"), F.lit(None).cast("string").alias("method"))
-    return F.when(text(c) == "", none).otherwise(F.coalesce(F.when(listed.isNotNull(), found(listed, "exact")), *begun, *near, none))
+
+    def steps(key: Column) -> Column:
+        listed = lookup(key, exact)
+        begun = [F.when(key.startswith(p), found(F.lit(s), "prefix")) for p, s in prefixes.items()]
+        near = [
+            F.when((F.length(key) >= len(p)) & (F.levenshtein(F.substring(key, 1, len(p)), F.lit(p), 1) >= 0), found(F.lit(s), "fuzzy"))
+            for p, s in prefixes.items()
+            if len(p) >= 6
+        ]
+        return F.coalesce(F.when(listed.isNotNull(), found(listed, "exact")), *begun, *near, none)
+
+    return F.when(text(c) == "", none).otherwise(once(specialty_key(c), steps))
 
 
 def _heard(known: tuple[str, ...]):
@@ -58,12 +61,21 @@ def sound_conflicts(df: DataFrame, column: str, known: tuple[str, ...] = tuple(d
     return heard.select(F.concat(F.lit("[Phonetique] '"), "label", F.lit("' correspond a plusieurs specialites ("), F.array_join("found", ", "), F.lit(") — non resolu")).alias("message"))
 
 
-def classify(df: DataFrame, column: str, out: str = "resolved", exact: dict[str, str] = dims.SPECIALTIES, prefixes: dict[str, str] = dims.SPECIALTY_PREFIXES, known: tuple[str, ...] = tuple(dims.PHONETIC_SPECIALTIES)) -> DataFrame:
+def classify(df: DataFrame, column: str, out: str = "resolved", exact: dict[str, str] = dims.SPECIALTIES, prefixes: dict[str, str] = dims.SPECIALTY_PREFIXES, known: tuple[str, ...] = tuple(dims.PHONETIC_SPECIALTIES), many: bool = False) -> DataFrame:
     """df with `out`: struct(specialite, method). Distinct labels are resolved once, and only those that the built-in steps leave
-    open are heard by Python."""
+    open are heard by Python. many: distinct labels grow with the input, so they are dealt to all tasks; by size they would be one's."""
     keyed = df.withColumn("_key", specialty_key(column))
-    labels = keyed.select("_key").filter("_key <> ''").distinct().withColumn("_first", classify_native("_key", exact, prefixes))
+    labels = keyed.select("_key").filter("_key <> ''").distinct()
+    if many:
+        labels = labels.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    labels = labels.withColumn("_first", classify_native("_key", exact, prefixes))
+    if many:
+        from rostra.plans.scratch import written
+
+        labels = written(labels, "labels")  # what follows names _first several times
     heard = labels.withColumn("_heard", by_sound(F.when(F.col("_first.specialite").isNull(), F.col("_key")).otherwise(""), known))
     sound = F.struct(F.col("_heard").alias("specialite"), F.lit("phonetic").alias("method"))
     table = heard.select("_key", F.when(F.col("_heard").isNotNull(), sound).otherwise(F.col("_first")).alias(out))
+    if many:
+        table = table.hint("merge")  # small as a file, but a row for each distinct word: not through the driver
     return keyed.join(table, "_key", "left").drop("_key")

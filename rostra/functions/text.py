@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -42,6 +43,11 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once for each row: as an argument that many branches name it would be computed in each of them."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip_accents(c: Column | str) -> Column:
     return F.regexp_replace(F.translate(text(c), *_accents()), r"\p{Mn}", "")
 
@@ -122,9 +128,12 @@ def section_city(c: Column | str, headers: dict[str, str] = dims.SECTION_CITIES)
 
 def region_of(c: Column | str, regions: dict[str, str] = dims.REGIONS) -> Column:
     """Exact city, else the first known city that is a prefix of it or has it as a prefix; '' for none or no city."""
-    key = F.trim(F.lower(text(c)))
-    near = [F.when(key.startswith(k) | F.lit(k).startswith(key), F.lit(v)) for k, v in regions.items()]
-    return F.when(text(c) == "", F.lit("")).otherwise(F.coalesce(lookup(key, regions), *near, F.lit("")))
+
+    def found(key: Column) -> Column:
+        near = [F.when(key.startswith(k) | F.lit(k).startswith(key), F.lit(v)) for k, v in regions.items()]
+        return F.coalesce(lookup(key, regions), *near, F.lit(""))
+
+    return once(text(c), lambda x: F.when(x == "", F.lit("")).otherwise(once(F.trim(F.lower(x)), found)))
 
 
 def any_of(c: Column, *words: str) -> Column:

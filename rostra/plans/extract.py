@@ -54,7 +54,7 @@ def records(df: DataFrame, **fields: Column | str) -> DataFrame:
 def first_specialty(df: DataFrame, key: list[str], column: str) -> DataFrame:
     """key, specialite: of the first word that resolves."""
     words = df.select(*key, F.posexplode(F.split(F.lower(column), r"\s+")).alias("at", "word"))
-    return classify(words, "word").filter("resolved.specialite is not null").groupBy(*key).agg(F.min_by("resolved.specialite", "at").alias("specialite"))
+    return classify(words, "word", many=True).filter("resolved.specialite is not null").groupBy(*key).agg(F.min_by("resolved.specialite", "at").alias("specialite"))
 
 
 # -- tables ----------------------------------------------------------------------------------------------------------------
@@ -263,10 +263,12 @@ def from_free_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, log). texts: file_idx, sheet_idx, sheet, source, body. One record per titled name, all with the first known
     city, the first word that resolves as a specialty, the first phone and the first e-mail."""
     key = ["file_idx", "sheet_idx"]
-    full = texts.filter(F.trim("body") != "")
+    # by number: short texts are few bytes and much work; again after the join, which may read its side by few tasks
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    full = dealt(texts.filter(F.trim("body") != ""))
     low = F.lower("body")
     city = F.coalesce(*[F.when(F.contains(low, F.lit(c)), F.lit(c)) for c in dims.REGIONS], F.lit(""))
-    shaped = full.join(first_specialty(full, key, "body"), key, "left").withColumn("ville", title_case(city)).withColumn("found", _names("body", TITLED_IN_TEXT, ["dr", "pr", "de", "du", "la", "le"]))
+    shaped = dealt(full.join(first_specialty(full, key, "body"), key, "left")).withColumn("ville", title_case(city)).withColumn("found", _names("body", TITLED_IN_TEXT, ["dr", "pr", "de", "du", "la", "le"]))
     people = shaped.select("*", F.posexplode("found").alias("nth", "x")).withColumn("place", place(0, 0)).withColumn("who", _person(F.col("x.name")))
     out = records(people, region=region_of("ville"), ville="ville", specialite="specialite", titre=title_of("x.title"), nom="who.nom", prenom="who.prenom", telephone=F.get(phones("body"), F.lit(0)), email=F.get(emails("body"), F.lit(0)), source="source")
     blank = _log(texts.filter(F.trim("body") == ""), F.concat(F.lit("["), F.col("sheet"), F.lit("] Aucun texte a analyser")))
